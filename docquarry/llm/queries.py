@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.llm import sharding, simhash
+from docquarry.llm import packing, sharding, simhash
 
-_MODULES = [sharding, simhash]
+_MODULES = [simhash, packing, sharding]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
