@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.llm import dac, decontam, packing, quality, sharding, simhash
+from docquarry.llm import dac, decontam, line_dedup, packing, quality, sharding, simhash
 
-_MODULES = [decontam, simhash, packing, quality, sharding, dac]
+_MODULES = [decontam, simhash, packing, quality, sharding, line_dedup, dac]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
