@@ -11,7 +11,7 @@ from docquarry.llm.tokens import Encoder, tokenizer_path
 
 TEXTS = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n b", "a\n\n  b ", "don't we'll X's", "Hello,world! 12 345é", "É Àß ñandú, élan*** x### y|z |", "<|endoftext|> a<|endoftext|>b", "foo<|", " x  y",
-    "naïve café ﬁ Ⅳ ½ 中文 字 🙂🙂 a🙂", "tab\tx \ty", "x\x1cy \x85z", "µ ª º", "İ ǅ Σς", "a_b __c 'twas 'S", "word " * 50, "line\r\nnext \r\n",
+    "naïve café ﬁ Ⅳ ½ 中文 字 🙂🙂 a🙂", "tab\tx \ty", "x\x1cy \x85z", "µ ª º", "İ ǅ Σς", "a_b __c 'twas 'S", "word " * 50, "line\r\nnext \r\n", "a b.\nC d,\nx y\n\nz q\n w|\n#e r\n", "k \n", "a b\n\n", " a.\nb.\nc d",
 ]
 
 
