@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import as_text, slices, table, text_column
+from docquarry.llm.common import as_text, slices, table, text_column, words
 
 K1, B = 1.5, 0.75
 #: Share of an item's score against itself that a passage must reach.
@@ -33,13 +33,6 @@ BLOCK_ITEMS = 4
 BOUND_BLOCKS = 64
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: ASCII white space and punctuation part words.
-_PARTING = bytes(32 if x < 48 or 58 <= x < 65 or 91 <= x < 97 or 123 <= x < 128 else x for x in range(256))
-
-
-def words(text: str) -> list[bytes]:
-    """Lower-case words without ASCII punctuation."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PARTING).split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:

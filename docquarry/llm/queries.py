@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.llm import dac, decontam, html_wrappers, line_dedup, packing, quality, sharding, simhash, toxicity
+from docquarry.llm import dac, decontam, html_wrappers, license_scan, line_dedup, packing, quality, sharding, simhash, toxicity
 
-_MODULES = [decontam, simhash, packing, quality, sharding, html_wrappers, toxicity, line_dedup, dac]
+_MODULES = [decontam, simhash, license_scan, packing, quality, sharding, html_wrappers, toxicity, line_dedup, dac]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
