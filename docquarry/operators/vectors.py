@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,27 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
-def hashed_embedding(toks: Column, dims: int = 64) -> Column:
-    """The default embedder: token counts in `dims` hashed places, of unit length."""
-    places = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return unit(counts)
+def embed(texts: DataFrame, key: str, toks: str, out: str, dims: int = 64) -> DataFrame:
+    """key, out: the default embedder, token counts in `dims` hashed places, of unit length (all zero without tokens)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, int] = {}
+        for batch in batches:
+            found = np.zeros((batch.num_rows, dims))
+            for r, words in enumerate(batch.column(1).to_pylist()):
+                for w in words or ():
+                    at = places.get(w)
+                    if at is None:
+                        if len(places) > 200_000:
+                            places.clear()
+                        at = places[w] = int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dims
+                    found[r, at] += 1
+            length = np.sqrt((found**2).sum(1, keepdims=True))
+            flat = pa.array((found / np.where(length > 0, length, 1)).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, dims, dtype=np.int32)), flat)], [key, out])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, toks).mapInArrow(of, f"{key} {kind}, {out} array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -26,14 +26,19 @@ def _bm25(k: int, where: str = "true", terms: str = "qt") -> str:
     return _ranked(f"SELECT {terms}.qid, s.doc_id, round(sum(s.part), 6) AS score FROM s JOIN {terms} USING (term) JOIN t USING (doc_id) WHERE {where} GROUP BY ALL HAVING round(sum(s.part), 6) > 0", k)
 
 
-_EMBED = "list_transform(range(64), lambda i: CAST(len(list_filter(list_transform({t}, lambda w: CAST('0x' || substr(md5(w), 1, 6) AS INTEGER) % 64), lambda p: p = i)) AS DOUBLE))"
-
-
 def _unit(v: str) -> str:
     return f"CASE WHEN list_dot_product({v}, {v}) > 0 THEN list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v}))) ELSE {v} END"
 
 
-_DENSE = f"""qv AS (SELECT qid, {_unit('v')} AS qvec FROM (SELECT qid, {_EMBED.format(t=tokens_sql('question') + '[1:8]')} AS v FROM q)), dv AS (SELECT doc_id, {_unit('v')} AS vec FROM (SELECT doc_id, {_EMBED.format(t='toks')} AS v FROM t))"""
+def _embed_sql(name: str, key: str, source: str, toks: str, vec: str) -> str:
+    """A table `name` of hashed token counts of unit length."""
+    return f"""{name}_c AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 6) AS INTEGER) % 64 AS place, count(*) AS n FROM (SELECT {key}, unnest({toks}) AS w FROM {source}) GROUP BY ALL),
+{name}_l AS (SELECT {key}, sqrt(sum(n * n)) AS length FROM {name}_c GROUP BY {key}),
+{name} AS (SELECT x.{key}, list(coalesce(c.n / l.length, 0.0) ORDER BY i.i) AS {vec} FROM {source} x CROSS JOIN range(64) i(i) LEFT JOIN {name}_c c ON c.{key} = x.{key} AND c.place = i.i LEFT JOIN {name}_l l ON l.{key} = x.{key} GROUP BY x.{key})"""
+
+
+_Q_EMBED = _embed_sql("qv", "qid", "q", tokens_sql("question") + "[1:8]", "qvec")
+_DENSE = f"""{_Q_EMBED}, {_embed_sql("dv", "doc_id", "t", "toks", "vec")}"""
 _DENSE_TOP = "SELECT * FROM (" + _ranked("SELECT qid, doc_id, round(list_dot_product(qvec, vec), 6) AS score FROM qv, dv", 50) + ")"
 _LISTS = f"lists AS (SELECT 'bm25' AS list, * FROM ({_bm25(50)}) UNION ALL SELECT 'dense' AS list, * FROM ({_DENSE_TOP}))"
 _LABELS = r"labels_ AS (SELECT b.item_id AS qid, d.doc_id, CASE WHEN d.source = 'src' || (b.item_id % 20) THEN 2 ELSE 1 END AS grade FROM benchmark b JOIN documents d ON contains(lower(regexp_replace(d.text, '\s+', ' ', 'g')), lower(regexp_replace(b.text, '\s+', ' ', 'g'))))"
@@ -55,9 +60,9 @@ def _bm25_top(spark, sf_dir, k=50, where=None):
 
 
 def _dense_top(spark, sf_dir, k=50):
-    docs = table(spark, sf_dir, "documents").select("doc_id", vectors.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
-    qs = _questions(spark, sf_dir).select("qid", vectors.hashed_embedding(F.slice(T.tokens(F.col("question")), 1, 8)).alias("qvec"))
-    return vectors.exact_search(docs, qs, k, key="doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    qs = _questions(spark, sf_dir).select("qid", F.slice(T.tokens(F.col("question")), 1, 8).alias("t"))
+    return vectors.exact_search(vectors.embed(docs, "doc_id", "t", "embedding"), vectors.embed(qs, "qid", "t", "qvec"), k, key="doc_id")
 
 
 def _both(spark, sf_dir):
@@ -161,9 +166,9 @@ def ann_recall(spark, sf_dir):
     return r.agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.min("recall"), 6).alias("least_recall"), F.count_if(F.col("recall") == 1).alias("perfect"), F.count("*").alias("queries"))
 
 
-@query(f"WITH {_INDEX}, q AS (SELECT item_id AS qid, text AS question FROM benchmark), {_DENSE} SELECT qid, CAST(len(qvec) AS BIGINT) AS dims, round(list_dot_product(qvec, list_transform(range(64), lambda i: CAST(i AS DOUBLE))), 6) AS moment, round(list_dot_product(qvec, qvec), 6) AS norm FROM qv")
+@query(f"WITH q AS (SELECT item_id AS qid, text AS question FROM benchmark), {_Q_EMBED} SELECT qid, CAST(len(qvec) AS BIGINT) AS dims, round(list_dot_product(qvec, list_transform(range(64), lambda i: CAST(i AS DOUBLE))), 6) AS moment, round(list_dot_product(qvec, qvec), 6) AS norm FROM qv")
 def embed_text(spark, sf_dir):
-    v = _questions(spark, sf_dir).select("qid", vectors.hashed_embedding(F.slice(T.tokens(F.col("question")), 1, 8)).alias("v"))
+    v = vectors.embed(_questions(spark, sf_dir).select("qid", F.slice(T.tokens(F.col("question")), 1, 8).alias("t")), "qid", "t", "v")
     ramp = F.sequence(F.lit(0), F.lit(63))
     return v.select("qid", F.size("v").cast("long").alias("dims"), F.round(vectors.dot(F.col("v"), ramp), 6).alias("moment"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("norm"))
 
@@ -259,9 +264,9 @@ def plan_retrieval(spark, sf_dir):
 @query(f"WITH {_INDEX}, q AS (SELECT item_id AS qid, text || ' ' || text AS question FROM benchmark), {_DENSE.replace('[1:8]', '')} " + _ranked("SELECT qid, doc_id, round(list_dot_product(qvec, vec), 6) AS score FROM qv, dv", 5))
 def hyde_dense(spark, sf_dir):
     """The dense side gets a drafted passage in place of the question; here the item's text twice stands for the draft."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", vectors.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
-    draft = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), vectors.hashed_embedding(T.tokens(F.concat_ws(" ", "text", "text"))).alias("qvec"))
-    return vectors.exact_search(docs, draft, 5, key="doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    draft = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.concat_ws(" ", "text", "text")).alias("t"))
+    return vectors.exact_search(vectors.embed(docs, "doc_id", "t", "embedding"), vectors.embed(draft, "qid", "t", "qvec"), 5, key="doc_id")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, v AS (SELECT qid, doc_id, rank FROM ({_bm25(50)})) SELECT *, 'dense retrieval failed' AS degraded FROM ({_rrf_sql('v', 5)})")
@@ -299,7 +304,7 @@ def floor_sweep(spark, sf_dir):
     return best.crossJoin(F.broadcast(floors)).groupBy("floor").agg(F.count_if(inside & (F.col("best") >= F.col("floor"))).alias("kept"), F.count_if(~inside & (F.col("best") < F.col("floor"))).alias("blocked"))
 
 
-@query(f"{_RERANK}, {_LABELS}, n AS (SELECT * FROM (VALUES (5), (10), (50)) AS _n(depth)), o AS (SELECT depth, qid, doc_id, row_number() OVER (PARTITION BY depth, qid ORDER BY rerank_score DESC, doc_id) AS r FROM rr, n WHERE first_rank <= depth), f AS (SELECT depth, qid, min(r) AS first FROM o JOIN labels_ USING (qid, doc_id) WHERE r <= 5 GROUP BY ALL) SELECT n.depth, count(f.qid) AS hits, round(coalesce(sum(1.0 / f.first), 0) / (SELECT count(*) FROM benchmark), 6) AS mrr FROM n LEFT JOIN f USING (depth) GROUP BY n.depth")
+@query(f"{_RERANK}, {_LABELS}, dep AS (SELECT * FROM (VALUES (5), (10), (50)) AS _n(depth)), o AS (SELECT depth, qid, doc_id, row_number() OVER (PARTITION BY depth, qid ORDER BY rerank_score DESC, doc_id) AS r FROM rr, dep WHERE first_rank <= depth), f AS (SELECT depth, qid, min(r) AS first FROM o JOIN labels_ USING (qid, doc_id) WHERE r <= 5 GROUP BY ALL) SELECT dep.depth, count(f.qid) AS hits, round(coalesce(sum(1.0 / f.first), 0) / (SELECT count(*) FROM benchmark), 6) AS mrr FROM dep LEFT JOIN f USING (depth) GROUP BY dep.depth")
 def depth_sweep(spark, sf_dir):
     depths = spark.createDataFrame([(5,), (10,), (50,)], "depth int")
     ranked = sparse.top(_reranked(spark, sf_dir).crossJoin(F.broadcast(depths)).where("first_rank <= depth"), 5, "rerank_score", ("depth", "qid"))
@@ -355,7 +360,7 @@ def metrics_by_type(spark, sf_dir):
     return m.groupingSets([[], ["kind"]], "kind").agg(F.when(F.grouping("kind") == 1, F.lit("all")).otherwise(F.col("kind")).alias("type"), F.count("*").alias("queries"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("hit"), 6).alias("hit")).select(F.lit("bm25").alias("config"), F.col("type").alias("kind"), "queries", "ndcg", "hit")
 
 
-@query(f"{_HYBRID}, {_LABELS}, s2 AS (SELECT 'bm25' AS strategy, qid, doc_id, rank FROM lists WHERE list = 'bm25' UNION ALL SELECT 'dense', qid, doc_id, rank FROM lists WHERE list = 'dense' UNION ALL SELECT 'rrf', qid, doc_id, rank FROM ({_rrf_sql('lists', 50)})), f AS (SELECT strategy, qid, min(rank) AS first FROM s2 JOIN labels_ USING (qid, doc_id) GROUP BY ALL), l AS (SELECT DISTINCT qid FROM labels_) SELECT x.strategy, count(*) AS probes, count_if(first <= 5) AS hit5, count_if(first <= 50) AS hit50, round(sum(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END) / count(*), 6) AS mrr5 FROM (SELECT DISTINCT strategy FROM s2) x CROSS JOIN l LEFT JOIN f ON f.strategy = x.strategy AND f.qid = l.qid GROUP BY x.strategy")
+@query(f"{_HYBRID}, {_LABELS}, s2 AS (SELECT 'bm25' AS strategy, qid, doc_id, rank FROM lists WHERE list = 'bm25' UNION ALL SELECT 'dense', qid, doc_id, rank FROM lists WHERE list = 'dense' UNION ALL SELECT 'rrf', qid, doc_id, rank FROM ({_rrf_sql('lists', 50)})), f AS (SELECT strategy, qid, min(rank) AS first FROM s2 JOIN labels_ USING (qid, doc_id) GROUP BY ALL), lq AS (SELECT DISTINCT qid FROM labels_) SELECT x.strategy, count(*) AS probes, count_if(first <= 5) AS hit5, count_if(first <= 50) AS hit50, round(sum(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END) / count(*), 6) AS mrr5 FROM (SELECT DISTINCT strategy FROM s2) x CROSS JOIN lq LEFT JOIN f ON f.strategy = x.strategy AND f.qid = lq.qid GROUP BY x.strategy")
 def probe_runner(spark, sf_dir):
     lists = _both(spark, sf_dir)
     runs = lists.select(F.col("list").alias("strategy"), "qid", "doc_id", "rank").unionByName(fusion.reciprocal_rank(lists, 50).select(F.lit("rrf").alias("strategy"), "qid", "doc_id", "rank"))
