@@ -38,15 +38,15 @@ def contributions(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     """qid, doc_id, term, tf, df, idf, part: what each query term adds to a document's score.
 
     Statistics are of the whole corpus. Only postings of query terms are scored: the distinct query terms meet
-    the exploded tokens by a semi join before anything is counted.
+    the exploded tokens by a semi join before anything is counted, and a document's length travels with its tokens.
     """
     wanted = terms.select("term").distinct()
-    hits = docs.select(F.col(key).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).join(wanted, "term", "left_semi")
-    post = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    split = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("toks"))
+    each = split.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+    post = each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     stats = term_statistics(docs, post)
-    size = lengths(docs, key, text)
-    mean = size.agg(F.avg("dl").alias("avgdl"))
-    scored = post.join(stats, "term").join(size, "doc_id").crossJoin(F.broadcast(mean))
+    mean = lengths(docs, key, text).agg(F.avg("dl").alias("avgdl"))
+    scored = post.join(stats, "term").crossJoin(F.broadcast(mean))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     return scored.join(terms, "term").select("qid", "doc_id", "term", "tf", "df", "idf", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
 
