@@ -49,9 +49,9 @@ def straight(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Index tokens: lower case, possessive endings off, stop words out."""
-    found = F.transform(all_matches(straight(c), TOKEN), lambda t: F.regexp_replace(t, "'s$", ""))
-    stops = strings(STOP_WORDS)
-    return F.filter(found, lambda t: ~F.array_contains(stops, t))
+    own = F.lit("'s")
+    found = F.transform(all_matches(straight(c), TOKEN), lambda t: F.when(F.endswith(t, own), F.left(t, F.length(t) - 2)).otherwise(t))
+    return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
 def question_words(c: Column) -> Column:
