@@ -31,8 +31,10 @@ LEAST_DOCUMENTS = 5
 #: Lengths of the beginnings of words.
 BEGINNINGS = (3, 4, 5, 6)
 FOLDS = 3
+#: Features that a Python worker counts before it hands its counts on.
+COUNTED = 50_000
 #: Words whose features a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -166,7 +168,12 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, categories: list[str], pos
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
-        for batch in slices(batches):
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*seen.values())) or [()] * (len(marks) + 1)
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["f", "n", *marks])
+
+        for batch in slices(batches, 64):
             ys = list(zip(*(batch.column(m).to_pylist() for m in marks)))
             for t, y in zip(as_text(batch.column("text")), ys):
                 for f in counts_of(t):
@@ -174,11 +181,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, categories: list[str], pos
                     at[0] += 1
                     for k, one in enumerate(y, 1):
                         at[k] += one
-        names = list(seen)
-        for at in range(0, len(names), 50_000):
-            few = names[at : at + 50_000]
-            columns = list(zip(*(seen[f] for f in few)))
-            yield pa.RecordBatch.from_arrays([pa.array(few), *(pa.array(c, pa.int64()) for c in columns)], ["f", "n", *marks])
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        yield out()
 
     counted = sample.mapInArrow(grams, f"f string, n long, {', '.join(f'{m} long' for m in marks)}").groupBy("f").agg(*(F.sum(c).alias(c) for c in ["n", *marks]))
     totals = sample.agg(F.count("*").alias("n"), *(F.sum(m).alias(m) for m in marks)).first()
