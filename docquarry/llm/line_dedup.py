@@ -27,11 +27,14 @@ from docquarry.llm.common import as_text, checkpointed, slices, table
 LEAST_WORDS = 5
 #: Documents with candidate lines that are broadcast by id at most; beyond that they are joined by a shuffle.
 BROADCAST_DOCS = 500_000
+#: Keys that more than one line has, broadcast at most (a hundred bytes each); beyond that the join shuffles both sides.
+BROADCAST_KEYS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _GAP = np.uint64(0xD6E8FEB86659FD93)
 _CHANGED = np.uint64(0xA5A5A5A55A5A5A5A)
 _PLACE = ["doc_id", "row", "line_no"]
+_HALVES = ["first", "last", "first_shorter", "last_shorter"]
 
 
 def words_of(line: str) -> list[bytes]:
@@ -84,6 +87,11 @@ def within_one_edit(a: list, b: list) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """A table of keys, broadcast if it is small, so that the other side of its join need not be shuffled again."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """doc_id, row, line_no, two hashes and the half keys of every line of enough words."""
 
@@ -96,18 +104,18 @@ def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
                     words = words_of(line)
                     if len(words) >= least:
                         both = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        out.append((doc, row, k, _signed(both >> 64), _signed(both & (1 << 64) - 1), half_keys(words)))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], [*_PLACE, "h1", "h2", "halves"])
+                        out.append((doc, row, k, _signed(both >> 64), _signed(both & (1 << 64) - 1), *half_keys(words)))
+            columns = list(zip(*out)) if out else [()] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], [*_PLACE, "h1", "h2", *_HALVES])
 
     named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(of, "doc_id long, row long, line_no int, h1 long, h2 long, halves array<long>")
+    return named.mapInArrow(of, f"doc_id long, row long, line_no int, h1 long, h2 long, {', '.join(f'{h} long' for h in _HALVES)}")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, row, line_no, line of the wanted places."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "line_no")).alias("wanted"))
+    """doc_id, row, line_no, line, shared of the wanted places (doc_id, row, line_no, shared)."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "line_no", "shared")).alias("wanted"))
     if wanted.select("doc_id").distinct().count() <= BROADCAST_DOCS:
         by_doc = F.broadcast(by_doc)
     here = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(by_doc, "doc_id")
@@ -117,23 +125,31 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
             out: list[tuple] = []
             for doc, t, places in zip(batch.column(0).to_pylist(), as_text(batch.column(1)), batch.column(2).to_pylist()):
                 row, lines = row_of(t), t.split("\n")
-                out += [(doc, row, p["line_no"], lines[p["line_no"]]) for p in places if p["row"] == row]
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.string()])], [*_PLACE, "line"])
+                out += [(doc, row, p["line_no"], lines[p["line_no"]], p["shared"]) for p in places if p["row"] == row]
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()])], [*_PLACE, "line", "shared"])
 
-    return here.select("doc_id", "text", "wanted").mapInArrow(of, "doc_id long, row long, line_no int, line string").dropDuplicates(_PLACE)
+    return here.select("doc_id", "text", "wanted").mapInArrow(of, "doc_id long, row long, line_no int, line string, shared int").dropDuplicates(_PLACE)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """key, whole (the line itself, not a deletion), gap, and the line's place."""
+    """key, whole (the line itself, not a deletion), gap, and the line's place.
+
+    shared has a bit for each half key that another line has. A partner of a shared first half differs in the
+    last one and the other way round, so only variants with their edit in the half that is not shared are emitted.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             which, keys, kinds = [], [], []
-            for r, line in enumerate(as_text(batch.column(3))):
+            for r, (line, shared) in enumerate(zip(as_text(batch.column(3)), batch.column(4).to_pylist())):
                 whole, deleted, gaps = variant_keys(words_of(line))
-                keys += [np.array([whole], np.uint64), np.unique(deleted), gaps]
-                sizes = [1, len(keys[-2]), len(gaps)]
+                n = len(gaps)
+                own = np.array([whole] * bool(shared & 3), np.uint64)
+                gaps = gaps[(0 if shared & 2 else n // 2) : (n if shared & 1 else n // 2)]
+                deleted = np.unique(deleted[(0 if shared & 8 else (n - 1) // 2) : (n if shared & 4 else (n - 1) // 2 + 1)]) if shared & 12 else deleted[:0]
+                keys += [own, deleted, gaps]
+                sizes = [len(own), len(deleted), len(gaps)]
                 which.append(np.full(sum(sizes), r))
                 kinds.append(np.repeat(np.array([0, 1, 2], np.int8), sizes))
             if not keys:
@@ -143,11 +159,11 @@ def _variants(lines: DataFrame) -> DataFrame:
                 [pa.array(np.concatenate(keys).view(np.int64)), pa.array(kind == 0), pa.array(kind == 2), *(batch.column(c).take(rows) for c in range(3))], ["key", "whole", "gap", *_PLACE]
             )
 
-    return lines.select(*_PLACE, "line").mapInArrow(of, "key long, whole boolean, gap boolean, doc_id long, row long, line_no int")
+    return lines.select(*_PLACE, "line", "shared").mapInArrow(of, "key long, whole boolean, gap boolean, doc_id long, row long, line_no int")
 
 
 def near_copies(lines: DataFrame) -> DataFrame:
-    """The places of lines (doc_id, row, line_no, line; no two alike) that have an earlier line within one edit.
+    """The places of lines (doc_id, row, line_no, line, shared; no two alike) that have an earlier line within one edit.
 
     For each key only the earliest place of each kind counts, so a group of near copies gives one link a row and
     no pairs. The minima are combined before the shuffle, and the join back may be split where a key is hot.
@@ -157,11 +173,11 @@ def near_copies(lines: DataFrame) -> DataFrame:
     first = variants.groupBy("key").agg(
         F.min(F.when(F.col("gap"), place)).alias("gap_first"), F.min(F.when(F.col("whole"), place)).alias("whole_first"), F.min(F.when(~F.col("gap") & ~F.col("whole"), place)).alias("cut_first"), F.count("*").alias("rows")
     )
-    met = variants.join(first.where("rows > 1").drop("rows"), "key")
+    met = variants.join(_few(checkpointed(first.where("rows > 1").drop("rows"))), "key")
     partner = F.when(F.col("gap"), F.col("gap_first")).when(F.col("whole"), F.col("cut_first")).otherwise(F.col("whole_first"))
     found = met.withColumn("partner", partner).where(F.col("partner") < place).groupBy(*_PLACE).agg(F.min("partner").alias("partner"))
     partners = lines.select(place.alias("partner"), F.col("line").alias("other"))
-    pairs = found.join(lines, _PLACE).join(partners, "partner")
+    pairs = found.join(lines.drop("shared"), _PLACE).join(partners, "partner")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,10 +190,12 @@ def near_copies(lines: DataFrame) -> DataFrame:
 def kept_places(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, row, line_no of the lines of `least` words or more that stay."""
     place = F.struct(*_PLACE)
-    distinct = checkpointed(_lines(docs, key, text, least).groupBy("h1", "h2").agg(F.min(place).alias("p"), F.min("halves").alias("halves")).select("p.*", "h1", "halves"))
-    halves = distinct.select(*_PLACE, "h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
-    candidates = checkpointed(halves.join(shared, "half", "left_semi").select(*_PLACE).distinct())
+    grouped = _lines(docs, key, text, least).groupBy("h1", "h2").agg(F.min(place).alias("p"), *(F.min(h).alias(h) for h in _HALVES))
+    distinct = checkpointed(grouped.select("p.*", "h1", *_HALVES))
+    halves = distinct.select("h1", F.posexplode(F.array(*_HALVES)).alias("which", "half"))
+    shared = checkpointed(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half"))
+    partnered = halves.join(_few(shared), "half", "left_semi").groupBy("h1").agg(F.sum_distinct(F.expr("shiftleft(1, which)")).cast("int").alias("shared"))
+    candidates = checkpointed(distinct.join(partnered, "h1").select(*_PLACE, "shared"))
     lines = checkpointed(_texts_of(docs, candidates, key, text))
     return distinct.select(*_PLACE).join(near_copies(lines), _PLACE, "left_anti")
 

@@ -57,7 +57,7 @@ def test_equals_brute_force(spark):
 
 
 def test_a_group_of_near_copies_and_no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ld, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(ld, "BROADCAST_DOCS", 0), monkeypatch.setattr(ld, "BROADCAST_KEYS", 0)
     text = [f"one two three four five six seven w{i}" for i in range(200)]
     rows = [(i, t + "\nshort line\n" + text[0]) for i, t in enumerate(text)]
     out = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), marks=True).collect()
