@@ -5,7 +5,10 @@ of the first page is its first form, and each further page is aligned with it. T
 slots, runs of alike elements (alone or in twos and threes) become repeated groups, and elements that one side
 lacks become optional groups; no unions arise. Then the wrapper tells where the host's article lies: what is
 within the article or main element, else the innermost element that holds most of the text in slots; texts that
-are equal on all of its pages (labels of the template) are not data.
+are equal on all of its pages (labels of the template) are not data, unless they lie in an article element.
+
+A wrapper comes from a few pages. Whatever it would take away (labels, and what lies beside an element that was
+found by its slots alone) is confirmed on all pages of the host first, and the latter on each page as it is read.
 
 Elements that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments of readers) are known by their tags, roles and class names.
@@ -231,14 +234,26 @@ def _find_article(node: list, path: list) -> list[tuple[int, list]]:
 
 
 def infer(pages: list[str]) -> dict:
-    """path: names from the root to the element that holds the article (of one page: None); labels: texts in it that are the template's."""
+    """path: names from the root to the element that holds the article (of one page: None); labels: texts in it, but in no article element, that are the template's."""
+    return {k: v for k, v in _inferred(pages).items() if k in ("path", "labels")}
+
+
+def _constants(node: list, different: int) -> set[str]:
+    """Texts that all pages have, wherever they lie."""
+    if _is_text(node):
+        return {node[0]} if node[0] is not None and node[2] >= different else set()
+    return set() if node[1] else {c for g in node[2] for n in g[0] for c in _constants(n, different)}
+
+
+def _inferred(pages: list[str]) -> dict:
+    """As infer; by_slots: the path was found by the slots alone; constants: what these pages have in common."""
     different = list(dict.fromkeys(pages))
     whole = None
     for p in different:
         one = wrapper_of(parse(p))
         whole = one if whole is None else _merge(whole, one)
     if whole is None or len(different) < 2:
-        return {"path": None, "labels": []}
+        return {"path": None, "labels": [], "by_slots": False, "constants": []}
     node, path = whole, []
     articles = [x for x in _find_article(whole, []) if x[0]]
     if articles:
@@ -254,7 +269,7 @@ def infer(pages: list[str]) -> dict:
             node = top[1]
             path.append(node[0])
     labels: list[str] = []
-    if len(different) >= LEAST_PAGES:
+    if len(different) >= LEAST_PAGES and not any(name.split(".")[0] == "article" for name in path):
         region = [whole]
         for name in path:
             region = [n for r in region for g in r[2] for n in g[0] if not _is_text(n) and n[0] == name]
@@ -266,11 +281,38 @@ def infer(pages: list[str]) -> dict:
                     if _is_text(k):
                         if k[0] is not None and not g[1] and k[2] >= len(different):
                             labels.append(k[0])
-                    else:
+                    elif k[0].split(".")[0] != "article":
                         todo.append(k)
         if sum(map(len, labels)) * len(different) > sum(map(_mass, region)):
             labels = []  # pages of one text teach nothing about labels
-    return {"path": path or None, "labels": sorted(set(labels))}
+    by_slots = bool(path) and not articles
+    return {"path": path or None, "labels": sorted(set(labels)), "by_slots": by_slots, "constants": sorted(_constants(whole, len(different)) | set(labels)) if by_slots or labels else []}
+
+
+def _seen(page: str, wrapper: dict) -> list[tuple[int, str, int, int]]:
+    """depth, text, 1, characters: of each element on the path (or the last one alone) all that it holds (text "") and the wrapper's constants."""
+    root, path, constants, out = parse(page), wrapper["path"] or [], set(wrapper["constants"]), []
+    for depth in range(0 if wrapper["by_slots"] else len(path), len(path) + 1):
+        found = [b for r in _regions(root, path[:depth]) for b in blocks(r, set())]
+        out.append((depth, "", int(bool(found)), sum(map(len, found))))
+        out += [(depth, c, 1, len(c) * found.count(c)) for c in constants.intersection(found)]
+    return out
+
+
+def _settled(wrapper: dict, seen: dict[tuple[int, str], tuple[int, int]]) -> dict:
+    """The wrapper as far as all pages bear it out: the path up to the last element that holds MAIN_SHARE of what varies around it, and labels that no page lacks."""
+    path, last = wrapper["path"] or [], len(wrapper["path"] or [])
+
+    def varying(depth: int) -> int:
+        pages, chars = seen.get((depth, ""), (0, 0))
+        return chars - sum(m for (d, c), (n, m) in seen.items() if d == depth and c and n >= pages)
+
+    if wrapper["by_slots"]:
+        path = path[: next((d for d in range(last) if varying(d + 1) < MAIN_SHARE * varying(d)), last)]
+    pages = seen.get((last, ""), (0, 0))[0]
+    labels = [x for x in wrapper["labels"] if pages and seen.get((last, x), (0, 0))[0] >= pages]
+    everywhere = seen.get((0, ""), (0, 0))[0]
+    return {"path": path or None, "labels": labels, "by_slots": wrapper["by_slots"], "constants": [c for c in wrapper["constants"] if wrapper["by_slots"] and seen.get((0, c), (0, 0))[0] >= everywhere]}
 
 
 def _regions(e: Element, path: list[str]) -> list[Element]:
@@ -290,16 +332,16 @@ def _first(e: Element, tags: tuple) -> list[Element]:
 
 
 def blocks(e: Element, labels: set[str]) -> list[str]:
-    """The text of each block in order, white space folded."""
+    """The text of each block in order, white space folded; without labels that lie in no article element."""
     out, line = [], []
 
-    def close() -> None:
+    def close(labels: set[str]) -> None:
         words = " ".join("".join(line).split())
         if words and words not in labels:
             out.append(words)
         line.clear()
 
-    def walk(n: Element) -> None:
+    def walk(n: Element, labels: set[str]) -> None:
         for k in n.kids:
             if isinstance(k, str):
                 line.append(k)
@@ -307,23 +349,32 @@ def blocks(e: Element, labels: set[str]) -> list[str]:
                 line.append(" ")
             elif not k.never:
                 if k.tag in BLOCKS and k.tag not in ("td", "th"):
-                    close()
-                    walk(k)
-                    close()
+                    close(labels)
+                    own = set() if k.tag == "article" else labels
+                    walk(k, own)
+                    close(own)
                 else:
                     if k.tag in ("td", "th"):
                         line.append(" ")
-                    walk(k)
+                    walk(k, labels)
 
-    walk(e)
-    close()
+    walk(e, labels)
+    close(labels)
     return out
 
 
+def _held(root: Element, path: list[str], constants: set[str]) -> list[str]:
+    """The path up to the last element that holds MAIN_SHARE of this page's own text around it."""
+    sizes = [sum(len(b) for r in _regions(root, path[:d]) for b in blocks(r, constants)) for d in range(len(path) + 1)]
+    return path[: next((d for d in range(len(path)) if sizes[d + 1] < MAIN_SHARE * sizes[d]), len(path))]
+
+
 def main_text(page: str, wrapper: dict | None) -> str:
     """The article's blocks, joined by line breaks. A page that lacks the wrapper's article is read by its own main or article element, else whole."""
     root = parse(page)
     path, labels = (wrapper["path"], set(wrapper["labels"])) if wrapper else (None, set())
+    if path and wrapper.get("by_slots"):
+        path = _held(root, path, set(wrapper["constants"]))
     region = _regions(root, path) if path else []
     if not region or not any(blocks(r, labels) for r in region):
         region, labels = _first(root, ("main",)) or _first(root, ("article",)) or [root], set()
@@ -334,8 +385,40 @@ def _host(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _confirmed(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """host, wrapper: those that would take text away (open) as far as all pages (host, html) bear them out. Counts are summed before the shuffle."""
+    ready, todo = found.where("NOT open").select("host", "wrapper"), found.where("open").select("host", "wrapper")
+    size = todo.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0]
+    if size is None:
+        return ready
+    joined = placed.select("host", "html").where("html != ''").join(F.broadcast(todo) if size <= BROADCAST_BYTES else todo, "host")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            total: dict[tuple, list[int]] = {}
+            for host, page, w in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                for depth, text, n, chars in _seen(page, json.loads(w)):
+                    sums = total.setdefault((host, depth, text), [0, 0])
+                    sums[0] += n
+                    sums[1] += chars
+            rows = [(*k, *v) for k, v in total.items()]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["host", "depth", "text", "n", "chars"])
+
+    sums = joined.select("host", "html", "wrapper").mapInArrow(count, "host string, depth int, text string, n long, chars long").groupBy("host", "depth", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+    def of(pdf):
+        import pandas as pd
+
+        seen = {(d, t): (n, m) for d, t, n, m in zip(pdf["depth"], pdf["text"], pdf["n"], pdf["chars"])}
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(_settled(json.loads(pdf["wrapper"].iloc[0]), seen))]})
+
+    return ready.unionByName(sums.join(todo, "host").groupBy("host").applyInPandas(of, "host string, wrapper string"))
+
+
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """host, wrapper (JSON) of every host, from `sample` of its pages at most. A host's pages are ranked without their html, few of each task at a time."""
+    """host, wrapper (JSON) of every host, from `sample` of its pages at most, confirmed on all of them. A host's pages are ranked without their html, few of each task at a time."""
     placed = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), _host(url).alias("host"), F.col(page).cast("string").alias("html"))
     order = F.xxhash64("k", "u")
     ranked = placed.select("k", "u", "host").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(order, "k", "u"))).where(F.col("rank") <= sample)
@@ -348,9 +431,10 @@ def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         import pandas as pd
 
         chosen = pdf.sort_values(["k", "u"])["html"]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer([x for x in chosen if x]))]})
+        w = _inferred([x for x in chosen if x])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(w)], "open": [w["by_slots"] or bool(w["labels"])]})
 
-    return taken.groupBy("host").applyInPandas(of, "host string, wrapper string")
+    return _confirmed(placed, checkpointed(taken.groupBy("host").applyInPandas(of, "host string, wrapper string, open boolean")))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:

@@ -64,3 +64,30 @@ def test_pages_of_a_table(spark, monkeypatch):
     monkeypatch.setattr(hw, "BROADCAST_BYTES", 0), monkeypatch.setattr(hw, "BROADCAST_SAMPLE", 0)
     assert sorted(map(tuple, hw.extract(pages).collect()), key=str) == expected
     assert hw.extract(pages.where("page_id = 999")).collect() == []
+
+
+def test_nothing_that_varies_beyond_the_sample_goes(spark):
+    """Of 60 pages a host few are sampled; the page that differs from all others is not among them."""
+    top = lambda n: f"<div class=top><b>{'long teaser ' * 30 if n == 7 else 'Daily'} {n}</b></div>"
+    kinds = {
+        "article": lambda n: f"<article><h1>Title {n}</h1><h2>{'A guest' if n == 7 else 'By the desk'}</h2><p>{f'text{n} ' * 9}</p></article>",
+        "plain": lambda n: f"{top(n)}<div class=c7><h1>Title {n}</h1><h2>{'A guest' if n == 7 else 'By the desk'}</h2><h3>Always</h3><p>{f'text{n} ' * 40}</p></div>",
+        "moved": lambda n: "<div class=w>" + (f"<div class=c7><h1>Title {n}</h1><p>{f'text{n} ' * 40}</p></div>" if n % 20 == 7 else "") + f"<div class=c8><h1>Head {n}</h1><p>{f'word{n} ' * (4 if n % 20 == 7 else 9)}</p></div></div>",
+    }
+    rows = [(n, f"https://{kind}.org/{n}", CHROME.format(n=n, body=make(n))) for kind, make in kinds.items() for n in range(60)]
+    got = {(r.url.split("/")[2], r.page_id): r.text.split("\n") for r in hw.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=4).collect()}
+    for n in range(60):
+        desk = "A guest" if n == 7 else "By the desk"
+        assert got["article.org", n] == [f"Title {n}", desk, " ".join([f"text{n}"] * 9)]
+        teaser = [(("long teaser " * 30) + " 7").replace("  ", " "), f"Title {n}", desk] if n == 7 else [f"Title {n}", desk]  # most of page 7 is its teaser, so all of it is read
+        assert got["plain.org", n] == [*teaser, " ".join([f"text{n}"] * 40)]  # "Always" is on every page
+        moved = [f"Title {n}", " ".join([f"text{n}"] * 40)] if n % 20 == 7 else []
+        assert set(moved) <= set(got["moved.org", n]) and f"Head {n}" in got["moved.org", n]
+
+
+def test_labels_in_an_article_element_stay():
+    pages = [f"<main><h2>Latest</h2><article><h2>Summary</h2><p>{f'text{n} ' * 20}</p></article></main>" for n in range(5)]
+    wrapper = hw.infer(pages)
+    assert wrapper == {"path": ["main"], "labels": ["Latest"]}
+    assert hw.main_text(pages[0], wrapper).split("\n") == ["Summary", " ".join(["text0"] * 20)]
+    assert hw.infer([p.replace("main", "div") for p in pages])["labels"] == []
