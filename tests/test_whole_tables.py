@@ -1,6 +1,6 @@
-"""Queries without SQL, against plain Python over every row of their tables."""
+"""Queries without SQL, against plain Python over every row of their tables and whole questions."""
 
-from docquarry.operators import chunk
+from docquarry.operators import agent, chunk
 from docquarry.plans import QUERIES
 from docquarry.plans.registry import table
 from tests.oracle import SF
@@ -21,3 +21,18 @@ def test_structured_chunks_of_every_document(spark):
     for r in got:
         held.setdefault(r.doc_id, set()).update(r.chunk.split())
     assert all(set(t.split()) <= held.get(i, set()) for i, t in texts.items() if "|" not in t)
+
+
+def test_whole_questions_are_searched(spark):
+    """The words that tell the documents apart come after the eighth."""
+    start = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = {1: f"{start}.", 2: "alpha beta. Kappa lambda omicron sigma upsilon omega phi chi.", 3: "unrelated words only."}
+    question = f"{start} kappa lambda omicron sigma upsilon omega phi chi rho tau"
+    asked = spark.createDataFrame([(7, question)], "qid long, question string")
+    corpus = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
+    words = {i: set(t.lower().replace(".", " ").split()) for i, t in docs.items()}
+    share = {i: round(len(words[i] & set(question.split())) / len(question.split()), 6) for i in docs}
+    got = {(r.doc_id, r.share, r["round"]) for r in agent.corrective_retrieval(asked, corpus, rounds=0).collect()}
+    assert got == {(i, share[i], 0) for i in (1, 2)}
+    (answer,) = agent.answer_batch(asked, corpus).collect()
+    assert (answer.doc_id, answer.refused_by) == (2, None) and "Kappa" in answer.answer
