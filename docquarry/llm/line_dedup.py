@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared as sequences of lower-case words; the edit bound is one word put in, taken out or changed,
-which for lines of five words or more is a similarity of 0.8 or more. Every line emits its variants as hashed
+whatever the length of the line (a similarity of 0.8 only for lines of five words). Every line emits its variants as hashed
 keys: itself, each deletion, and each deletion with its place kept (a gap). Equal keys join: a line and another's
 deletion differ by one word put in or taken out, two lines with the same gap by one changed word. A link is
 verified on the words, and of two linked lines the earlier one stays.
