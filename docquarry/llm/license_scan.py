@@ -8,6 +8,11 @@ words that are aligned.
 In a long text no word of a short notice may be unique, so alignments are made in windows: stretches of the text
 that hold enough of the template's words to reach the coverage wanted. All such stretches of the whole text are
 tried, so a license anywhere is found.
+
+Templates that are much alike (versions 2 and 3, with and without NC) all cover one another's notices. So an
+alignment must have each word that tells its template from one alike, and no word that tells one alike from it;
+and alignments that overlap compete: the one with the most aligned words stays, less the words missing from the
+template and those left over in the stretch.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import as_text, slices, table, text_column, words
 
 COVERAGE = 0.8
+#: Templates that share this part of the longer one's words in order are alike.
+ALIKE = 0.6
 
 # Names and notices of widely used licenses.
 TEMPLATES = [
@@ -39,6 +46,15 @@ TEMPLATES = [
     ("BSD-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("LGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
     ("MPL-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
@@ -86,6 +102,21 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def closest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of neighbouring pairs with the most pairs (twice) less the words of the text between them: what lies far off is no part of the place."""
+    best = (0, 0, 0)
+    total = start = 0
+    for k, (p, _) in enumerate(pairs):
+        gap = p - pairs[k - 1][0] - 1 if k else 0
+        if total <= gap:
+            total, start = 0, k
+        else:
+            total -= gap
+        total += 2
+        best = max(best, (total, -start, -k - 1))
+    return pairs[-best[1] : -best[2]]
+
+
 class Templates:
     """Templates as words, and what a text must have of each to be aligned with it."""
 
@@ -98,6 +129,17 @@ class Templates:
             self.member[k, [self.index[w] for w in t]] = 1
         # If `coverage` of the words are aligned, so many kinds of words at least must be there.
         self.kinds = self.member.sum(1) - np.array([int((1 - coverage) * len(t) + 1e-9) for _, t in self.all], np.int32)
+        # What tells templates that are alike from each other: words that must be aligned, and words that must not lie between.
+        self.own: list[set] = [set() for _ in self.all]
+        self.foreign: list[set] = [set() for _ in self.all]
+        for k, (_, t) in enumerate(self.all):
+            for _, other in self.all[:k] + self.all[k + 1 :]:
+                if min(len(t), len(other)) >= ALIKE * max(len(t), len(other)):
+                    pairs = patience(other, t)
+                    if len(pairs) >= ALIKE * max(len(t), len(other)):
+                        theirs, ours = ({x[side] for x in pairs} for side in (0, 1))
+                        self.own[k] |= {w for at, w in enumerate(t) if at not in ours}
+                        self.foreign[k] |= {w for at, w in enumerate(other) if at not in theirs} - set(t)
 
     def windows(self, k: int, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """Stretches of the text with enough places of template k's words; those that overlap are one."""
@@ -119,43 +161,55 @@ class Templates:
             yield begin, end
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """name, coverage, first and last aligned word of the text, number of places: the best place of each template."""
+        """name, coverage, first and last aligned word of the text, number of places: the best place of each template that won any."""
         tokens = words(text)
         get = self.index.get
         ids = np.array([get(w, 0) for w in tokens], np.int64)
         there = np.zeros(len(self.index) + 1, np.int32)
         there[ids] = 1
         there[0] = 0
-        out = []
+        found: list[tuple[int, float, int, int, int]] = []
         for k in np.nonzero(self.member @ there >= np.maximum(self.kinds, 1))[0].tolist():
-            name, t = self.all[k]
-            found = []
             for a, b in self.windows(k, ids):
-                found += self._in_stretch(tokens, t, a, b)
-            if found:
-                best = max(found, key=lambda x: (x[0], -x[1]))
-                out.append((name, *best, len(found)))
-        return out
-
-    def _in_stretch(self, tokens: list, t: list, a: int, b: int) -> list[tuple[float, int, int]]:
-        """Alignments of one template's length each along the stretch; a place is counted once."""
-        found, span = [], len(t) + len(t) // 2 + 8
+                found += self._in_stretch(tokens, k, a, b)
+        won: dict[int, list[tuple[float, int, int]]] = {}
+        firsts: list[int] = []  # places that are taken, in order
+        lasts: list[int] = []
+        for _, coverage, k, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            at = bisect_left(firsts, first)
+            if (at and lasts[at - 1] >= first) or (at < len(firsts) and firsts[at] <= last):
+                continue
+            firsts.insert(at, first), lasts.insert(at, last)
+            won.setdefault(k, []).append((coverage, first, last))
+        return [(self.all[k][0], *max(places, key=lambda x: (x[0], -x[1])), len(places)) for k, places in sorted(won.items())]
+
+    def _in_stretch(self, tokens: list, k: int, a: int, b: int) -> list[tuple[int, float, int, int, int]]:
+        """worth, coverage, template, first and last word of alignments along the stretch, each in a window a little longer than the template."""
+        t, found = self.all[k][1], []
+        span = len(t) + len(t) // 2 + 8
         while a < b:
-            pairs = patience(tokens[a : min(b, a + span)], t)
-            if len(pairs) >= self.coverage * len(t) - 1e-9:
-                found.append((len(pairs) / len(t), a + pairs[0][0], a + pairs[-1][0]))
-                a = found[-1][2] + 1
-            else:
-                a += max(1, len(t) // 4)
+            pairs = closest(patience(tokens[a : min(b, a + span)], t))
+            if len(pairs) >= self.coverage * len(t) - 1e-9 and pairs:
+                aligned, first, last = {p for p, _ in pairs}, pairs[0][0], pairs[-1][0]
+                between = [tokens[a + p] for p in range(first, last + 1) if p not in aligned]
+                if self.own[k] <= {t[q] for _, q in pairs} and self.foreign[k].isdisjoint(between):
+                    found.append((2 * len(pairs) - len(t) - len(between), len(pairs) / len(t), k, a + first, a + last))
+                    if not between:
+                        a += last + 1
+                        continue
+            a += max(1, len(t) // 4)
         return found
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, license, coverage, first_word, last_word, places: one row for each document and template that covers it.
-
-    Of several places the best is given (the first of equal ones), and how many there are. Null and empty texts
-    and templates match nothing; repeated rows are scanned each; a null id stays null; an empty table gives no
-    rows. The templates go to every worker; they are the caller's list, not data.
+    """doc_id, license, coverage, first_word, last_word, places: one row for each document and template that covers it best somewhere.
+
+    Each place of a text is given to one template: of those that reach the coverage there the one with most words
+    aligned less those missing and left over, of equal ones the one with the higher coverage, then the first of
+    the list. Of several places of a template the best is given (the first of equal ones), and how many there
+    are. A text of any length is scanned whole. Null and empty texts and templates match nothing; repeated rows
+    are scanned each; a null id stays null; other columns do not matter, whatever their names; an empty table
+    gives no rows. The templates go to every worker; they are the caller's list, not data.
     """
     known = Templates(TEMPLATES if templates is None else templates, coverage)
 

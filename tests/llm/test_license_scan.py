@@ -60,3 +60,45 @@ def test_documents(spark):
     assert out == sorted([(1, "Apache-2.0", 1.0, 2), (1, "Apache-2.0", 1.0, 1), (2, "MIT-text", 1.0, 1), (None, "Apache-2.0", 1.0, 1), (6, "MIT-text", round((n - 3) / n, 2), 1), (8, "MIT", 1.0, 1)], key=str)
     assert [(r.first_word, r.last_word) for r in ls.scan(docs.where("doc_id = 1")).collect() if r.places == 1] == [(50, 57)]
     assert ls.scan(docs.where("doc_id = 99")).collect() == [] and ls.scan(docs, []).collect() == []
+
+
+def test_templates_that_are_alike_are_told_apart():
+    """Every notice, clean, loosely set, or amid others, is its own license and no other."""
+    known = ls.Templates(ls.TEMPLATES, ls.COVERAGE)
+    for name, notice in ls.TEMPLATES:
+        n = len(words(notice))
+        assert [(x[0], x[1], x[3] - x[2] + 1) for x in known.scan(f"some words before. {notice} and after")] == [(name, 1.0, n)], name
+        assert [x[0] for x in known.scan(notice.lower().replace(" ", " * "))] == [name]
+    both = known.scan("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.")
+    assert sorted((x[0], x[1], x[4]) for x in both) == [("CC-BY-4.0", 1.0, 1), ("CC-BY-NC-4.0", 1.0, 2)]
+    gpl = dict(ls.TEMPLATES)["GPL-header"]
+    assert [x[0] for x in known.scan(gpl.replace("hope", "").replace("details", "detail"))] == ["GPL-header"]
+    assert known.scan(gpl.replace("version 3", "version 1")) == []  # neither 2 nor 3
+    assert known.scan("Licensed under CC BY-NC 3.0.") == [] and known.scan("This work is licensed under the GNU General Public License, version 1.") == []
+    assert known.scan("This work is licensed under the GNU Lesser General Public License, version 2.") == []  # neither the Lesser 2.1 nor the General 2
+
+
+def test_what_is_no_license_is_not_found():
+    known = ls.Templates(ls.TEMPLATES, ls.COVERAGE)
+    rng = random.Random(12)
+    vocabulary = sorted({w.decode() for _, t in known.all for w in t})
+    for _ in range(200):
+        assert known.scan(" ".join(rng.choice(vocabulary) for _ in range(300))) == []
+    for t in ("Released under the moon", "The Apache License is a license.", "licensed under the general public", "version 2.0 of the License"):
+        assert known.scan(t) == []
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    notice = dict(ls.TEMPLATES)["CC-BY-NC-4.0"]
+    rows = [(1, "filler words go on " * 60_000 + notice), (2, (notice + " x ") * 3000), (2, "y"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, license string, places int, first_word int, `odd``name` int")
+    out = sorted((r.doc_id, r.license, r.coverage, r.first_word, r.last_word, r.places) for r in ls.scan(docs).collect())
+    assert out == [(1, "CC-BY-NC-4.0", 1.0, 240_000, 240_006, 1), (2, "CC-BY-NC-4.0", 1.0, 0, 6, 3000)]
+
+
+def test_notices_of_a_table_and_nothing_else(spark):
+    """All pairs of document and license, against the notices written out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    notices = {n: b" " + b" ".join(words(t)) + b" " for n, t in ls.TEMPLATES}
+    expected = {(r.doc_id, n) for r in docs.collect() for n, x in notices.items() if x in b" " + b" ".join(words(r.text or "")) + b" "}
+    assert len(expected) > 10 and {(r.doc_id, r.license) for r in ls.scan(docs).collect()} == expected
