@@ -12,11 +12,12 @@ tried, so a license anywhere is found.
 Templates that are much alike (versions 2 and 3, with and without NC) all cover one another's notices. So an
 alignment must have each word that tells its template from one alike, and no word that tells one alike from it;
 and alignments that overlap compete: the one with the most aligned words stays, less the words missing from the
-template and those left over in the stretch.
+template and those left over in the stretch. Nor may another number lie where one of the template is missing.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ COVERAGE = 0.8
 #: Templates that share this part of the longer one's words in order are alike.
 ALIKE = 0.6
 
+_NUMBER = re.compile(rb"\d").search
+
 # Names and notices of widely used licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -192,7 +195,9 @@ class Templates:
             if len(pairs) >= self.coverage * len(t) - 1e-9 and pairs:
                 aligned, first, last = {p for p, _ in pairs}, pairs[0][0], pairs[-1][0]
                 between = [tokens[a + p] for p in range(first, last + 1) if p not in aligned]
-                if self.own[k] <= {t[q] for _, q in pairs} and self.foreign[k].isdisjoint(between):
+                there = {t[q] for _, q in pairs}
+                other_number = any(_NUMBER(w) for w in between) and any(_NUMBER(w) and w not in there for w in t)
+                if self.own[k] <= there and self.foreign[k].isdisjoint(between) and not other_number:
                     found.append((2 * len(pairs) - len(t) - len(between), len(pairs) / len(t), k, a + first, a + last))
                     if not between:
                         a += last + 1
