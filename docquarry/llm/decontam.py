@@ -13,21 +13,24 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import as_text, slices, table, text_column, words
+from docquarry.llm.common import as_text, checkpointed, slices, table, text_column, words
 
 K1, B = 1.5, 0.75
 #: Share of an item's score against itself that a passage must reach.
 THRESHOLD = 0.6
 #: Share of the words of the question, and of the answer, that must be found in order.
 OVERLAP = 0.8
-#: Words of test items in one index, at most; more items are split over several indexes, each searched by all passages.
+#: Words of test items in one index, about; more items are split over several indexes, each searched by all passages.
 INDEX_WORDS = 300_000
+#: Indexes that one pass over the documents searches; what a worker holds is bounded by so many.
+INDEXES_AT_A_TIME = 4
 BLOCK_ITEMS = 4
 #: Coarse blocks that the first bound tells apart, at most (of neighbouring blocks taken together).
 BOUND_BLOCKS = 64
@@ -56,6 +59,16 @@ def longest_common(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+@dataclass
+class Statistics:
+    """Of all test items, however many indexes they are split over: how many have a word, their mean and greatest length, how many have each term (those asked for at least)."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
 @dataclass
 class Index:
     """Items in order of length, so that neighbours score alike. Term 0 is any word that no item has."""
@@ -134,7 +147,7 @@ class Index:
                 for c in lists[: pivot + 1]:
                     seek(c, max(ahead, item + 1))
             elif lists[0][0] == item:
-                score = sum(c[3][c[1]] for c in lists[: pivot + 1])
+                score = fsum(c[3][c[1]] for c in lists[: pivot + 1])
                 if score >= slack:
                     found.append((item, score))
                 for c in lists[: pivot + 1]:
@@ -144,32 +157,37 @@ class Index:
                     seek(c, item)
 
 
-def build_index(rows: list[tuple]) -> Index | None:
-    """rows: (item id, text), or (item id, question, answer). None where no item has a word."""
+def _parted(texts: list) -> tuple[list[bytes], list[bytes]]:
+    """Question and answer of an item given as one text, or as both."""
+    return question_and_answer(texts[0] or "") if len(texts) == 1 else (words(texts[0] or ""), words(texts[1] or ""))
+
+
+def build_index(rows: list[tuple], known: Statistics | None = None) -> Index | None:
+    """rows: (item id, text), or (item id, question, answer); known: of all items, where these are a part. None where no item has a word."""
     parted = []
     for item, *texts in rows:
-        q, a = question_and_answer(texts[0] or "") if len(texts) == 1 else (words(texts[0] or ""), words(texts[1] or ""))
+        q, a = _parted(texts)
         if q or a:
             parted.append((len(q) + len(a), item, q, a))
     if not parted:
         return None
     parted.sort(key=lambda x: (x[0], x[1] is None, x[1], x[2], x[3]))
-    n, mean = len(parted), sum(x[0] for x in parted) / len(parted)
     counts = [Counter(q + a) for _, _, q, a in parted]
-    df = Counter(t for c in counts for t in c)
-    terms = {t: k for k, t in enumerate(sorted(df), 1)}
+    known = known or Statistics(len(parted), sum(x[0] for x in parted) / len(parted), parted[-1][0], Counter(t for c in counts for t in c))
+    n, mean, df = known.n, known.mean, known.df
+    terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}), 1)}
     postings: list[list[tuple[int, float]]] = [[] for _ in range(len(terms) + 1)]
     for i, (length, c) in enumerate(zip((x[0] for x in parted), counts)):
         norm = K1 * (1 - B + B * length / mean)
         raw = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
-        total = sum(raw.values())
+        total = fsum(raw.values())
         for t, s in raw.items():
             postings[terms[t]].append((i, s / total))
     first = np.concatenate(([0], np.cumsum([len(p) for p in postings])))
     item = np.array([i for p in postings for i, _ in p], np.int64)
     score = np.array([s for p in postings for _, s in p])
     term = np.repeat(np.arange(len(postings)), np.diff(first))
-    blocks = -(-n // BLOCK_ITEMS)
+    blocks = -(-len(parted) // BLOCK_ITEMS)
     cell, inverse = np.unique(term * blocks + item // BLOCK_ITEMS, return_inverse=True)
     block_most = np.zeros(len(cell))
     np.maximum.at(block_most, inverse, score)
@@ -178,7 +196,7 @@ def build_index(rows: list[tuple]) -> Index | None:
     per = -(-blocks // groups) * BLOCK_ITEMS
     bound = np.zeros((len(postings), groups), np.float32)
     np.maximum.at(bound, (term, item // per), score.astype(np.float32) * np.float32(1.000001))
-    return Index([x[1] for x in parted], [x[2] for x in parted], [x[3] for x in parted], terms, first, item, score, bound.max(1).astype(float), block_first, cell % blocks, block_most, bound, parted[-1][0])
+    return Index([x[1] for x in parted], [x[2] for x in parted], [x[3] for x in parted], terms, first, item, score, bound.max(1).astype(float), block_first, cell % blocks, block_most, bound, known.longest)
 
 
 def _halves_over(index: Index, ids: np.ndarray, half: int, threshold: float) -> np.ndarray:
@@ -225,14 +243,64 @@ def find(index: Index, text: str, threshold: float, overlap: float) -> dict[int,
     return best
 
 
-def _indexes(benchmark: DataFrame, index_words: int) -> list[Index]:
-    """One index, or several of about `index_words` words each where the test set is larger."""
+def _statistics(items: DataFrame, texts: list[str]) -> tuple[Statistics, DataFrame]:
+    """Totals over all items, and the table of terms (term, df), counted by the cluster."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            terms, longest, total, n = Counter(), 0, 0, 0
+            for row in zip(*(batch.column(c).to_pylist() for c in texts)):
+                q, a = _parted(list(row))
+                if q or a:
+                    terms.update(set(q + a))
+                    n, total, longest = n + 1, total + len(q) + len(a), max(longest, len(q) + len(a))
+            terms[None] = n
+            rest = len(terms) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(terms), pa.binary()), pa.array(list(terms.values()), pa.int64()), pa.array([0] * rest + [total], pa.int64()), pa.array([0] * rest + [longest], pa.int64())], ["term", "df", "total", "longest"]
+            )
+
+    counted = checkpointed(items.select(*texts).mapInArrow(of, "term binary, df long, total long, longest long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("longest").alias("longest")))
+    whole = counted.where("term IS NULL").first()
+    n = whole["df"] if whole else 0
+    return Statistics(n, whole["total"] / n if n else 0.0, whole["longest"] if n else 0, {}), counted.where("term IS NOT NULL").select("term", "df")
+
+
+def _indexes(benchmark: DataFrame, index_words: int) -> Iterator[Index]:
+    """One index, or several of about `index_words` words each where the test set is larger; one at a time is held.
+
+    The statistics are those of all items, so that an item scores alike whatever index it is in.
+    """
     texts = ["question", "answer"] if {"question", "answer"} <= set(benchmark.columns) else ["text"]
     items = benchmark.select(F.col("item_id"), *(F.col(c).cast("string").alias(c) for c in texts))
-    size = items.select(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts[1:]), F.coalesce(F.length(texts[0]), F.lit(0)))).alias("n")).first()["n"] or 0
+    size = items.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0))).alias("n")).first()["n"] or 0
     parts = max(1, -(-int(size) // (6 * index_words)))
-    found = (build_index([tuple(r) for r in items.where(F.pmod(F.xxhash64(*items.columns), F.lit(parts)) == k).collect()]) for k in range(parts))
-    return [x for x in found if x is not None]
+    if parts == 1:
+        found = build_index([tuple(r) for r in items.collect()])
+        if found:
+            yield found
+        return
+    known, df = _statistics(items, texts)
+    for k in range(parts):
+        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64(*items.columns), F.lit(parts)) == k).collect()]
+        own = {t for _, *x in rows for side in _parted(x) for t in side}
+        wanted = F.broadcast(benchmark.sparkSession.createDataFrame([(bytearray(t),) for t in own], "term binary"))
+        found = build_index(rows, Statistics(known.n, known.mean, known.longest, {bytes(r["term"]): r["df"] for r in df.join(wanted, "term").collect()}))
+        if found:
+            yield found
+
+
+def _shared(benchmark: DataFrame, index_words: int) -> Iterator[list]:
+    """Broadcast indexes, a few at a time; the driver keeps none of them."""
+    few = []
+    for index in _indexes(benchmark, index_words):
+        few.append(benchmark.sparkSession.sparkContext.broadcast(index))
+        del index
+        if len(few) == INDEXES_AT_A_TIME:
+            yield few
+            few = []
+    if few:
+        yield few
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -241,19 +309,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     benchmark has item_id and text, or question and answer. Passages are twice as long as the longest item and
     half overlap, so each run of words of an item's length lies in one whole. Null texts and items without words
     match nothing; a null id of either side is returned as null; repeated documents are searched each; repeated
-    items are reported each. Empty tables give no rows. The test items of one index are what is broadcast:
-    `index_words` words at most (or one item); larger test sets are searched index by index.
+    items are reported each. A score equal to the threshold counts. Texts of any length are searched whole, and
+    other columns do not matter, whatever their names. Empty tables give no rows. A broadcast holds the test items
+    of one index, about `index_words` words (or one item); larger test sets are split over several indexes with
+    the statistics of all items, a few of which are searched in each pass over the documents.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema, out = f"doc_id long, item_id {kind}, score double, question_overlap double, answer_overlap double", None
     source = docs.select(F.col(key).cast("long").alias("doc_id"), text_column(text))
-    for index in _indexes(benchmark, index_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for few in _shared(benchmark, index_words):
 
-        def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, item_type = shared.value, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string() if kind == "string" else None
+        def of(batches: Iterator[pa.RecordBatch], few=few) -> Iterator[pa.RecordBatch]:
+            item_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string() if kind == "string" else None
             for batch in slices(batches):
-                rows = [(r, index.items[i], *x) for r, t in enumerate(as_text(batch.column(1))) for i, x in sorted(find(index, t, threshold, overlap).items())]
+                rows = [(r, x.value.items[i], *hit) for r, t in enumerate(as_text(batch.column(1))) for x in few for i, hit in sorted(find(x.value, t, threshold, overlap).items())]
                 where, items, *numbers = zip(*rows) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(where, pa.int64())), pa.array(items, item_type), *(pa.array(x, pa.float64()) for x in numbers)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
@@ -265,14 +334,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The documents in which no test item is found; filtered where they lie, without a shuffle."""
-    for index in _indexes(benchmark, index_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The documents in which no test item is found, with all their columns; filtered where they lie, without a shuffle. As in leaks, null and empty texts hold nothing and stay, and so do repeated rows."""
+    where = docs.columns.index(text)
+    for few in _shared(benchmark, index_words):
 
-        def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def of(batches: Iterator[pa.RecordBatch], few=few) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                texts = as_text(batch.column(batch.schema.get_field_index(text)).cast(pa.string()))
-                yield batch.filter(pa.array([not find(shared.value, t, threshold, overlap) for t in texts], pa.bool_()))
+                texts = as_text(batch.column(where).cast(pa.string()))
+                yield batch.filter(pa.array([not any(find(x.value, t, threshold, overlap) for x in few) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(of, docs.schema)
     return docs

@@ -82,3 +82,34 @@ def test_leaks(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 10]
     assert decontam.leaks(frame.where("doc_id < 0"), benchmark).collect() == []
     assert decontam.leaks(frame, benchmark.where("item_id = 901")).collect() == []
+
+
+def test_one_index_and_many_agree_on_partial_copies(spark):
+    """The statistics are those of all items: scores and verdicts are the same however they are split."""
+    bench, rng = items(200, seed=4, vocabulary=900), random.Random(10)
+    docs = []
+    for n in range(600):
+        w = bench[rng.randrange(len(bench))][1].split()
+        share = rng.uniform(0.5, 1)
+        docs.append((n, " ".join(x if rng.random() < share else f"n{rng.randrange(50)}" for x in w)))
+    benchmark, frame = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    one = sorted(map(tuple, decontam.leaks(frame, benchmark).collect()))
+    assert sum(1 for _ in decontam._indexes(benchmark, 400)) >= 2 * decontam.INDEXES_AT_A_TIME
+    many = sorted(map(tuple, decontam.leaks(frame, benchmark, index_words=400).collect()))
+    assert 100 < len(one) < 550
+    assert one == many
+    kept = {r.doc_id for r in decontam.without_leaks(frame, benchmark, index_words=400).collect()}
+    assert kept == {n for n, _ in docs} - {d for d, *_ in one}
+    both = [(i, *t.split(". ", 1)) for i, t in bench]
+    apart = spark.createDataFrame(both, "item_id long, question string, answer string")
+    assert sorted(map(tuple, decontam.leaks(frame, apart, index_words=400).collect())) == sorted(map(tuple, decontam.leaks(frame, apart).collect()))
+
+
+def test_a_very_long_text_equals_brute_force(spark):
+    bench, rng = items(60), random.Random(2)
+    noise = [f"n{rng.randrange(5000)}" for _ in range(120_000)]
+    planted = {7: 100, 23: 64_000, 41: 119_000}
+    for i, at in sorted(planted.items(), key=lambda x: -x[1]):
+        noise[at:at] = bench[i][1].split()
+    out = decontam.leaks(spark.createDataFrame([(1, " ".join(noise))], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), index_words=200)
+    assert sorted((r.doc_id, r.item_id, r.question_overlap) for r in out.collect()) == [(1, i, 1.0) for i in sorted(planted)]
