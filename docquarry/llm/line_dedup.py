@@ -20,13 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.llm.common import as_text, checkpointed, slices, table
 
 #: Shorter lines are never removed.
 LEAST_WORDS = 5
-#: Documents with candidate lines that are broadcast by id at most; beyond that they are joined by a shuffle.
-BROADCAST_DOCS = 500_000
+#: Places of lines that are broadcast at most (a hundred bytes each, with their document); beyond that they are joined by a shuffle.
+BROADCAST_PLACES = 500_000
 #: Keys that more than one line has, broadcast at most (a hundred bytes each); beyond that the join shuffles both sides.
 BROADCAST_KEYS = 500_000
 
@@ -113,11 +114,15 @@ def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return named.mapInArrow(of, f"doc_id long, row long, line_no int, h1 long, h2 long, {', '.join(f'{h} long' for h in _HALVES)}")
 
 
+def _by_doc(places: DataFrame, name: str, *columns: str) -> DataFrame:
+    """One row a document with its places (never more than it has lines); broadcast if all places together are few."""
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return F.broadcast(by_doc) if places.count() <= BROADCAST_PLACES else by_doc
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, row, line_no, line, shared of the wanted places (doc_id, row, line_no, shared)."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "line_no", "shared")).alias("wanted"))
-    if wanted.select("doc_id").distinct().count() <= BROADCAST_DOCS:
-        by_doc = F.broadcast(by_doc)
+    by_doc = _by_doc(wanted, "wanted", "row", "line_no", "shared")
     here = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(by_doc, "doc_id")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +192,20 @@ def near_copies(lines: DataFrame) -> DataFrame:
     return pairs.select(*_PLACE, "line", "other").mapInArrow(of, "doc_id long, row long, line_no int")
 
 
-def kept_places(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, row, line_no of the lines of `least` words or more that stay."""
+def dropped_places(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, row, line_no of the lines of `least` words or more that go: all copies of a line but the earliest, and the earliest where it is a near copy."""
     place = F.struct(*_PLACE)
-    grouped = _lines(docs, key, text, least).groupBy("h1", "h2").agg(F.min(place).alias("p"), *(F.min(h).alias(h) for h in _HALVES))
-    distinct = checkpointed(grouped.select("p.*", "h1", *_HALVES))
+    every = checkpointed(_lines(docs, key, text, least))
+    grouped = every.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), *(F.min(h).alias(h) for h in _HALVES))
+    distinct = checkpointed(grouped.select("p.*", "h1", "h2", (F.col("p") != F.col("q")).alias("repeated"), *_HALVES))
+    repeated = distinct.where("repeated").select("h1", "h2", place.alias("p"))
+    copies = every.select(*_PLACE, "h1", "h2").join(_few(repeated), ["h1", "h2"]).where(place != F.col("p")).select(*_PLACE).distinct()
     halves = distinct.select("h1", F.posexplode(F.array(*_HALVES)).alias("which", "half"))
     shared = checkpointed(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half"))
     partnered = halves.join(_few(shared), "half", "left_semi").groupBy("h1").agg(F.sum_distinct(F.expr("shiftleft(1, which)")).cast("int").alias("shared"))
     candidates = checkpointed(distinct.join(partnered, "h1").select(*_PLACE, "shared"))
     lines = checkpointed(_texts_of(docs, candidates, key, text))
-    return distinct.select(*_PLACE).join(near_copies(lines), _PLACE, "left_anti")
+    return copies.unionByName(near_copies(lines).distinct())
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, length: str | None = "n_chars", marks: bool = False) -> DataFrame:
@@ -206,34 +214,40 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     A line of `least` words or more goes if an earlier line (by id, then place) is equal in words or within one
     edit of it, whether or not that one stays. Shorter lines, and documents without an id, are left alone and
     make nothing else go. A null text stays null; rows equal in id and text lose the same lines; a document all
-    of whose lines go keeps an empty text. Where the table has the column `length`, it is set to the new code
-    points. marks adds n_lines and n_dropped. Other columns are left alone, whatever their names.
+    of whose lines go keeps an empty text; texts and lines of any length are compared whole; an empty table gives
+    no rows. Where the table has the column `length`, it is set to the new code points. marks adds n_lines and
+    n_dropped, in place of columns of these names. Other columns are left alone, whatever their names.
     """
-    kept = kept_places(docs, key, text, least).groupBy("doc_id").agg(F.collect_list(F.struct("row", "line_no")).alias("_kept")).withColumnRenamed("doc_id", "_kept_id")
-    joined = docs.join(kept, F.col(key).cast("long") == F.col("_kept_id"), "left").drop("_kept_id")
-    schema, where = docs.schema, docs.columns.index(text)
-    sized = docs.columns.index(length) if length in docs.columns else None
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (", n_lines long, n_dropped long" if marks else "")
+    if marks:
+        docs = docs.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in ("n_lines", "n_dropped")))
+    names = docs.columns
+    own, where, sized = names.index(key), names.index(text), names.index(length) if length in names else None
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of our own beside ours
+    gone = checkpointed(dropped_places(plain, f"c{own}", f"c{where}", least))
+    by_doc = _by_doc(gone, "gone", "row", "line_no").withColumnRenamed("doc_id", "gone_id")
+    joined = plain.join(by_doc, F.col(f"c{own}").cast("long") == F.col("gone_id"), "left").drop("gone_id")
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if marks else []
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in plain.schema.fields] + added)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            columns, texts, count, gone = list(batch.columns[:-1]), [], [], []
-            for doc, t, places in zip(batch.column(schema.names.index(key)).to_pylist(), batch.column(where).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns, texts, count, lost = list(batch.columns[:-1]), [], [], []
+            for doc, t, places in zip(batch.column(own).to_pylist(), batch.column(where).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 lines = (t or "").split("\n")
                 stay = lines
-                if t is not None and doc is not None:
+                if places and t is not None and doc is not None:
                     row = row_of(t)
-                    own = {p["line_no"] for p in places or () if p["row"] == row}
-                    stay = [x for k, x in enumerate(lines) if k in own or len(words_of(x)) < least]
-                texts.append(None if t is None else "\n".join(stay)), count.append(len(lines)), gone.append(len(lines) - len(stay))
+                    out = {p["line_no"] for p in places if p["row"] == row}
+                    stay = [x for k, x in enumerate(lines) if k not in out]
+                texts.append(None if t is None else "\n".join(stay)), count.append(len(lines)), lost.append(len(lines) - len(stay))
             columns[where] = pa.array(texts, pa.string())
             if sized is not None:
                 columns[sized] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(columns[sized].type)
             if marks:
-                columns += [pa.array(count, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*schema.names, *(["n_lines", "n_dropped"] if marks else [])])
+                columns += [pa.array(count, pa.int64()), pa.array(lost, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return joined.mapInArrow(of, fields)
+    return joined.mapInArrow(of, schema).toDF(*names, *(f.name for f in added))
 
 
 def op9_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,23 @@ def test_equals_brute_force(spark):
 
 
 def test_a_group_of_near_copies_and_no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ld, "BROADCAST_DOCS", 0), monkeypatch.setattr(ld, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(ld, "BROADCAST_PLACES", 0), monkeypatch.setattr(ld, "BROADCAST_KEYS", 0)
     text = [f"one two three four five six seven w{i}" for i in range(200)]
     rows = [(i, t + "\nshort line\n" + text[0]) for i, t in enumerate(text)]
     out = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), marks=True).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out) == sorted((i, 3, 2 if i else 1, "short line" if i else text[0] + "\nshort line") for i in range(200))
+
+
+def test_clashing_names_and_marks(spark):
+    line = "one two three four five six"
+    rows = [(i, line + "\nown words of number " + str(i) * 3, 7, 8, 9, "a", "b") for i in range(4)]
+    names = ["doc_id", "text", "_kept", "gone", "n_lines", "odd `name`", "c0"]
+    docs = spark.createDataFrame(rows, "a long, b string, c int, d int, e int, f string, g string").toDF(*names)
+    out = ld.dedup_lines(docs)
+    assert out.columns == names
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [(7, 8, 9, "a", "b")] * 4
+    expected = slow([r[:2] for r in rows])
+    assert sorted((r[0], r[1]) for r in out.collect()) == sorted(expected) and expected[1][1] != rows[1][1]
+    marked = ld.dedup_lines(docs, marks=True)
+    assert marked.columns == ["doc_id", "text", "_kept", "gone", "odd `name`", "c0", "n_lines", "n_dropped"]
+    assert all(r.n_lines == 2 for r in marked.collect())
