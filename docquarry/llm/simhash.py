@@ -32,6 +32,8 @@ MANY_FINGERPRINTS = 50_000_000
 GROUP_ROWS = 8192
 #: Runs up to this length are compared by shifting whole batches.
 SHORT_RUN = 24
+#: Classes, or rows, that are broadcast at most (fifty bytes each); beyond that the join shuffles both sides.
+BROADCAST_CLASSES = 500_000
 _HASHES_AT_A_TIME = 65_536
 
 
@@ -187,16 +189,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return fps.join(placed, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bound: int = 4) -> DataFrame:
-    """The documents that are the smallest of their component; a document without an id stays. A repeated id keeps one of its rows."""
-    found = checkpointed(near_duplicates(docs, key, text, words, bound).where("doc_id IS NOT NULL"))
-    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows"))
-    dropped = gone.where("doc_id != first").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(dropped, docs[key].cast("long") == F.col("_gone"), "left_anti")
-    if gone.where("rows > 1").head(1):
-        named = kept.where(F.col(key).isNotNull())
-        kept = named.dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
-    return kept
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bound: int = 4, segments: tuple | None = None) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns: the one with the smallest id.
+
+    Rows are told apart by id, text and the other columns, so rows that repeat an id but not its text are
+    compared like any others; of rows of one id the one with the smallest hash of text, then of all columns,
+    comes first, and of rows equal in all columns one stays. Null and empty texts have fingerprint zero and are
+    one group. A document without an id stays and makes nothing else go. Texts of any length count whole; columns
+    may have any names; an empty table gives no rows.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of our own beside ours
+    content = F.col(f"c{names.index(text)}").cast("string")
+    hashed = [F.xxhash64(f.name) for f in plain.schema.fields if "map<" not in f.dataType.simpleString()]
+    plain = plain.withColumns({"id": F.col(f"c{names.index(key)}").cast("long"), "t": F.xxhash64(content), "r": F.xxhash64(*hashed)})
+    row = F.struct("id", "t", "r")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps = np.array([fingerprint(t, words) for t in as_bytes(batch.column(3))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], ["id", "t", "r", "fp"])
+
+    fps = checkpointed(plain.where("id IS NOT NULL").select("id", "t", "r", F.coalesce(content, F.lit("")).alias("text")).mapInArrow(of, "id long, t long, r long, fp long"))
+    classes = checkpointed(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("rows")))
+    if segments is None:
+        segments = SEGMENTS if classes.count() < MANY_FINGERPRINTS else LONG_SEGMENTS
+    found = checkpointed(connected_components(links(classes.select("fp", F.col("fp").alias("id")), bound, segments)))
+    linked = classes.join(found, classes["fp"] == found["node"]).select("fp", "first", "component")
+    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    alone = classes.where("rows > 1").join(found, classes["fp"] == found["node"], "left_anti").select("fp", F.col("first").alias("best"))
+    # Only classes that hold several rows or are linked can lose any: far fewer than the documents.
+    several = checkpointed(linked.join(best, "component").select("fp", "best").unionByName(alone))
+    few = F.broadcast(several) if several.count() <= BROADCAST_CLASSES else several
+    met = checkpointed(fps.join(few, "fp").select("id", "t", "r", (row == F.col("best")).alias("stays")))
+    gone = met.where("NOT stays").select("id", "t", "r").distinct()
+    kept = plain.join(F.broadcast(gone) if gone.count() <= BROADCAST_CLASSES else gone, ["id", "t", "r"], "left_anti")
+    twice = checkpointed(met.where("stays").groupBy("id", "t", "r").count().where("count > 1").select("id", "t", "r"))
+    if twice.head(1):
+        few = F.broadcast(twice) if twice.count() <= BROADCAST_CLASSES else twice
+        repeated = kept.join(few, ["id", "t", "r"], "left_semi").dropDuplicates(["id", "t", "r"])
+        kept = kept.join(few, ["id", "t", "r"], "left_anti").unionByName(repeated)
+    return kept.select(*plain.columns[: len(names)]).toDF(*names)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {**{i: 1000 for i in range(1000, 1201)}, **{i: 1 for i in range(1, 300)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_one_of_each_group_stays_whatever_the_ids_and_names(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_CLASSES", most)
+    rng = random.Random(5)
+    say = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(200))
+    a, b, c = say(), say(), say()
+    rows = [
+        (1, a, "x", 1), (1, b, "x", 1),  # one id, two texts: both stay
+        (2, a, "x", 1), (3, b + " end", "x", 1), (4, c, "x", 1), (4, c, "x", 1),  # equal rows: one stays
+        (4, c, "y", 1), (5, None, "x", 1), (6, "", "x", 1), (None, a, "x", 1), (None, a, "x", 1), (7, say(), "x", None),
+    ]
+    docs = spark.createDataFrame(rows, "a long, b string, c string, d int").toDF("doc_id", "text", "_gone", "odd `fp`").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    out = sorted(((r[0], r[1]) for r in kept.collect()), key=str)
+    assert out == sorted([(1, a), (1, b), (4, c), (5, None), (None, a), (None, a), (7, rows[-1][1])], key=str)
+    assert sorted(map(tuple, simhash.keep_one(docs.repartition(1)).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
+    assert simhash.keep_one(docs.where("doc_id < 0")).collect() == []
