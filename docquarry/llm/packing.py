@@ -25,6 +25,8 @@ from docquarry.llm.tokens import encoder, tokenizer_path
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
+#: Gaps that a bin may keep without a swap, each of which is tried.
+GAPS = (0, 1, 2, 4, 8, 16, 32, 64)
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -72,7 +74,16 @@ class Plan:
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> Plan:
-    """Best-two-fit over counts[length]; each round makes as many equal bins as the counts allow."""
+    """The plan with the fewest sequences of best-two-fit under each of GAPS and swaps: the histogram is small, so trying costs next to nothing."""
+    return min((_plan(counts, capacity, gap, swaps) for gap in GAPS for swaps in (1, capacity)), key=lambda p: p.sequences)
+
+
+def _plan(counts: np.ndarray, capacity: int, gap: int, swaps: int) -> Plan:
+    """Best-two-fit over counts[length]; each round makes as many equal bins as the counts allow.
+
+    A bin's smallest piece is replaced by two unpacked ones where that tightens its gap and the gap is over `gap`
+    (which spares small pieces for later bins), again and again up to `swaps` times.
+    """
     left = counts.astype(np.int64).copy()
     rows: list[tuple[int, int, int, int, int]] = []
     taken, sequence = np.zeros(capacity + 1, np.int64), 0
@@ -89,12 +100,17 @@ def plan_bins(counts: np.ndarray, capacity: int) -> Plan:
             if not len(fitting) or fitting[-1] == 0:
                 break
             n = int(fitting[-1])
-        smallest = min(filled)
-        if space and (two := _two_that_fit(rest, space + smallest, smallest)):
+        for _ in range(swaps):
+            smallest = min(filled)
+            if space <= gap or not (two := _two_that_fit(rest, space + smallest, smallest)):
+                break
             filled[smallest] -= 1
+            rest[smallest] += 1
             for n in two:
                 filled[n] = filled.get(n, 0) + 1
-        filled = {n: uses for n, uses in filled.items() if uses}
+                rest[n] -= 1
+            space += smallest - sum(two)
+            filled = {n: uses for n, uses in filled.items() if uses}
         bins = min(int(left[n]) // uses for n, uses in filled.items())
         offset = 0
         for n, uses in sorted(filled.items(), reverse=True):

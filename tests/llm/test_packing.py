@@ -82,3 +82,29 @@ def test_documents(spark):
         assert [o for o, _ in sorted(places)] == np.concatenate(([0], np.cumsum([n for _, n in sorted(places)])[:-1])).tolist()
         assert sum(n for _, n in places) <= 1024
     assert pack(docs.where("doc_id < 0"), path).collect() == []
+
+
+def best_fit_decreasing(counts, capacity):
+    gaps, bins = np.zeros(capacity + 1, np.int64), 0
+    for n in range(capacity, 0, -1):
+        for _ in range(int(counts[n])):
+            if len(fitting := np.nonzero(gaps[n:])[0]):
+                gap = n + fitting[0]
+                gaps[gap] -= 1
+                gaps[gap - n] += 1
+            else:
+                bins += 1
+                gaps[capacity - n] += 1
+    return bins
+
+
+def test_no_more_sequences_than_best_fit_decreasing(spark):
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 1025, 3000), np.minimum(rng.geometric(0.004, 5000), 1024), rng.integers(200, 700, 4000), rng.integers(300, 360, 2000)):
+        counts = np.bincount(lengths, minlength=1025)
+        assert plan_bins(counts, 1024).sequences <= best_fit_decreasing(counts, 1024)
+    encoder, counts = Encoder(tokenizer_path("byte_bpe_50k.json")), np.zeros(1025, np.int64)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        for n in cut(len(encoder.encode(r.text or "")) // 4 + 1, 1024):
+            counts[n] += 1
+    assert plan_bins(counts, 1024).sequences <= best_fit_decreasing(counts, 1024)
