@@ -87,10 +87,14 @@ def features(counts: np.ndarray) -> np.ndarray:
 
 
 def fit_on_labels(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label: str = "quality") -> Forest | None:
-    """Trees for the label, from `rows` labelled documents at most; None where fewer than two classes are labelled."""
-    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("_label"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
-    found = stats.join(F.broadcast(some), "doc_id").orderBy("doc_id", "_label", *COUNTS).limit(2 * rows).toPandas()
+    """Trees for the label, from `rows` labelled documents at most; None where fewer than two classes are labelled.
+
+    An id counts once: of several labels the smallest, of several rows of documents the one with the smallest statistics.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("_label"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    once = stats.join(F.broadcast(some), "doc_id").groupBy("doc_id", "_label").agg(F.min(F.struct(*COUNTS)).alias("counts"))
+    found = once.select("doc_id", "_label", "counts.*").orderBy("doc_id").toPandas()
     if found["_label"].nunique() < 2:
         return None
     return fit(features(found[COUNTS].to_numpy()), (found["_label"] > 0).to_numpy(float), [sign for _, sign in FEATURES])
@@ -100,8 +104,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """doc_id, COUNTS, base_failed, kept, p_good of every document.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows. kept: not base_failed, and
-    the trees give `keep_from` or more. Without labels of both classes the base rules decide alone (p_good null).
-    Repeated rows are judged each, a null id stays null, an empty table gives no rows.
+    the trees give `keep_from` or more (a tie keeps). Without labels of both classes the base rules decide alone
+    (p_good null). A null or empty text has no words and fails; texts of any length count whole. Repeated rows are
+    judged each, a null id stays null, other columns do not matter, an empty table gives no rows.
     """
     stats = checkpointed(document_statistics(docs, key, text))
     forest = fit_on_labels(stats, labels, rows)

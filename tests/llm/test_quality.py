@@ -59,3 +59,49 @@ def test_trees_on_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300)] + [(7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
     assert all(out[i] == bool(i % 3) for i in range(300, 400))
+
+
+def slow_features(text):
+    """The columns of FEATURES, written out for one text."""
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, again = *map(len, (words, "".join(words))), *slow(text)[2:]
+    each = lambda pattern: len(re.findall(pattern, text))
+    per_word, per_char = max(n, 1), max(chars, 1)
+    return [
+        symbols / per_word, dup / max(len(lines), 1), again / per_word, each("[A-Z]") / per_char, each("[!?]") / per_word, each("[0-9]") / per_char,
+        chars / per_word, per_word / max(len(lines), 1), each("[.,;:]") / per_word, len(set(words)) / per_word, np.log(per_word),
+    ]
+
+
+def slow_score(forest, row):
+    """Every tree walked node by node."""
+    total = forest.base
+    for at in forest.roots:
+        while forest.feature[at] >= 0:
+            at = forest.left[at] if row[forest.feature[at]] < forest.threshold[at] else forest.right[at]
+        total += forest.value[at]
+    return total
+
+
+def test_verdicts_of_a_table_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and r.doc_id in texts}
+    ids = sorted(good)
+    rows = {i: slow_features(t) for i, t in texts.items()}
+    forest = fit(np.array([rows[i] for i in ids]), np.array([float(good[i] > 0) for i in ids]), [sign for _, sign in quality.FEATURES])
+    out = {r.doc_id: r for r in quality.op5_boosted_quality(spark, sf).collect()}
+    assert out.keys() == texts.keys() and {r.kept for r in out.values()} == {True, False}
+    for i, r in out.items():
+        p = 1 / (1 + np.exp(-slow_score(forest, rows[i])))
+        assert abs(r.p_good - p) < 1e-9 and r.kept == (not r.base_failed and p >= quality.KEEP_FROM)
+
+
+def test_repeated_ids_count_once_when_fitting(spark):
+    rows = [(i, " ".join(["word"] * 3 + [f"w{i}{k}" for k in range(60)]) + (" ###" * 40 if i % 2 else "")) for i in range(80)]
+    labels = [(i, int(i % 2 == 0)) for i in range(80)]
+    stats = lambda rows: quality.document_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    known = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    once, again = (quality.fit_on_labels(stats(r), known(m)) for r, m in ((rows, labels), (rows * 4, labels + labels[:40])))
+    assert (once.threshold == again.threshold).all() and (once.value == again.value).all()
