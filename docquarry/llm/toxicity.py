@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import as_text, slices, table, text_column
+from docquarry.llm.common import as_text, checkpointed, slices, table, text_column
 
 #: Labelled documents that the chain is fitted on, at most; those with the smallest hashes of their ids.
 FIT_ROWS = 6000
@@ -164,7 +164,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, categories: list[str], pos
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*(F.max((F.col(c) == positive[c]).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     marks = [f"_y{k}" for k in range(len(categories))]
-    sample = docs.select(F.col(key).cast("long").alias("_id"), text_column(text)).join(F.broadcast(some), "_id").select("_id", "text", *marks)
+    # One pass over documents; what follows reads the sample, which is bounded by `rows` ids.
+    sample = checkpointed(docs.select(F.col(key).cast("long").alias("_id"), text_column(text)).join(F.broadcast(some), "_id").select("_id", "text", *marks))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -256,8 +257,10 @@ def score(docs: DataFrame, labels: DataFrame, categories: tuple = ("quality", "t
     """doc_id, p_<category> for each category of the chain, rejected (the last category is over its threshold) of every document.
 
     positive gives the label that counts as the category (1 unless named). Texts that are null or have no words
-    are scored by the constants. Without labels of both classes of the last category nothing is rejected and all
-    probabilities are null. Repeated rows are scored each, a null id stays null, an empty table gives no rows.
+    are scored by the constants; texts of any length are scored whole. A score equal to the threshold is not
+    rejected. Without labels of both classes of the last category nothing is rejected and all probabilities are
+    null. Repeated rows are scored each, a null id stays null, other columns do not matter, whatever their names;
+    an empty table gives no rows.
     """
     chain = _fitted(docs, labels, categories, positive, key, text, rows)
     names = [f"p_{c}" for c in categories]
@@ -276,7 +279,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: tuple = ("quality", "t
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, categories: tuple = ("quality", "toxic"), positive: dict | None = None, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that are not rejected; filtered where they lie, without a shuffle."""
+    """The documents that score does not reject, with all their columns; filtered where they lie, without a shuffle."""
     chain = _fitted(docs, labels, categories, positive, key, text, rows)
     if chain is None:
         return docs

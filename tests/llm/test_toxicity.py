@@ -75,3 +75,20 @@ def test_fast_scores_equal_plain_ones():
         own = tx.counts_of(t)
         plain = sum(chain.sparse[0][k] * np.log1p(own[f]) for f, k in chain.features.items()) + 0.3 - 0.2 * np.log1p(len(tx._WORD.findall(t)))
         assert abs(plain - s) < 1e-9
+
+
+def test_scores_of_a_table_equal_brute_force(spark):
+    """The fitted chain applied to every document by plain sums, one category after the other."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    chain = tx.fit_on_labels(docs, labels, list(tx.LOW_QUALITY_THEN_TOXIC), tx.LOW_QUALITY_THEN_TOXIC)
+    out = {r.doc_id: r for r in tx.op8_chain_toxicity(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert out.keys() == texts.keys() and any(r.rejected for r in out.values())
+    for i, t in texts.items():
+        own, dense, odds = tx.counts_of(t or ""), [1.0, float(np.log1p(len(tx._WORD.findall(t or ""))))], []
+        for sparse, weights in zip(chain.sparse, chain.dense):
+            odds.append(sum(sparse[k] * np.log1p(own[f]) for f, k in chain.features.items() if f in own) + float(np.dot(weights, dense)))
+            dense.append(min(12.0, max(-12.0, odds[-1])))
+        r = out[i]
+        assert np.allclose([r.p_low_quality, r.p_toxic], 1 / (1 + np.exp(-np.array(odds))), atol=1e-9) and r.rejected == (odds[-1] > chain.thresholds[-1])
