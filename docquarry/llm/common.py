@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local session takes a temporary folder, and a cluster, whose machines share none, is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docquarry-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -41,6 +43,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Ite
             yield batch.slice(at, rows)
 
 
+def mapped(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df with each of its batches handled by `of`, by place: columns are c0, c1, ... in it, whatever their names outside."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(of, plain.schema).toDF(*df.columns)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import as_text, checkpointed, slices, table, text_column, words
+from docquarry.llm.common import as_text, checkpointed, mapped, slices, table, text_column, words
 
 K1, B = 1.5, 0.75
 #: Share of an item's score against itself that a passage must reach.
@@ -343,7 +343,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thr
                 texts = as_text(batch.column(where).cast(pa.string()))
                 yield batch.filter(pa.array([not any(find(x.value, t, threshold, overlap) for x in few) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(of, docs.schema)
+        docs = mapped(docs, of)
     return docs
 
 

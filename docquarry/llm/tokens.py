@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
+import uuid
 from array import array
 
 #: A space after which a byte-level tokenizer may not cut as it would in a piece of its own.
@@ -123,5 +123,5 @@ def tokenizer_path(name: str) -> str:
 
 
 def scratch_folder(under: str, name: str) -> str:
-    """A fresh name under a shared folder."""
-    return f"{under.rstrip('/')}/{name}-{next(tempfile._get_candidate_names())}"
+    """A fresh name under a shared folder. What is written there is not removed: its reader may be lazy."""
+    return f"{under.rstrip('/')}/{name}-{uuid.uuid4().hex}"

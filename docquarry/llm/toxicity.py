@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import as_text, checkpointed, slices, table, text_column
+from docquarry.llm.common import as_text, checkpointed, mapped, slices, table, text_column
 
 #: Labelled documents that the chain is fitted on, at most; those with the smallest hashes of their ids.
 FIT_ROWS = 6000
@@ -290,7 +290,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, categories: tuple = ("qual
         for batch in slices(batches):
             yield batch.filter(pa.array(scorer(as_text(batch.column(where)))[:, -1] <= chain.thresholds[-1]))
 
-    return docs.mapInArrow(of, docs.schema)
+    return mapped(docs, of)
 
 
 #: The labelled categories of the tables at hand: low quality (label 0), then toxic.

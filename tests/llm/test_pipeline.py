@@ -57,3 +57,48 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def odd(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns of clashing names."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    same, item = say(60), say(20) + ". " + say(6) + "."
+    rows = [(1, same), (1, same), (1, say(50)), (2, same), (3, None), (4, ""), (5, " \n\n "), (None, say(40)), (None, None), (6, say(30_000)), (7, say(20) + "\n" + item), (8, item), (8, item), (9, "vile rotten " * 9 + say(30))]
+    rows += [(100 + i, say(30) + (" vile rotten vile awful" if i % 3 == 0 else "")) for i in range(60)]
+    names = ["doc_id", "text", "lang", "n_chars", "_id", "_gone", "fp", "score", "c0", "odd `name`", "item_id", "length", "t"]
+    docs = spark.createDataFrame([(i, t, None, None if t is None else len(t), 1, None, 2, 0.5, "c", "o", None, None, "t") for i, t in rows], "a long, b string, c string, d long, e int, f string, g int, h double, i string, j string, k string, l int, m string").toDF(*names)
+    spark.createDataFrame([(100 + i, 1, int(i % 3 == 0)) for i in range(60)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return rows, docs.repartition(3), item
+
+
+def test_every_stage_on_odd_rows(spark, tmp_path):
+    rows, docs, item = odd(spark, tmp_path)
+    key = lambda r: (str(r[0]), str(r[1]))
+    kept = {name: sorted(((r[0], r[1]) for r in stage(spark, docs, str(tmp_path)).collect()), key=key) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert kept["toxicity"] == sorted([r for r in rows if "vile" not in (r[1] or "")], key=key)
+    assert kept["line_dedup"] == sorted(slow_lines(rows), key=key)
+    first, seen = [], set()  # of texts that are not near one another, equal ones are the groups; all without words are one
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is None)):
+        if (group := (t or "").strip()) not in seen:
+            seen.add(group), first.append((i, t))
+    assert kept["simhash"] == sorted(first + [r for r in rows if r[0] is None], key=key)
+    assert kept["decontamination"] == sorted([r for r in rows if item not in (r[1] or "")], key=key)
+    out = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id) for r in out if r.piece == 0)) == sorted(str(i) for i, _ in rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        result = stage(spark, docs, str(tmp_path))
+        assert result.columns == docs.columns, name
+        assert all(tuple(r)[4:] == (1, None, 2, 0.5, "c", "o", None, None, "t") for r in result.collect()), name
+
+
+def test_every_stage_on_an_empty_table_and_without_labels_or_items(spark, tmp_path):
+    _, docs, _ = odd(spark, tmp_path)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("doc_id < 0"), str(tmp_path)).collect() == [], name
+    empty = tmp_path / "none"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    for stage in (corpus_pipeline.toxicity, corpus_pipeline.decontamination):
+        assert stage(spark, docs, str(empty)).count() == docs.count()
