@@ -13,10 +13,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def counts_of(text: str) -> Counter:
     return Counter(f for w, n in Counter(_WORD.findall(text.lower())).items() for f in word_features(w) * n)
 
 
+def _sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values that begin at `start` (which has the end too); an empty run is 0."""
+    out, filled = np.zeros(len(start) - 1), start[1:] > start[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(values, start[:-1][filled])
+    return out
+
+
 @dataclass
 class Rows:
     """A sparse matrix by rows."""
@@ -56,16 +66,20 @@ class Rows:
     column: np.ndarray
     value: np.ndarray
     width: int
-    row: np.ndarray = field(init=False)
 
-    def __post_init__(self):
-        self.row = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+    @cached_property
+    def by_column(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each column begins, and the rows and values in order of columns."""
+        order = np.argsort(self.column, kind="stable")
+        row = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        return np.searchsorted(self.column[order], np.arange(self.width + 1)), row[order], self.value[order]
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.column], len(self.start) - 1)
+        return _sums(self.value * w[self.column], self.start)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * r[self.row], self.width)
+        start, row, value = self.by_column
+        return _sums(value * r[row], start)
 
     def some(self, rows: np.ndarray) -> Rows:
         lengths = np.diff(self.start)[rows]
@@ -192,7 +206,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, categories: list[str], pos
     n = totals["n"]
     if not n or totals[marks[-1]] in (None, 0, n):
         return None
-    found = counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy("f").toPandas()
+    found = counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy("f").toArrow().to_pandas()
     chosen: set[str] = set()
     for m in marks:
         worth = _informative(n, totals[m], found["n"].to_numpy(float), found[m].to_numpy(float))
@@ -209,12 +223,13 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, categories: list[str], pos
                 columns.append(sorted(own)), values.append([own[c] for c in sorted(own)]), sizes.append(len(_WORD.findall(t)))
             yield pa.RecordBatch.from_arrays([pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), batch.column("_id"), *(batch.column(m) for m in marks)], ["c", "v", "n_words", "_id", *marks])
 
-    frame = sample.mapInArrow(vectors, f"c array<int>, v array<int>, n_words long, _id long, {', '.join(f'{m} int' for m in marks)}").toPandas()
-    frame = frame.iloc[np.lexsort((frame["n_words"], frame["_id"] * 2654435761 % 2**32))]
-    lengths = frame["c"].map(len).to_numpy()
-    flat = lambda c, kind: np.concatenate([np.empty(0, kind), *frame[c]]).astype(kind)
-    x = Rows(np.concatenate(([0], np.cumsum(lengths))), flat("c", np.int64), np.log1p(flat("v", float)), len(names))
-    return fit_chain(categories, names, x, frame["n_words"].to_numpy(), frame[marks].to_numpy())
+    frame = sample.mapInArrow(vectors, f"c array<int>, v array<int>, n_words long, _id long, {', '.join(f'{m} int' for m in marks)}").toArrow().combine_chunks()
+    of = lambda c: frame.column(c).to_numpy()
+    flat = lambda c: frame.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(frame.column("c")).to_numpy()
+    order = np.lexsort((of("n_words"), of("_id") * 2654435761 % 2**32))
+    x = Rows(np.concatenate(([0], np.cumsum(lengths))), flat("c").astype(np.int64), np.log1p(flat("v").astype(float)), len(names)).some(order)
+    return fit_chain(categories, names, x, of("n_words")[order], np.stack([of(m) for m in marks], 1)[order])
 
 
 class Scorer:
