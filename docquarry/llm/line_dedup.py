@@ -26,7 +26,7 @@ from docquarry.llm.common import as_text, checkpointed, slices, table
 
 #: Shorter lines are never removed.
 LEAST_WORDS = 5
-#: Places of lines that are broadcast at most (a hundred bytes each, with their document); beyond that they are joined by a shuffle.
+#: Places of candidate lines that are broadcast at most (a hundred bytes each, with their document); beyond that they are joined by a shuffle.
 BROADCAST_PLACES = 500_000
 #: Keys that more than one line has, broadcast at most (a hundred bytes each); beyond that the join shuffles both sides.
 BROADCAST_KEYS = 500_000
@@ -115,14 +115,15 @@ def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def _by_doc(places: DataFrame, name: str, *columns: str) -> DataFrame:
-    """One row a document with its places (never more than it has lines); broadcast if all places together are few."""
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
-    return F.broadcast(by_doc) if places.count() <= BROADCAST_PLACES else by_doc
+    """One row a document with its places, never more than it has lines."""
+    return places.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, row, line_no, line, shared of the wanted places (doc_id, row, line_no, shared)."""
     by_doc = _by_doc(wanted, "wanted", "row", "line_no", "shared")
+    if wanted.count() <= BROADCAST_PLACES:
+        by_doc = F.broadcast(by_doc)
     here = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(by_doc, "doc_id")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     own, where, sized = names.index(key), names.index(text), names.index(length) if length in names else None
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of our own beside ours
     gone = checkpointed(dropped_places(plain, f"c{own}", f"c{where}", least))
-    by_doc = _by_doc(gone, "gone", "row", "line_no").withColumnRenamed("doc_id", "gone_id")
+    # Copies grow with the documents, so this join deals out both sides at every size.
+    by_doc = _by_doc(gone, "gone", "row", "line_no").withColumnRenamed("doc_id", "gone_id").hint("merge")
     joined = plain.join(by_doc, F.col(f"c{own}").cast("long") == F.col("gone_id"), "left").drop("gone_id")
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if marks else []
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in plain.schema.fields] + added)
