@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.operators import guard, sparse
+from docquarry.session import union
 from docquarry.streaming import folds
 
 
 def scoped_search(docs: DataFrame, terms: DataFrame, users: DataFrame, column: str, k: int) -> DataFrame:
-    """user_id, qid, doc_id, score, rank: every user's search over what they may see; statistics are those of the corpus. users: user_id, allowed; few, and broadcast."""
-    scored = sparse.contributions(docs, terms).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    seen = scored.join(docs.select("doc_id", column), "doc_id").join(F.broadcast(users), F.array_contains("allowed", F.col(column)))
+    """user_id, qid, doc_id, score, rank: every user's search over what they may see; statistics are those of the corpus.
+
+    users: user_id, allowed (values of `column`). A user's k best are among the k best of each value, so the corpus
+    is searched once for all users.
+    """
+    best = sparse.search(docs, terms, k, group=column).drop("rank")
+    seen = users.select("user_id", F.explode(F.array_distinct("allowed")).alias(column)).join(best, column)
     return sparse.top(seen.select("user_id", "qid", "doc_id", "score"), k, by=("user_id", "qid"))
 
 
@@ -44,11 +49,11 @@ def run_tools(calls: DataFrame, docs: DataFrame, edges: DataFrame, allowed: tupl
     """calls (run_id, seq, tool, query) with decision and result: admission in order, then each tool over all its admitted calls at once."""
     decided = folds.run(calls.withColumn("args", F.lit("{}")), folds.admission(list(allowed)), "run_id", ["seq"])
     go = decided.where("decision = 'admitted'")
-    key = F.col("run_id") * 1000 + F.col("seq")
+    key = F.format_string("%d:%d", F.col("run_id").cast("long"), F.col("seq").cast("long"))
     found = sparse.search(docs, sparse.query_terms(go.where("tool = 'search'").select(key.alias("qid"), F.col("query").alias("question"))), 3)
     searched = found.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"].cast("string")), ",").alias("result"))
     counted = go.where("tool = 'calculate'").select(key.alias("qid"), guard.safe_value(F.col("query")).cast("string").alias("result"))
     asked = go.where("tool = 'relations'").select(key.alias("qid"), "query")
     related = asked.join(edges, F.col("query").isin(F.col("subject"), F.col("object")), "left").groupBy("qid").agg(F.concat(F.count("subject").cast("string"), F.lit(" edges")).alias("result"))
-    results = searched.unionByName(counted).unionByName(related)
+    results = union(searched, counted, related)
     return decided.withColumn("qid", key).join(results, "qid", "left").drop("qid", "args")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
+from docquarry.session import union
 
 
 def cross_scores(candidates: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """candidates (qid, doc_id, ...) and rerank_score. The default scorer is lexical: the share of the question's tokens that the document has, less a little for its length."""
+    """candidates (qid, doc_id, ...) and rerank_score; docs are documents or an index. The default scorer is lexical: the share of the question's tokens that the document has, less a little for its length."""
     q = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("_q"))
-    d = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("_d"))
+    toks = F.col("toks") if "toks" in docs.columns else tokens(F.col("text"))
+    d = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", toks.alias("_d"))
     share = F.size(F.array_intersect("_q", F.array_distinct("_d"))) / F.greatest(F.size("_q"), F.lit(1))
     scored = candidates.join(q, "qid").join(d, "doc_id")
     return scored.withColumn("rerank_score", F.round(8.0 * share - 4.0 - F.ln(1 + F.size("_d")) / 10, 6)).drop("_q", "_d")
@@ -40,5 +42,5 @@ def relevance_labels(items: DataFrame, docs: DataFrame) -> DataFrame:
     hits = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w")).join(wanted, "w", "left_semi")
     pairs = hits.join(keyed.drop("item"), "w").join(d, "doc_id").join(keyed.drop("w"), "qid").where(F.contains("body", "item"))
     rest = d.join(short, F.contains(F.col("body"), F.col("item"))).select("qid", "doc_id", "source")
-    found = pairs.select("qid", "doc_id", "source").unionByName(rest)
+    found = union(pairs.select("qid", "doc_id", "source"), rest)
     return found.select("qid", "doc_id", F.when(F.col("source") == F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")), F.lit(2)).otherwise(F.lit(1)).alias("grade"))

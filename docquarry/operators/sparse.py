@@ -1,54 +1,131 @@
-"""BM25 over a batch of queries: index tables, scores, top lists, explanations."""
+"""BM25 over a batch of queries: an index of tokens, scores, top lists, explanations.
+
+An index is a table of documents with their tokens, written once (write_index) and read by every search; a plain
+table of documents serves too, its tokens are then made on the way. A search reads it twice: for the statistics
+of the query terms, and to score Arrow batches against all queries of a block. Each task sends on its k best rows
+of each query, so no posting is shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions.text import tokens
+from docquarry.operators.blocks import Best, arrow_type, in_blocks
 
 K1, B = 1.5, 0.75
+#: Queries that are sent to every worker at a time; more are searched block by block.
+QUERIES_AT_A_TIME = 1024
+#: Scores (queries times rows) that a worker holds at a time.
+SCORES_AT_A_TIME = 1 << 22
+#: Different terms that a worker counts before it hands its counts on.
+COUNTED = 1 << 20
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf."""
-    return docs.select(F.col(key).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
+    """doc_id, toks and the columns to keep, written to `path` as Parquet (tokens are stored by dictionary) and read again."""
+    docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("toks"), *keep).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, dl."""
-    return docs.select(F.col(key).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
+def _tokens(docs: DataFrame, text: str) -> Column:
+    return F.col("toks") if "toks" in docs.columns else tokens(F.col(text))
 
 
-def term_statistics(docs: DataFrame, post: DataFrame) -> DataFrame:
-    """term, df, idf; the corpus size is one row and joins by broadcast."""
-    n = docs.agg(F.count("*").alias("n"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+def lengths_of(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def query_terms(queries: DataFrame, key: str = "qid", text: str = "question", first: int | None = None) -> DataFrame:
-    """qid, term: distinct terms of each query; `first` keeps its first tokens only."""
-    t = tokens(F.col(text))
-    return queries.select(F.col(key).alias("qid"), F.explode(F.array_distinct(t if first is None else F.slice(t, 1, first))).alias("term"))
+def parents(lists: pa.Array) -> np.ndarray:
+    """The row of each item of flattened lists."""
+    return np.repeat(np.arange(len(lists)), lengths_of(lists))
 
 
-def contributions(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """qid, doc_id, term, tf, df, idf, part: what each query term adds to a document's score.
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, cf: documents that have each term, and its occurrences; counted in each task before the shuffle."""
 
-    Statistics are of the whole corpus. Only postings of query terms are scored: the distinct query terms meet
-    the exploded tokens by a semi join before anything is counted, and a document's length travels with its tokens.
-    """
-    wanted = terms.select("term").distinct()
-    split = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("toks"))
-    each = split.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
-    post = each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = term_statistics(docs, post)
-    mean = lengths(docs, key, text).agg(F.avg("dl").alias("avgdl"))
-    scored = post.join(stats, "term").crossJoin(F.broadcast(mean))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return scored.join(terms, "term").select("qid", "doc_id", "term", "tf", "df", "idf", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            df, cf = zip(*seen.values()) if seen else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(df, pa.int64()), pa.array(cf, pa.int64())], ["term", "df", "cf"])
+
+        for batch in batches:
+            toks = batch.column(0)
+            coded, row = toks.flatten().dictionary_encode(), parents(toks)
+            code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+            df = np.bincount(np.unique(row * np.int64(max(len(words), 1)) + code) % max(len(words), 1), minlength=len(words))
+            for w, d, c in zip(words, df.tolist(), np.bincount(code, minlength=len(words)).tolist()):
+                at = seen.setdefault(w, [0, 0])
+                at[0] += d
+                at[1] += c
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return docs.select(_tokens(docs, text).alias("toks")).mapInArrow(of, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
+
+
+@dataclass
+class Statistics:
+    """Of a whole corpus: its size, its mean length, and how many documents have each of some terms."""
+
+    n: int
+    mean: float
+    terms: list[str]
+    df: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def _entries(toks: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, term, tf of the terms in each row's tokens."""
+    code = pc.index_in(toks.flatten(), value_set=terms)
+    known = np.asarray(pc.is_valid(code))
+    row = parents(toks)[known]
+    cell, tf = np.unique(row * len(terms) + code.filter(code.is_valid()).to_numpy(zero_copy_only=False), return_counts=True)
+    return cell // max(len(terms), 1), cell % max(len(terms), 1), tf
+
+
+def statistics(docs: DataFrame, terms: list[str], text: str = "text") -> Statistics:
+    """One pass over the corpus; the driver gets one row a term."""
+    spark, n = docs.sparkSession, len(terms)
+    shared = spark.sparkContext.broadcast(terms)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set, df, rows, total = pa.array(shared.value, pa.string()), np.zeros(n, np.int64), 0, 0
+        for batch in batches:
+            toks = batch.column(0)
+            rows, total = rows + batch.num_rows, total + len(toks.flatten())
+            df += np.bincount(_entries(toks, value_set)[1], minlength=n)
+        there = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((there, [n, n + 1])).astype(np.int64)), pa.array(np.concatenate((df[there], [rows, total])).astype(np.int64))], ["code", "n"])
+
+    found = docs.select(_tokens(docs, text).alias("toks")).mapInArrow(of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(n + 2, np.int64)
+    counts[found["code"].to_numpy()] = found["n"].to_numpy()
+    return Statistics(int(counts[n]), counts[n + 1] / counts[n] if counts[n] else 0.0, terms, counts[:n])
+
+
+def query_terms(queries: DataFrame, key: str = "qid", text: str = "question") -> DataFrame:
+    """qid, term: distinct terms of each query."""
+    return queries.select(F.col(key).alias("qid"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", by: tuple = ("qid",), key: str = "doc_id") -> DataFrame:
@@ -57,10 +134,68 @@ def top(scored: DataFrame, k: int, score: str = "score", by: tuple = ("qid",), k
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, terms: DataFrame, k: int = 10, where: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """qid, doc_id, score, rank. A filter comes after the statistics, which stay those of the corpus."""
-    parts = contributions(docs, terms, key, text)
-    if where is not None:
-        parts = parts.join(docs.where(where).select(F.col(key).alias("doc_id")), "doc_id", "left_semi")
-    scored = parts.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    return top(scored, k)
+def search(docs: DataFrame, terms: DataFrame, k: int = 10, where: Column | None = None, key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
+    """qid, doc_id, score, rank of the k best documents of each query; with `group` (a string column) of each query and value.
+
+    docs: documents, or an index. terms: qid, term. A filter comes after the statistics, which stay those of the
+    corpus. Queries beyond QUERIES_AT_A_TIME are searched block by block.
+    """
+    spark = docs.sparkSession
+    kinds = {"qid": terms.schema["qid"].dataType.simpleString(), key: docs.schema[key].dataType.simpleString()}
+    schema = f"qid {kinds['qid']}, doc_id {kinds[key]}, score double" + (f", {group} string" if group else "")
+    qid_type, key_type = arrow_type(terms, "qid"), arrow_type(docs, key)
+    source = docs.select(F.col(key), _tokens(docs, text).alias("toks"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("own"))
+
+    def of_block(block: list) -> DataFrame:
+        ids = [r[0] for r in block]
+        words = sorted({w for r in block for w in r[1]})
+        index = {w: i for i, w in enumerate(words)}
+        queries = np.repeat(np.arange(len(ids)), [len(r[1]) for r in block])
+        codes = np.array([index[w] for r in block for w in r[1]], np.int64)
+        order = np.argsort(codes, kind="stable")
+        stats = statistics(docs, words, text)
+        shared = spark.sparkContext.broadcast((ids, words, stats.idf, stats.mean or 1.0, queries[order], np.searchsorted(codes[order], np.arange(len(words) + 1))))
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, words, weight, mean, asked, start = shared.value
+            value_set, n, best = pa.array(words, pa.string()), len(ids), {}
+            degree, at_a_time = np.diff(start), max(1, SCORES_AT_A_TIME // len(ids))
+            for whole in batches:
+                for at in range(0, whole.num_rows, at_a_time):
+                    batch = whole.slice(at, at_a_time)
+                    toks, rows = batch.column(1), batch.num_rows
+                    row, term, tf = _entries(toks, value_set)
+                    length = lengths_of(toks)
+                    part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+                    times = degree[term]
+                    each = np.repeat(np.arange(len(term)), times)
+                    query = asked[np.arange(len(each)) - np.repeat(np.cumsum(times) - times - start[term], times)]
+                    scores = np.round(np.bincount(query * rows + row[each], part[each], n * rows).astype(float), 6).reshape(n, rows)
+                    scores[scores <= 0] = -np.inf
+                    scores[:, ~batch.column(2).to_numpy(zero_copy_only=False)] = -np.inf
+                    keys, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_pylist() if group else [None] * rows
+                    for value in dict.fromkeys(own):
+                        here = np.array([x == value for x in own]) if group else slice(None)
+                        best.setdefault(value, Best(n, k)).add(scores[:, here], keys[here])
+            for value, b in best.items():
+                if b.key is not None:
+                    columns = [pa.array([ids[q] for q in b.query], qid_type), pa.array(b.key, key_type), pa.array(b.score), *([pa.array([value] * len(b.query), pa.string())] if group else [])]
+                    yield pa.RecordBatch.from_arrays(columns, ["qid", "doc_id", "score", *([group] if group else [])])
+
+        return source.mapInArrow(of, schema)
+
+    asked = terms.where("term IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(F.collect_set("term")).orderBy("qid").toLocalIterator()
+    found = in_blocks(asked, QUERIES_AT_A_TIME, of_block)
+    return top(found if found is not None else spark.createDataFrame([], schema), k, by=("qid", group) if group else ("qid",))
+
+
+def contributions(docs: DataFrame, terms: DataFrame, hits: DataFrame, text: str = "text") -> DataFrame:
+    """qid, doc_id, term, tf, df, idf, part: what each query term adds to the score of each hit (qid, doc_id)."""
+    n = docs.agg(F.count("*").alias("n"), F.avg(F.size(_tokens(docs, text))).alias("mean"))
+    wanted = docs.select("doc_id", _tokens(docs, text).alias("toks")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    tf = wanted.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = term_counts(docs, text).join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
+    each = hits.select("qid", "doc_id").join(terms, "qid").join(tf, ["doc_id", "term"]).join(df, "term").crossJoin(F.broadcast(n))
+    each = each.withColumn("idf", idf(F.col("n"), F.col("df")))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("mean"))
+    return each.select("qid", "doc_id", "term", "tf", "df", "idf", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as T
 from docquarry.operators import fusion, pipelines, rerank, sparse
 from docquarry.plans.q_guard import ATTACKS, _inj_sql
+from docquarry.plans.q_text import tokens_sql
 from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked
-from docquarry.plans.registry import Fixture, query, table
+from docquarry.plans.registry import Fixture, query, search_index, table
 
 SCOPES = Fixture("user_id string, allowed array<string>", [("all", ["en", "fr", "de", "es"]), ("english", ["en"]), ("south", ["fr", "es"]), ("none", [])])
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, sc AS (SELECT u.user_id, qt.qid, s.doc_id, round(sum(s.part), 6) AS score FROM s JOIN qt USING (term) JOIN t USING (doc_id) JOIN {SCOPES.sql} u ON list_contains(u.allowed, t.lang) GROUP BY ALL HAVING round(sum(s.part), 6) > 0) SELECT *, row_number() OVER (PARTITION BY user_id, qid ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3")
 def scoped_retrieval(spark, sf_dir):
-    return pipelines.scoped_search(table(spark, sf_dir, "documents"), sparse.query_terms(_questions(spark, sf_dir), first=8), SCOPES.df(spark), "lang", 3)
+    return pipelines.scoped_search(search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), SCOPES.df(spark), "lang", 3)
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, h AS (SELECT * FROM ({_bm25(10)}) JOIN t USING (doc_id)) SELECT u.user_id, count_if(NOT list_contains(u.allowed, h.lang)) AS foreign_if_unscoped, count(DISTINCT CASE WHEN list_contains(u.allowed, h.lang) THEN h.qid END) AS answered FROM h, {SCOPES.sql} u GROUP BY u.user_id")
@@ -67,9 +68,8 @@ def naive_pipeline(spark, sf_dir):
 @query(f"WITH {_INDEX}, {_QUERIES}, fan AS (SELECT *, row_number() OVER (PARTITION BY qid, lang ORDER BY score DESC, doc_id) AS rank FROM (SELECT qt.qid, t.lang, s.doc_id, round(sum(s.part), 6) AS score FROM s JOIN qt USING (term) JOIN t USING (doc_id) WHERE t.lang IN ('en', 'de') GROUP BY ALL HAVING round(sum(s.part), 6) > 0) QUALIFY rank <= 3), o AS (SELECT qid, doc_id, lang, rank, row_number() OVER (PARTITION BY qid ORDER BY rank, lang) AS position FROM fan) SELECT o.qid, q.question IS NOT NULL AS asked, count(*) AS passages, count(DISTINCT lang) AS values_covered, max(CASE WHEN position = 1 THEN doc_id END) AS first_doc FROM o JOIN q USING (qid) GROUP BY ALL")
 def fanout_pipeline(spark, sf_dir):
     """Two filter values: max(2, 5 // 2 + 1) passages for each, interleaved."""
-    docs = table(spark, sf_dir, "documents")
-    parts = sparse.contributions(docs, sparse.query_terms(_questions(spark, sf_dir), first=8)).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    each = sparse.top(parts.join(docs.where(F.col("lang").isin("en", "de")).select("doc_id", "lang"), "doc_id"), max(2, 5 // 2 + 1), by=("qid", "lang"))
+    docs = search_index(spark, sf_dir)
+    each = sparse.search(docs, sparse.query_terms(_questions(spark, sf_dir)), max(2, 5 // 2 + 1), F.col("lang").isin("en", "de"), group="lang")
     placed = fusion.interleave(each, "lang")
     return placed.groupBy("qid").agg(F.lit(True).alias("asked"), F.count("*").alias("passages"), F.count_distinct("lang").alias("values_covered"), F.max(F.when(F.col("position") == 1, F.col("doc_id"))).alias("first_doc"))
 
@@ -88,15 +88,16 @@ def index_variants(spark, sf_dir):
     return both.groupBy("variant").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"))
 
 
-SCRIPT = Fixture("run_id long, seq int, tool string, query string", [(1, 1, "search", "the and of"), (1, 2, "calculate", "2 * 21"), (1, 3, "search", "the and of"), (1, 4, "shell", "ls"), (2, 1, "relations", "Google"), (2, 2, "calculate", "1 / 0")])
+SEARCHED = "the ther ing. tion"
+SCRIPT = Fixture("run_id long, seq int, tool string, query string", [(1, 1, "search", SEARCHED), (1, 2, "calculate", "2 * 21"), (1, 3, "search", SEARCHED), (1, 4, "shell", "ls"), (2, 1, "relations", "Google"), (2, 2, "calculate", "1 / 0")])
 
 
-@query(f"SELECT * FROM {Fixture('run_id long, seq int, decision string, result string', [(1, 2, 'admitted', '42.0'), (1, 3, 'repeat', None), (1, 4, 'not allowed', None), (2, 1, 'admitted', '4 edges'), (2, 2, 'admitted', None)]).sql}")
+@query(f"WITH {_INDEX}, st AS (SELECT 1 AS qid, unnest(list_distinct({tokens_sql(chr(39) + SEARCHED + chr(39))})) AS term) SELECT * FROM {Fixture('run_id long, seq int, decision string, result string', [(1, 2, 'admitted', '42.0'), (1, 3, 'repeat', None), (1, 4, 'not allowed', None), (2, 1, 'admitted', '4 edges'), (2, 2, 'admitted', None)]).sql} UNION ALL SELECT 1, 1, 'admitted', (SELECT string_agg(doc_id, ',' ORDER BY rank) FROM ({_bm25(3, terms='st')}))")
 def scripted_agent(spark, sf_dir):
-    """Tool calls of a scripted model through admission and the tools (searches are left out of the comparison)."""
+    """Tool calls of a scripted model through admission and the tools."""
     from docquarry.plans.q_operations import _edges
 
-    return pipelines.run_tools(SCRIPT.df(spark), table(spark, sf_dir, "documents"), _edges(spark)).where("NOT (tool = 'search' AND decision = 'admitted')").select("run_id", "seq", "decision", "result")
+    return pipelines.run_tools(SCRIPT.df(spark), search_index(spark, sf_dir), _edges(spark)).select("run_id", "seq", "decision", "result")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, {_LABELS}, r AS ({_bm25(10)}) SELECT q.qid, CASE WHEN l.qid IS NULL THEN 'unanswerable' WHEN min(CASE WHEN l.doc_id = r.doc_id THEN r.rank END) IS NULL THEN 'missed' ELSE 'found' END AS outcome FROM q LEFT JOIN labels_ l USING (qid) LEFT JOIN r ON r.qid = q.qid GROUP BY q.qid, l.qid")

@@ -9,7 +9,7 @@ from docquarry.functions import text as T
 from docquarry.operators import agent, sparse, vectors
 from docquarry.plans.q_retrieval import _E, _INDEX, _QUERIES, _bm25, _questions
 from docquarry.plans.q_text import QUESTIONS, normalize_sql
-from docquarry.plans.registry import Fixture, query, table
+from docquarry.plans.registry import Fixture, query, search_index, table
 from docquarry.sources import readers
 from docquarry.streaming import folds
 
@@ -68,9 +68,8 @@ _SEMANTIC = f"{_E}, p AS (SELECT eq.qid, e.vec_id, round(list_dot_product(eq.qve
 
 def _semantic(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("qvec"))
-    pairs = q.join(e, "label").where("vec_id < qid").select("qid", "vec_id", F.round(vectors.dot(F.col("qvec"), F.col("embedding")), 6).alias("score"))
-    return sparse.top(pairs, 1, key="vec_id")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("qvec"))
+    return vectors.exact_search(e, q, 1, group="label", earlier=True)
 
 
 @query(f"WITH {_SEMANTIC} SELECT qid, vec_id, score, score >= 0.5 AS hit FROM p WHERE r = 1")
@@ -115,7 +114,7 @@ def evidence_numbering(spark, sf_dir):
 
 @query(f"WITH {_INDEX}, {_QUERIES}, r AS ({_bm25(12)}), g AS (SELECT qid // 2 AS qid, qid % 2 AS sub, doc_id, doc_id % 3 AS grade, rank FROM r), o AS (SELECT * FROM g WHERE grade > 0 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY sub, rank) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY qid, sub ORDER BY grade DESC, rank, doc_id) AS k FROM o QUALIFY k <= 4) SELECT qid, sub, doc_id, grade, rank, row_number() OVER (PARTITION BY qid ORDER BY sub, k) AS position FROM k")
 def crag_passage_order(spark, sf_dir):
-    hits = sparse.search(table(spark, sf_dir, "documents"), sparse.query_terms(_questions(spark, sf_dir), first=8), 12)
+    hits = sparse.search(search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), 12)
     graded = hits.select(F.floor(F.col("qid") / 2).alias("qid"), (F.col("qid") % 2).alias("sub"), "doc_id", (F.col("doc_id") % 3).alias("grade"), "rank")
     return agent.passage_order(graded)
 

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.operators import sparse
+from docquarry.session import scratch
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -30,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, toks, lang, source of every document, written once for each application and folder, as an index is, and read by its searches."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _indexes:
+        _indexes[name] = sparse.write_index(table(spark, sf_dir, "documents"), scratch(spark, "index"), keep=("lang", "source"))
+    return _indexes[name]
+
+
 def _literal(x) -> str:
     if x is None:
         return "NULL"

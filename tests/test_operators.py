@@ -134,3 +134,16 @@ def test_answers_are_refused_for_the_right_reason(spark):
     assert got[1].answer.startswith("Zebra revenue was 42") and got[1].passed
     events = [tuple(r)[1:3] for r in agent.answer_events(agent.answer_batch(asked, docs)).where("qid = 1").orderBy("seq").collect()]
     assert events == [(0, "meta"), (1, "sources"), (2, "token"), (3, "guardrails"), (4, "done")]
+
+
+def test_a_union_of_unions_is_grouped_right(spark):
+    """Lists that are dealt out alike, fused and set beside themselves: every group is one row."""
+    from docquarry.operators import fusion, sparse
+    from docquarry.session import union
+
+    rows = [(q, d, float((q * 7 + d * 13) % 101)) for q in range(40) for d in range(60)]
+    frame = spark.createDataFrame(rows, "qid long, doc_id long, score double").repartition(7)
+    lists = union(*(sparse.top(frame.withColumn("score", F.col("score") * s), 50).withColumn("list", F.lit(n)) for n, s in (("a", 1), ("b", -1))))
+    runs = union(lists.select("list", "qid", "doc_id", "rank"), fusion.reciprocal_rank(lists, 50).select(F.lit("rrf").alias("list"), "qid", "doc_id", "rank"))
+    joined = runs.join(F.broadcast(spark.range(60).withColumnRenamed("id", "doc_id")), "doc_id")
+    assert joined.groupBy("list", "qid", "doc_id").count().where("count > 1").count() == 0
