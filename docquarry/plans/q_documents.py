@@ -75,7 +75,7 @@ _WINDOWS = "w AS (SELECT doc_id, lang, source, t, unnest(range(0, greatest(len(t
 
 def _window_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    c = docs.select("doc_id", "lang", "source", F.posexplode(chunk.windows(F.col("text"), 50, 10)).alias("seq", "body"))
+    c = chunk.window_rows(docs, "text", 50, 10, ["doc_id", "lang", "source"])
     return c.withColumn("n", F.size(F.regexp_extract_all("body", F.lit(r"\S+"), F.lit(0))).cast("long"))
 
 

@@ -121,12 +121,12 @@ def crag_passage_order(spark, sf_dir):
 
 @query(None)
 def corrective_retrieval(spark, sf_dir):
-    return agent.corrective_retrieval(_questions(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return agent.corrective_retrieval(_questions(spark, sf_dir), search_index(spark, sf_dir))
 
 
 @query(None)
 def ask_batch(spark, sf_dir):
-    return agent.answer_batch(_questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question")), table(spark, sf_dir, "documents"))
+    return agent.answer_batch(_questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question")), table(spark, sf_dir, "documents"), index=search_index(spark, sf_dir))
 
 
 @query(None)
