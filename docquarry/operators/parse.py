@@ -141,8 +141,13 @@ def is_group_label(row: Column) -> Column:
 
 def header_rows(tables: DataFrame, key: str, rows: str = "rows", most: int = 5) -> DataFrame:
     """key, n_header: leading rows of labels, less trailing ones that name no columns; a date row of one of several panels belongs to the body."""
+    return _with_header(tables.select(key, rows), [key], rows, most).select(key, "n_header")
+
+
+def _with_header(tables: DataFrame, keep: list[str], rows: str, most: int = 5) -> DataFrame:
+    """The columns to keep, the rows, n_header, and h: of each row whether it has labels only."""
     flags = lambda f: F.transform(rows, f)
-    t = tables.select(key, F.col(rows).alias(rows), flags(row_is_header).alias("h"), flags(row_names_columns).alias("c"), flags(is_period_row).alias("p"))
+    t = tables.select(*keep, F.col(rows).alias(rows), flags(row_is_header).alias("h"), flags(row_names_columns).alias("c"), flags(is_period_row).alias("p"))
     steps = F.sequence(F.lit(0), F.least(F.size(rows), F.lit(most)))
     lead = F.array_max(F.filter(steps, lambda n: F.forall(F.slice("h", 1, n), lambda x: x)))
     t = t.withColumn("lead", lead)
@@ -150,7 +155,60 @@ def header_rows(tables: DataFrame, key: str, rows: str = "rows", most: int = 5)
     t = t.withColumn("n", named)
     last = F.coalesce(F.try_element_at("p", F.greatest("n", F.lit(1))), F.lit(False)) & (F.col("n") > 0)
     later = F.exists(F.slice("p", F.col("n") + 1, F.greatest(F.size(rows) - F.col("n"), F.lit(0))), lambda x: x)
-    return t.select(key, (F.col("n") - F.when(last & later, 1).otherwise(0)).cast("int").alias("n_header"))
+    return t.select(*keep, rows, "h", (F.col("n") - F.when(last & later, 1).otherwise(0)).cast("int").alias("n_header"))
+
+
+def is_heading(paragraph: Column) -> Column:
+    """A short paragraph of one line that does not end like a sentence."""
+    return (F.length(paragraph) <= 100) & ~paragraph.contains("\n") & ~paragraph.contains("|") & ~paragraph.rlike(r"[.;,]\s*$")
+
+
+#: Stands around tables while a text is split.
+_CUT = "\ue000⟦CUT⟧\ue000"
+BLOCK = "struct<kind: string, text: string, caption: string, header: array<string>, rows: array<string>>"
+
+
+def blocks(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, blocks: paragraphs of prose, and the tables between the marks, in order. key is unique.
+
+    A text is split around its tables. Rows between a pair of marks are a table: its header the leading
+    label rows, its caption the one or two headings before it, which stay in the prose too. Without a header and
+    without a number it is layout, and each row a paragraph. A mark without its other half is dropped. Texts
+    without blocks, null ones too, have none.
+    """
+    pair = rf"(?s)^{TABLE_START}\n(.*?)\n?{TABLE_END}$"
+    apart = F.regexp_replace(text, rf"(?s){TABLE_START}\n.*?{TABLE_END}", f"{_CUT}$0{_CUT}")
+    cut = F.posexplode_outer(F.split(apart, _CUT, -1)).alias("at", "part")
+    split_up = texts.select(key, cut).withColumn("table", F.coalesce(F.col("part").rlike(pair), F.lit(False)))
+    lines = F.when(F.col("table"), F.filter(F.transform(F.split(F.regexp_extract("part", pair, 1), "\n"), lambda r: F.trim(r)), lambda r: r != "")).otherwise(F.array().cast("array<string>"))
+    found = _with_header(split_up.withColumn("rows", lines), [key, "at", "part", "table"], "rows")
+    whole = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    prose = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("part", F.lit("")), f"{TABLE_START}|{TABLE_END}", ""), r"\n{2,}"), whole), lambda p: p != "")
+    none = F.lit(None).cast("array<string>")
+    written = lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"), F.lit(None).cast("string").alias("caption"), none.alias("header"), none.alias("rows")).cast(BLOCK)
+    body = F.slice("rows", F.col("n_header") + 1, F.size("rows"))
+    layout = (F.col("n_header") == 0) & F.forall("h", lambda x: x)
+    data = F.struct(F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit("").alias("caption"), F.slice("rows", F.lit(1), F.col("n_header")).alias("header"), body.alias("rows")).cast(BLOCK)
+    own = F.when(~F.col("table"), F.transform(prose, written)).when(layout, F.transform("rows", lambda r: written(F.replace(r, F.lit(" | "), F.lit(" "))))).otherwise(F.array(data))
+    each = found.select(key, "at", own.alias("own")).groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda s: s["own"])).alias("b"))
+
+    def captioned(block: Column, i: Column) -> Column:
+        one, two = F.get("b", i - 1), F.get("b", i - 2)
+        heads = lambda x: F.coalesce((x["kind"] == "text") & is_heading(x["text"]), F.lit(False))
+        caption = F.when(heads(one) & heads(two), F.concat_ws(" — ", two["text"], one["text"])).when(heads(one), one["text"]).otherwise(F.lit(""))
+        return F.when(block["kind"] == "table", block.withField("caption", caption)).otherwise(block)
+
+    return each.select(key, F.transform("b", captioned).alias("blocks"))
+
+
+def structure_statistics(structured: DataFrame, by: str) -> DataFrame:
+    """by, blocks, tables, with_header, with_caption, rows of texts with blocks."""
+    t = structured.select(by, F.explode_outer("blocks").alias("x"))
+    table = F.col("x.kind") == "table"
+    return t.groupBy(by).agg(
+        F.count("x").alias("blocks"), F.count_if(table).alias("tables"), F.count_if(table & (F.size("x.header") > 0)).alias("with_header"),
+        F.count_if(table & (F.col("x.caption") != "")).alias("with_caption"), F.coalesce(F.sum(F.when(table, F.size("x.rows").cast("long"))), F.lit(0)).alias("rows"),
+    )
 
 
 def render_table(caption: Column, header: Column, rows: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
 from docquarry.operators import guard, sparse
-from docquarry.session import union
+from docquarry.session import checkpointed, union
 from docquarry.streaming import folds
 
 
@@ -57,3 +58,33 @@ def run_tools(calls: DataFrame, docs: DataFrame, edges: DataFrame, allowed: tupl
     related = asked.join(edges, F.col("query").isin(F.col("subject"), F.col("object")), "left").groupBy("qid").agg(F.concat(F.count("subject").cast("string"), F.lit(" edges")).alias("result"))
     results = union(searched, counted, related)
     return decided.withColumn("qid", key).join(results, "qid", "left").drop("qid", "args")
+
+
+def answers(hits: DataFrame, questions: DataFrame, docs: DataFrame, floor: float | None = None, quarantined: bool = False, untrusted: bool = False, refusals: DataFrame | None = None) -> DataFrame:
+    """qid, refused_by, sources, context, answer, passed: from retrieved passages to a checked answer, one row a question.
+
+    hits: qid, doc_id, rank, rerank_score. A question with a refusal (qid, refused_by) is not answered; nor is one
+    without passages, with its best passage below the floor, or all of whose passages hold injected instructions
+    (those go, where they are quarantined). The default writer takes the best sentences of the first passage and
+    cites it; its numbers are checked against that passage.
+    """
+    texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source", F.col("text").alias("passage"))
+    found = hits.join(texts, "doc_id")
+    low = found.groupBy("qid").agg(F.max("rerank_score").alias("best"))
+    if quarantined:
+        found = found.where(F.size(T.injections(F.col("passage"))) == 0)
+    found = checkpointed(found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))))
+    shown = guard.format_untrusted(F.col("n"), F.col("source"), F.col("passage")) if untrusted else F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("source"), F.lit("\n"), F.col("passage"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("x")))), lambda s: s["x"])
+    prompts = found.groupBy("qid").agg(in_order(F.col("doc_id")).alias("sources"), F.array_join(in_order(shown), "\n---\n").alias("context"))
+    first = found.where("n = 1").select("qid", "passage")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "sentence"))), lambda s: s["sentence"]), " ")
+    written = guard.extractive_sentences(first.join(questions, "qid")).groupBy("qid").agg(F.concat(parts, F.lit(" [1]")).alias("answer"))
+    checked = written.join(first, "qid").withColumn("passed", F.size(guard.ungrounded(F.col("answer"), F.array("passage"))) == 0).drop("passage")
+    asked = questions.select("qid")
+    asked = asked.withColumn("told", F.lit(None).cast("string")) if refusals is None else asked.join(refusals.select("qid", F.col("refused_by").alias("told")), "qid", "left")
+    out = asked.join(low, "qid", "left").join(prompts, "qid", "left").join(checked, "qid", "left")
+    below = F.lit(False) if floor is None else F.col("best") < floor
+    refused = F.when(F.col("told").isNotNull(), F.col("told")).when(F.col("best").isNull() & F.col("sources").isNull(), F.lit("no passage")).when(below, F.lit("floor")).when(F.col("sources").isNull(), F.lit("quarantine"))
+    answered = F.col("refused_by").isNull()
+    return out.withColumn("refused_by", refused).select("qid", "refused_by", *(F.when(answered, F.col(c)).alias(c) for c in ("sources", "context", "answer", "passed")))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from docquarry.operators import chunk, parse
 from docquarry.plans.registry import Fixture, query, table
+from docquarry.session import union
 
 FILINGS = Fixture("filing string, text string", [
     ("A", "cover line\nItem 1. | Business | 3\nITEM 1. Business overview\n" + "We sell things. " * 20 + "\nItem 1A | Risk Factors\n" + "Risks are many. " * 20 + "\nitem 7. discussed below\n12\nItem 6. [Reserved]\nshort"),
@@ -25,14 +26,11 @@ PAGES_FIXTURE = Fixture("id long, html string, text string", [
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<head>.*?</head>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),
 t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '</?(p|div|li|h[1-6]|table)(\s[^>]*)?>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '<[a-zA-Z/!][^>]*>', '', 'g') AS x FROM p),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM t),
+u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM t),
 v AS (SELECT page_id, regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g') AS x FROM u)
-SELECT page_id, md5(trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda l: NOT regexp_matches(trim(l), '(?i)^(?:\d{1,3}|table of contents|part\s+i{1,3}v?|item\s+\d{1,2}[a-c]?|[_\-=]{3,})$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ')) AS text FROM v WHERE NOT regexp_matches(x, '&[a-z]')""")
+SELECT page_id, md5(trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda l: NOT regexp_matches(trim(l), '(?i)^(?:\d{1,3}|table of contents|part\s+i{1,3}v?|item\s+\d{1,2}[a-c]?|[_\-=]{3,})$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ')) AS text FROM v""")
 def pages_to_text(spark, sf_dir):
-    """Pages whose text has no cut-off character reference (the SQL decodes whole ones only)."""
-    pages = table(spark, sf_dir, "pages")
-    cut_off = F.regexp_replace("html", r"&(?:amp|quot|lt|gt|copy|middot);", "").rlike(r"&[a-z]")
-    return parse.pages_to_text(pages.where(~cut_off)).select("page_id", F.md5(F.col("text").cast("binary")).alias("text"))
+    return parse.pages_to_text(table(spark, sf_dir, "pages")).select("page_id", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query(f"SELECT id, text FROM {PAGES_FIXTURE.sql}")
@@ -144,3 +142,50 @@ def structured_chunks(spark, sf_dir):
     blocks = lambda t: [{"kind": "text", "text": p} if "|" not in p else {"kind": "table", "caption": "Rows", "header": p.split("\n")[:1], "rows": p.split("\n")[1:]} for p in t.split("\n") if p]
     docs = table(spark, sf_dir, "documents")
     return chunk.chunked(docs, "doc_id", "text", lambda t: [f"{k}: {b}" for k, b in chunk.block_chunks(blocks(t), 60, 10)])
+
+
+# ---- Blocks, chunk sets, parents by sub-question ------------------------------------------------------------------
+
+_S, _E, _LONG = parse.TABLE_START, parse.TABLE_END, "point of a cell that is too long to name a column"
+MARKED = Fixture("id long, text string", [
+    (1, f"Intro sentence here.\n\nRESULTS\n\nRevenues\n\n{_S}\nYears ended | 2025 | 2024\nRevenue | 10 | 9\nCosts:\nRent | 1 | 2\n{_E}\n\nAfter it."),
+    (2, f"{_S}\nfirst point\nsecond | {_LONG}\n{_E}\nTail"), (3, f"Loose {_E} mark\n\n\nand {_S} more"), (4, ""), (5, None), (6, f"Cash flows;\n\n{_S}\nCash | 5\n{_E}"), (7, f"A\n\nB\n\nC\n\n{_S}\n\n{_E}x{_S}\n2025\nSales | 3\n{_E}"),
+])
+_BLOCK_ROWS = Fixture("id long, n int, kind string, body string, caption string, header string", [
+    (1, 0, "text", "Intro sentence here.", None, None), (1, 1, "text", "RESULTS", None, None), (1, 2, "text", "Revenues", None, None), (1, 3, "table", "Revenue | 10 | 9/Costs:/Rent | 1 | 2", "RESULTS — Revenues", "Years ended | 2025 | 2024"), (1, 4, "text", "After it.", None, None),
+    (2, 0, "text", "first point", None, None), (2, 1, "text", f"second {_LONG}", None, None), (2, 2, "text", "Tail", None, None), (3, 0, "text", "Loose  mark", None, None), (3, 1, "text", "and  more", None, None),
+    (6, 0, "text", "Cash flows;", None, None), (6, 1, "table", "Cash | 5", "", ""), (7, 0, "text", "A", None, None), (7, 1, "text", "B", None, None), (7, 2, "text", "C", None, None), (7, 3, "text", "x", None, None), (7, 4, "table", "Sales | 3", "C — x", "2025"),
+])
+
+
+@query(f"SELECT * FROM {_BLOCK_ROWS.sql} UNION ALL SELECT 100 + doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER), 'text', md5(x), NULL, NULL FROM (SELECT doc_id, generate_subscripts(parts, 1) AS i, regexp_replace(unnest(parts), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') AS x FROM (SELECT doc_id, regexp_split_to_array(text, '\\n{{2,}}') AS parts FROM documents)) WHERE x <> ''")
+def parse_blocks(spark, sf_dir):
+    """Blocks of marked texts, and the paragraphs of every document."""
+    of = lambda df: parse.blocks(df, "id").select("id", F.posexplode("blocks").alias("n", "x"))
+    docs = of(table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), "text"))
+    body = F.coalesce("x.text", F.array_join("x.rows", "/"))
+    marked = of(MARKED.df(spark)).select("id", "n", "x.kind", body.alias("body"), "x.caption", F.array_join("x.header", "/").alias("header"))
+    return union(marked, docs.select("id", "n", "x.kind", F.md5(body.cast("binary")).alias("body"), "x.caption", F.array_join("x.header", "/").alias("header")))
+
+
+@query("SELECT 'marked' AS source, 17 AS blocks, 3 AS tables, 2 AS with_header, 2 AS with_caption, 5 AS rows")
+def structure_statistics(spark, sf_dir):
+    return parse.structure_statistics(parse.blocks(MARKED.df(spark), "id").withColumn("source", F.lit("marked")), "source")
+
+
+@query(None)
+def chunk_sets(spark, sf_dir):
+    """The four chunk sets of every document under a header that names its source."""
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.select("doc_id", F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("]")).alias("header")).join(parse.blocks(docs, "doc_id"), "doc_id")
+    return chunk.chunk_sets(marked, "doc_id")
+
+
+CHILDREN = Fixture("qid long, sub int, parent string, rank int", [(1, 0, "p1", 1), (1, 0, "p2", 2), (1, 0, "p1", 3), (1, 0, "p3", 4), (1, 1, "p2", 1), (1, 1, "p1", 2), (1, 1, "p4", 3), (1, 1, "p5", 4), (2, 0, "p9", 2), (2, 0, "p8", 1), (2, 0, "p7", 3), (2, 0, "p6", 4), (2, 0, "p5", 5)])
+_PARENTS = Fixture("qid long, sub int, parent string, best int, via string, position int", [(1, 0, "p1", 1, "1,3", 1), (1, 0, "p2", 2, "2", 2), (1, 1, "p4", 3, "3", 3), (1, 1, "p5", 4, "4", 4), (2, 0, "p8", 1, "1", 1), (2, 0, "p9", 2, "2", 2), (2, 0, "p7", 3, "3", 3), (2, 0, "p6", 4, "4", 4)])
+
+
+@query(f"SELECT * FROM {_PARENTS.sql}")
+def plan_parents(spark, sf_dir):
+    """Parents for each sub-question; the second one passes over those that the first one took."""
+    return chunk.expand_plan(CHILDREN.df(spark), 4).withColumn("via", F.array_join(F.col("via").cast("array<string>"), ","))

@@ -153,11 +153,11 @@ def graph_size(spark, sf_dir):
     return e.groupBy("relation").agg(F.count("*").alias("edges")).crossJoin(F.broadcast(nodes))
 
 
-_STAR = "SELECT DISTINCT 's' || l_suppkey % 40 AS subject, 's' || l_partkey % 40 AS object FROM lineitem WHERE l_linenumber = 1"
+_STAR = "SELECT DISTINCT 's' || l_suppkey % 40 AS subject, 's' || l_partkey % 40 AS object FROM lineitem"
 
 
 def _star(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("subject"), F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string")).alias("object")).distinct()
 
 

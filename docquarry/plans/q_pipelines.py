@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import fusion, pipelines, rerank, sparse
+from docquarry.operators import fusion, pipelines, rerank, retriever, sparse
+from docquarry.operators.planning import ADVICE
 from docquarry.plans.q_guard import ATTACKS, _inj_sql
-from docquarry.plans.q_text import tokens_sql
-from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked
+from docquarry.plans.q_text import QUESTIONS, tokens_sql
+from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked, _vectors
 from docquarry.plans.registry import Fixture, query, search_index, table
+from docquarry.session import union
 
 SCOPES = Fixture("user_id string, allowed array<string>", [("all", ["en", "fr", "de", "es"]), ("english", ["en"]), ("south", ["fr", "es"]), ("none", [])])
 
@@ -115,3 +117,39 @@ RUNS = Fixture("id long, report boolean, answer string, refused_by string", [(1,
 def refused_runs(spark, sf_dir):
     a = F.coalesce("answer", F.lit(""))
     return RUNS.df(spark).select("id", (F.coalesce("report", F.lit(False)) | T.is_refusal(a) | a.startswith("No filings are indexed") | F.col("refused_by").isNotNull()).alias("refused"))
+
+
+# ---- Composed pipelines, from the question to the checked answer ---------------------------------------------------
+
+
+def _answer_columns(a):
+    return a.select("qid", "refused_by", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.md5(F.col("context").cast("binary")).alias("context"), "answer", "passed")
+
+
+@query(None)
+def naive_answers(spark, sf_dir):
+    """Dense retrieval of five passages, the prompt's context, the answer, and the check of its numbers."""
+    hits = _dense_top(spark, sf_dir, 5).select("qid", "doc_id", "rank", F.col("score").alias("rerank_score"))
+    return _answer_columns(pipelines.answers(hits, _questions(spark, sf_dir), table(spark, sf_dir, "documents")))
+
+
+@query(None)
+def fanout_answers(spark, sf_dir):
+    """max(2, 5 // 2 + 1) reranked passages for each of two filter values, interleaved, under a floor."""
+    index = search_index(spark, sf_dir)
+    each = [retriever.retrieve(index, _vectors(spark, sf_dir), _questions(spark, sf_dir), max(2, 5 // 2 + 1), where=F.col("lang") == x).withColumn("lang", F.lit(x)) for x in ("de", "en")]
+    placed = fusion.interleave(union(*each), "lang").select("qid", "doc_id", F.col("position").alias("rank"), "rerank_score")
+    return _answer_columns(pipelines.answers(placed, _questions(spark, sf_dir), table(spark, sf_dir, "documents"), floor=-3.0))
+
+
+@query(None)
+def planned_answers(spark, sf_dir):
+    """Refusal templates, plan retrieval, quarantine, untrusted passages, floor, answer and check: every stage in one run."""
+    q = _questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question"))
+    advice = q.where(F.col("question").rlike(ADVICE)).select("qid", F.lit("advice").alias("refused_by"))
+    going = q.join(advice, "qid", "left_anti")
+    index = search_index(spark, sf_dir)
+    subs = going.select("qid", F.lit(0).alias("sub"), "question")
+    planned = retriever.retrieve_plan(index, _vectors(spark, sf_dir), subs, going, 6)
+    scored = rerank.cross_scores(planned.select("qid", "doc_id", "rank"), going, index)
+    return _answer_columns(pipelines.answers(scored, q, table(spark, sf_dir, "documents"), floor=-3.0, quarantined=True, untrusted=True, refusals=advice))

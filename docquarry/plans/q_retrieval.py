@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
-from docquarry.operators import fusion, metrics, rerank, sparse, vectors
+from docquarry.operators import fusion, metrics, rerank, retriever, sparse, vectors
 from docquarry.plans.q_text import tokens_sql
 from docquarry.plans.registry import Fixture, query, search_index, table
 from docquarry.session import union
@@ -320,6 +320,57 @@ def depth_sweep(spark, sf_dir):
     return sums.select("depth", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce("s", F.lit(0.0)) / F.col("n"), 6).alias("mrr"))
 
 
+# ---- The whole retriever ------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf_dir):
+    return vectors.embed(search_index(spark, sf_dir).select("doc_id", F.col("toks").alias("t")), "doc_id", "t", "embedding")
+
+
+def _retrieved_sql(where: str, k: int) -> str:
+    """found(qid, doc_id, bm25_rank, dense_rank, rrf_score, fused_rank, rerank_score, rank)."""
+    lists = f"hl AS (SELECT 'bm25' AS list, qid, doc_id, rank FROM ({_bm25(50, where)}) UNION ALL SELECT 'dense', qid, doc_id, rank FROM ({_ranked(f'SELECT qid, doc_id, round(list_dot_product(qvec, vec), 6) AS score FROM qv, dv JOIN t USING (doc_id) WHERE {where}', 50)}))"
+    return f"""{lists}, hf AS ({_rrf_sql('hl', 50)}), hr AS (SELECT f.qid, f.doc_id, f.rrf_score, f.rank AS fused_rank, {_RERANK_SQL} AS rerank_score FROM hf f JOIN q USING (qid) JOIN t USING (doc_id)),
+found AS (SELECT r.*, (SELECT max(rank) FROM hl WHERE hl.list = 'bm25' AND hl.qid = r.qid AND hl.doc_id = r.doc_id) AS bm25_rank, (SELECT max(rank) FROM hl WHERE hl.list = 'dense' AND hl.qid = r.qid AND hl.doc_id = r.doc_id) AS dense_rank FROM ({_ranked('SELECT * FROM hr', k, 'rerank_score')}) r)"""
+
+
+@query(f"WITH {_INDEX}, {_QUERIES}, {_DENSE}, {_retrieved_sql(chr(39) + 'en' + chr(39) + ' = t.lang', 5)} SELECT qid, doc_id, bm25_rank, dense_rank, rrf_score, fused_rank, rerank_score, rank, CAST(NULL AS VARCHAR) AS degraded FROM found")
+def hybrid_retrieval(spark, sf_dir):
+    """Filter, BM25 beside dense, fusion, cut at 50, rerank, five passages, with the rank of every stage."""
+    return retriever.retrieve(search_index(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, where=F.col("lang") == "en")
+
+
+@query(f"WITH {_INDEX}, {_QUERIES}, v AS (SELECT qid, doc_id, rank FROM ({_bm25(50)})), f AS ({_rrf_sql('v', 5)}) SELECT qid, doc_id, rank AS bm25_rank, CAST(NULL AS INTEGER) AS dense_rank, rrf_score, rank AS fused_rank, CAST(NULL AS DOUBLE) AS rerank_score, rank, 'dense retrieval failed: ConnectionError' AS degraded FROM f")
+def degraded_retrieval(spark, sf_dir):
+    """The embedder raises: the sparse list alone is fused, and the rows say why."""
+
+    def refuses(_):
+        raise ConnectionError("no embedder")
+
+    return retriever.retrieve(search_index(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, reranked=False, embedder=refuses)
+
+
+@query(None)
+def hybrid_variants(spark, sf_dir):
+    """Halves of each question beside the whole one, both kinds of search for each, and one rerank against the whole question."""
+    named = _variants_text(spark, sf_dir)
+    return retriever.retrieve_variants(search_index(spark, sf_dir), _vectors(spark, sf_dir), named, _questions(spark, sf_dir), 5)
+
+
+@query(None)
+def hybrid_plan(spark, sf_dir):
+    """Two sub-questions with a language each: max(2, 6 // 2) passages for each, fused with the original question's."""
+    subs = _variants_text(spark, sf_dir).where("variant > 0").select("qid", F.col("variant").alias("sub"), "question", F.when(F.col("variant") == 1, F.lit("en")).otherwise(F.lit("fr")).alias("lang"))
+    return retriever.retrieve_plan(search_index(spark, sf_dir), _vectors(spark, sf_dir), subs, _questions(spark, sf_dir), 6, filters=("lang",))
+
+
+def _variants_text(spark, sf_dir):
+    words = F.split("question", " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    parts = F.array(F.col("question"), F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))
+    return _questions(spark, sf_dir).select("qid", F.posexplode(parts).alias("variant", "question"))
+
+
 # ---- Labels and metrics -----------------------------------------------------------------------------------------
 
 

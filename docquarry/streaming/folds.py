@@ -32,8 +32,9 @@ def run(events: DataFrame, fold: Fold, key: str, order: list[str]) -> DataFrame:
         for pdf in frames:
             results = []
             for row in pdf.to_dict("records"):
-                if row[key] != now:
-                    now, state = row[key], fold.start()
+                own = None if pd.isna(row[key]) else row[key]  # null keys are one key, as in a stream
+                if own != now:
+                    now, state = own, fold.start()
                 state, out = fold.step(state, row)
                 results.append(out)
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(results)], axis=1) if results else pdf.iloc[:0]

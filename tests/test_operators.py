@@ -147,3 +147,12 @@ def test_a_union_of_unions_is_grouped_right(spark):
     runs = union(lists.select("list", "qid", "doc_id", "rank"), fusion.reciprocal_rank(lists, 50).select(F.lit("rrf").alias("list"), "qid", "doc_id", "rank"))
     joined = runs.join(F.broadcast(spark.range(60).withColumnRenamed("id", "doc_id")), "doc_id")
     assert joined.groupBy("list", "qid", "doc_id").count().where("count > 1").count() == 0
+
+
+def test_null_keys_are_one_key(spark):
+    """In batches as in streams: the second request of an unnamed user is refused as a named user's is."""
+    rows = [(None, 1, 0.0, 2.0), (None, 2, 0.5, 2.0), (7, 1, 0.0, 2.0), (7, 2, 0.5, 2.0)]
+    for schema in ("user_id long", "user_id double"):
+        events = spark.createDataFrame([(u if u is None or "long" in schema else float(u), *x) for u, *x in rows], f"{schema}, seq int, t double, rpm double")
+        out = {(r.user_id, r.seq): r.allowed for r in folds.run(events, folds.token_bucket(), "user_id", ["seq"]).collect()}
+        assert [a for (u, _), a in sorted(out.items(), key=lambda x: (x[0][0] is not None, x[0][1]))] == [True, False, True, False]
