@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
-from docquarry.operators import fusion, metrics, rerank, retriever, sparse, vectors
+from docquarry.operators import fusion, metrics, rerank, retriever, sparse, statistics, vectors
 from docquarry.plans.q_text import tokens_sql
 from docquarry.plans.registry import Fixture, query, search_index, table
 from docquarry.session import union
@@ -427,3 +427,13 @@ def probe_runner(spark, sf_dir):
     return each.join(first, ["strategy", "qid"], "left").groupBy("strategy").agg(
         F.count("*").alias("probes"), F.count_if(F.col("first") <= 5).alias("hit5"), F.count_if(F.col("first") <= 50).alias("hit50"), F.round(F.sum(F.when(F.col("first") <= 5, 1.0 / F.col("first")).otherwise(0.0)) / F.count("*"), 6).alias("mrr5")
     )
+
+
+@query(None)
+def config_table(spark, sf_dir):
+    """Mean nDCG of each configuration with its interval, and its difference from BM25 with the share of resamples that are not better."""
+    lists, labels, asked = _both(spark, sf_dir), _labels(spark, sf_dir), _questions(spark, sf_dir).select("qid")
+    runs = {"bm25": lists.where("list = 'bm25'"), "dense": lists.where("list = 'dense'"), "rrf": fusion.reciprocal_rank(lists, 50)}
+    each = union(*(metrics.per_query(r.select("qid", "doc_id", "rank"), labels, 10, asked).select(F.lit(name).alias("config"), "qid", "ndcg") for name, r in runs.items()))
+    paired = each.join(each.where("config = 'bm25'").select("qid", F.col("ndcg").alias("base")), "qid")
+    return statistics.compared_by_group(paired, "config", "qid", "ndcg", "base", 500)

@@ -10,6 +10,7 @@ from docquarry.operators import agent, sparse, vectors
 from docquarry.plans.q_retrieval import _E, _INDEX, _QUERIES, _bm25, _questions
 from docquarry.plans.q_text import QUESTIONS, normalize_sql
 from docquarry.plans.registry import Fixture, query, search_index, table
+from docquarry.session import scratch
 from docquarry.sources import readers
 from docquarry.streaming import folds
 
@@ -187,3 +188,75 @@ def token_estimates(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("had"))
     return c.join(before, ["conv_id", "turn"], "left").groupBy("role").agg(F.count_if(F.col("had").isNotNull()).alias("with_before"), F.count("*").alias("n"), F.round(F.avg(F.col("size") / 4.0), 6).alias("estimate"), F.round(F.percentile("size", F.lit(0.95)), 6).alias("p95"))
+
+
+# ---- Sources and sinks ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'd' || doc_id AS id, md5(text) AS text, source AS section, CAST(n_chars % 9 + 2017 AS INTEGER) AS fiscal_year FROM documents")
+def source_json_lines(spark, sf_dir):
+    """Every document through a JSON-lines sink and back, by the schema of chunk rows."""
+    path, year = scratch(spark, "chunks"), (F.col("n_chars") % 9 + 2017).cast("int")
+    readers.append_json_lines(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", year.alias("fiscal_year"), F.col("source").alias("section")), path)
+    return readers.read_json_lines(spark, path, readers.CHUNK).select("id", F.md5(F.col("text").cast("binary")).alias("text"), "section", "fiscal_year")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def source_json_array(spark, sf_dir):
+    path = scratch(spark, "nations")
+    readers.write_json_array(table(spark, sf_dir, "nation"), path)
+    return readers.read_json_array(spark, path, "n_nationkey long, n_name string, n_regionkey long")
+
+
+@query("SELECT event_type AS name, count(*) AS traces, count(DISTINCT CAST(ts AS DATE)) AS days, round(sum(value), 4) AS total FROM events WHERE event_type = 'click' GROUP BY event_type")
+def source_traces(spark, sf_dir):
+    """Events as day files of traces, read by name."""
+    folder = scratch(spark, "traces")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("trace_id"), F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("started_at"), F.col("value").alias("duration_ms"))
+    for part in (0, 1):  # two runs append to their own files
+        readers.append_json_lines(e.where(F.pmod(F.col("trace_id").cast("long"), F.lit(2)) == part), f"{folder}/part-{part}.jsonl")
+    t = readers.read_traces(spark, folder, "click")
+    return t.groupBy("name").agg(F.count("*").alias("traces"), F.count_distinct(F.to_date("started_at")).alias("days"), F.round(F.sum("duration_ms"), 4).alias("total"))
+
+
+@query("SELECT 2 * count(*) AS appended, count(*) AS replaced, count(*) AS migrated, count(*) AS again, count(DISTINCT vec_id) AS ids FROM embeddings")
+def source_vectors(spark, sf_dir):
+    """A vector store that is extended, replaced, and moved to another one twice."""
+    e, path, other = table(spark, sf_dir, "embeddings"), scratch(spark, "store"), scratch(spark, "other")
+    readers.write_vectors(e, path, "vec_id")
+    appended = readers.write_vectors(e, path, "vec_id", reset=False)
+    replaced = readers.write_vectors(e, path, "vec_id")
+    migrated, again = (readers.migrate_vectors(spark, path, other, "vec_id") for _ in range(2))
+    counts = spark.createDataFrame([(appended, replaced, migrated, again)], "appended long, replaced long, migrated long, again long")
+    return counts.crossJoin(F.broadcast(spark.read.parquet(other).agg(F.count_distinct("point_id").alias("ids"))))
+
+
+@query("SELECT lang, 2 * count(*) AS rows FROM documents GROUP BY lang")
+def source_append(spark, sf_dir):
+    path, rows = scratch(spark, "log"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    for _ in range(2):
+        readers.append_json_lines(rows, path)
+    return readers.read_json_lines(spark, path, "doc_id long, lang string").groupBy("lang").agg(F.count("*").alias("rows"))
+
+
+BUDGETS = Fixture("run_id long, seq int, size long, usd double, repeated boolean", [
+    (1, 1, 10, 0.1, False), (1, 2, 10, 0.1, True), (1, 3, 99, 0.9, True), (2, 1, 10, 0.1, False), (2, 2, 10, 0.1, False), (2, 3, 10, 0.1, False), (2, 4, 10, 0.1, False), (3, 1, 60, 0.1, False), (3, 2, 60, 0.9, False), (4, 1, 5, 0.6, False), (4, 2, 5, 0.4, False), (5, 1, 1, 0.0, False),
+])
+
+
+@query(f"SELECT * FROM {Fixture('run_id long, step long, reason string, tokens long', [(1, 3, 'loop', 119), (2, 4, 'max_steps', 40), (3, 2, 'max_tokens', 120), (4, 2, 'max_cost', 10)]).sql}")
+def budget_limits(spark, sf_dir):
+    """Each limit by itself, and loops before all others."""
+    return agent.budget_stop(BUDGETS.df(spark), "run_id", "seq", "size", 4, 100, "usd", 1.0, "repeated", 2)
+
+
+CACHED = Fixture("scope string, seq int, signature string, vector array<double>, item string, hit_item string, similarity double", [
+    ("a", 1, "s", [1.0, 0.0], "q1", None, None), ("a", 2, "s", [0.96, 0.28], "q2", "q1", 0.96), ("a", 3, "t", [1.0, 0.0], "q3", None, None), ("a", 4, "s", [0.0, 1.0], "q4", None, None), ("a", 5, "s", [1.0, 0.0], "q5", None, None), ("a", 6, "s", [1.0, 0.0], "q6", "q5", 1.0),
+    ("b", 1, "s", [1.0, 0.0], "r1", None, None), ("b", 2, "s", [0.6, 0.8], "r2", None, None), ("b", 3, "s", [0.6, 0.8], "r3", "r2", 1.0),
+])
+
+
+@query(f"SELECT scope, seq, hit_item, similarity FROM {CACHED.sql}")
+def scoped_semantic_cache(spark, sf_dir):
+    """Scope, signature, threshold 0.95, and two places: the first question of scope a has gone when it is asked again."""
+    return folds.run(CACHED.df(spark).drop("hit_item", "similarity"), folds.semantic_cache(most=2), "scope", ["seq"]).select("scope", "seq", "hit_item", "similarity")

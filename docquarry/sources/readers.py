@@ -38,6 +38,16 @@ def write_vectors(df: DataFrame, path: str, key: str, reset: bool = True) -> int
     return df.sparkSession.read.parquet(path).count()
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file with one array, for settings and catalogs of a few thousand rows."""
+    df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def migrate_vectors(spark: SparkSession, source: str, target: str, key: str) -> int:
+    """The vectors of one store in another, in place of what was there; keys become the other store's point ids. Again gives the same store."""
+    return write_vectors(spark.read.parquet(source).drop("point_id"), target, key)
+
+
 def point_id(key: Column) -> Column:
     """A version-5 UUID of the key: SHA-1 over the namespace's bytes and the name, with version and variant set."""
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), key.cast("string").cast("binary")))

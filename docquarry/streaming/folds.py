@@ -125,6 +125,22 @@ def ttl_cache(time: str = "t", item: str = "question", most: int = 10_000, ttl:
     return Fold(dict, step, "hit boolean")
 
 
+def semantic_cache(vector: str = "vector", signature: str = "signature", item: str = "item", threshold: float = 0.95, most: int = 1000) -> Fold:
+    """hit_item, similarity: the nearest stored vector (unit length) of the same signature, if it is at `threshold` or more. What misses is stored, and the oldest goes beyond `most`. The key is the scope: scopes share nothing."""
+
+    def step(s: dict, e: dict) -> tuple[dict, dict]:
+        kept = s.get("kept", [])
+        own = [float(x) for x in e[vector]]
+        near = [(sum(a * b for a, b in zip(own, v)), -n, i) for n, (sig, v, i) in enumerate(kept) if sig == e[signature]]
+        similarity, _, found = max(near, default=(None, 0, None), key=lambda x: x[:2])
+        hit = similarity is not None and similarity >= threshold
+        if not hit:
+            kept = [*kept, [e[signature], own, e[item]]][-most:]
+        return {"kept": kept}, {"hit_item": found if hit else None, "similarity": round(similarity, 6) if hit else None}
+
+    return Fold(dict, step, "hit_item string, similarity double")
+
+
 def admission(allowed: list[str], most_calls: int = 12, similar: float = 0.8) -> Fold:
     """decision for each tool call: off the list, over budget, a near-repeat (same tool and arguments, word sets of Jaccard `similar` or more), or admitted. A refused call is not remembered."""
     import re

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -163,3 +164,12 @@ def test_answers_at_each_end_of_the_pipeline(spark):
     assert out[1].sources == [1] and out[1].answer.endswith("[1]") and "12 million" in out[1].answer and out[1].passed and 'source="a"' in out[1].context
     plain = {r.qid: r for r in pipelines.answers(hits, q, docs).collect()}
     assert plain[1].sources == [1, 2] and plain[3].refused_by is None and "[2] b" in plain[1].context
+
+
+def test_config_table_equals_plain_resampling(spark):
+    got = {r.config: r for r in QUERIES["config_table"](spark, SF).collect()}
+    assert set(got) == {"bm25", "dense", "rrf"} and got["bm25"].difference == 0 and got["bm25"].p_not_better == 1
+    ndcg = [r.ndcg for r in sorted(QUERIES["retrieval_metrics"](spark, SF).collect(), key=lambda r: r.qid)]
+    rng = random.Random(0)
+    means = sorted(sum(rng.choices(ndcg, k=len(ndcg))) / len(ndcg) for _ in range(500))
+    assert np.allclose([got["bm25"].mean, got["bm25"].low, got["bm25"].high], [sum(ndcg) / len(ndcg), means[12], means[487]], atol=1e-9)
