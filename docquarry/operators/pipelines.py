@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
 from docquarry.operators import guard, sparse
-from docquarry.session import checkpointed, union
+from docquarry.session import checkpointed, few, union
 from docquarry.streaming import folds
 
 
@@ -68,7 +68,8 @@ def answers(hits: DataFrame, questions: DataFrame, docs: DataFrame, floor: float
     (those go, where they are quarantined). The default writer takes the best sentences of the first passage and
     cites it; its numbers are checked against that passage.
     """
-    texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source", F.col("text").alias("passage"))
+    hits = checkpointed(hits)
+    texts = docs.join(few(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "source", F.col("text").alias("passage"))
     found = hits.join(texts, "doc_id")
     low = found.groupBy("qid").agg(F.max("rerank_score").alias("best"))
     if quarantined:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
-from docquarry.session import union
+from docquarry.session import checkpointed, few, union
 
 
 def cross_scores(candidates: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
     """candidates (qid, doc_id, ...) and rerank_score; docs are documents or an index. The default scorer is lexical: the share of the question's tokens that the document has, less a little for its length."""
     q = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("_q"))
     toks = F.col("toks") if "toks" in docs.columns else tokens(F.col("text"))
-    d = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", toks.alias("_d"))
+    candidates = checkpointed(candidates)
+    d = docs.join(few(candidates.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", toks.alias("_d"))
     share = F.size(F.array_intersect("_q", F.array_distinct("_d"))) / F.greatest(F.size("_q"), F.lit(1))
     scored = candidates.join(q, "qid").join(d, "doc_id")
     return scored.withColumn("rerank_score", F.round(8.0 * share - 4.0 - F.ln(1 + F.size("_d")) / 10, 6)).drop("_q", "_d")

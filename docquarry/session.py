@@ -7,6 +7,10 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of ids (some tens of bytes each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def session(app: str = "docquarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,6 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of ids that was written already: broadcast if its rows are counted to be few, so that the other side of its join, texts as a rule, is not shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder. What is written there is not removed: its readers may be lazy."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
