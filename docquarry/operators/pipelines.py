@@ -69,7 +69,8 @@ def answers(hits: DataFrame, questions: DataFrame, docs: DataFrame, floor: float
     cites it; its numbers are checked against that passage.
     """
     hits = checkpointed(hits)
-    texts = docs.join(few(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "source", F.col("text").alias("passage"))
+    # Written before they are searched for instructions, or the patterns would run over every document.
+    texts = checkpointed(docs.join(few(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "source", F.col("text").alias("passage")))
     found = hits.join(texts, "doc_id")
     low = found.groupBy("qid").agg(F.max("rerank_score").alias("best"))
     if quarantined:
