@@ -36,6 +36,15 @@ def mutual(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg((F.max("forward") & F.max(~F.col("forward"))).alias("both_ways"), F.count("*").alias("links"))
 
 
+def mutual_sources(edges: DataFrame) -> DataFrame:
+    """a, b, way, source: each linked pair a < b, who names whom, and a row for each source of either edge."""
+    forward = F.col("subject") < F.col("object")
+    pairs = edges.where("subject != object").select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b"), forward.alias("forward"), "source")
+    ways = pairs.groupBy("a", "b").agg(F.max("forward").alias("f"), F.max(~F.col("forward")).alias("r"))
+    way = F.when(F.col("f") & F.col("r"), F.lit("both ways")).when(F.col("f"), F.concat("a", F.lit(" names "), "b")).otherwise(F.concat("b", F.lit(" names "), "a"))
+    return pairs.select("a", "b", "source").distinct().join(ways, ["a", "b"]).select("a", "b", way.alias("way"), "source")
+
+
 def shared_neighbours(edges: DataFrame, least: int = 2) -> DataFrame:
     """object, n, subjects (sorted) of objects that `least` or more subjects name."""
     g = edges.groupBy("object").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))

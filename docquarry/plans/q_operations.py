@@ -14,7 +14,7 @@ from docquarry.plans.registry import Fixture, query, table
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most, round(list_sort(list(value))[len(list(value)) // 2 + 1], 6) AS upper_median FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"), F.round(telemetry.upper_median(F.col("value")), 6).alias("upper_median")
+        F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"), F.round(telemetry.upper_median("value"), 6).alias("upper_median")
     )
 
 
@@ -259,7 +259,7 @@ def _pipelines(spark, sf_dir):
 
 @query(f"WITH {_PIPES} SELECT pipeline, round(avg(verdict), 6) AS correct, count_if(verdict = 0) AS failed, median(ms) AS p50, list_sort(list(ms))[len(list(ms)) // 2 + 1] AS upper_p50, CAST(sum(CASE WHEN type = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unanswerable FROM p GROUP BY pipeline")
 def pipeline_report(spark, sf_dir):
-    return _pipelines(spark, sf_dir).groupBy("pipeline").agg(F.round(F.avg("verdict"), 6).alias("correct"), F.count_if(F.col("verdict") == 0).alias("failed"), F.percentile("ms", F.lit(0.5)).alias("p50"), telemetry.upper_median(F.col("ms")).alias("upper_p50"), F.sum(F.when(F.col("type") == 0, 1).otherwise(0)).alias("unanswerable"))
+    return _pipelines(spark, sf_dir).groupBy("pipeline").agg(F.round(F.avg("verdict"), 6).alias("correct"), F.count_if(F.col("verdict") == 0).alias("failed"), F.percentile("ms", F.lit(0.5)).alias("p50"), telemetry.upper_median("ms").cast("long").alias("upper_p50"), F.sum(F.when(F.col("type") == 0, 1).otherwise(0)).alias("unanswerable"))
 
 
 @query(f"WITH {_PIPES} SELECT a.question, a.verdict AS was, b.verdict AS now FROM p a JOIN p b USING (question) WHERE a.pipeline = 'a' AND b.pipeline = 'b' AND a.verdict <> b.verdict")
