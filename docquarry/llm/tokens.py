@@ -21,6 +21,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 # How byte-level tokenizers write each byte as a character (printable ones as themselves, the rest from U+0100 on).
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARACTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+BYTE_OF_CHARACTER = {c: b for b, c in _BYTE_CHARACTERS.items()}
 
 
 class Encoder:
