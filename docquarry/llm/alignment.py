@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from docquarry.llm.common import as_text, checkpoint_folder, slices, table, text_column
 from docquarry.llm.tokens import BYTE_OF_CHARACTER, scratch_folder, tokenizer_path
+from docquarry.session import union
 
 #: Pairs that are broadcast at most.
 HEAVY = 200_000
@@ -264,7 +265,7 @@ def cross_align(docs: DataFrame, a_path: str, b_path: str, folder: str, key: str
         links.join(often, "pair").groupBy("row").agg(*sums),
         links.join(often, "pair", "left_anti").join(pairs, "pair").groupBy("row").agg(*sums),
     ]
-    both = found[0].unionByName(found[1]).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    both = union(*found).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     whole = rows.drop("links").join(both, "row", "left")
     counts = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     return whole.select("id", *counts, "groups_sha256")
