@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
+from docquarry.operators.sparse import documents_of
 from docquarry.session import checkpointed, few, union
 
 
 def cross_scores(candidates: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
     """candidates (qid, doc_id, ...) and rerank_score; docs are documents or an index. The default scorer is lexical: the share of the question's tokens that the document has, less a little for its length."""
+    docs = documents_of(docs)
     q = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("_q"))
     toks = F.col("toks") if "toks" in docs.columns else tokens(F.col("text"))
     candidates = checkpointed(candidates)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ def lists(index: DataFrame, embedded: DataFrame, questions: DataFrame, pool: int
     sparse_list = sparse.search(index, sparse.query_terms(questions), pool, where).withColumn("list", F.lit("bm25"))
     try:
         asked = embedder(questions)
-        inside = embedded if where is None else embedded.join(index.where(where).select("doc_id"), "doc_id", "left_semi")
-        dense_list = vectors.exact_search(inside, asked, pool, key="doc_id").withColumn("list", F.lit("dense"))
-    except Exception as e:  # whatever a remote embedder raises
+    except Exception as e:  # whatever a remote embedder raises, and nothing else
         return sparse_list, f"dense retrieval failed: {type(e).__name__}"
+    inside = embedded if where is None else embedded.join(sparse.documents_of(index).where(where).select("doc_id"), "doc_id", "left_semi")
+    dense_list = vectors.exact_search(inside, asked, pool, key="doc_id").withColumn("list", F.lit("dense"))
     return union(sparse_list, dense_list), None
 
 
@@ -70,26 +72,40 @@ def retrieve_plan(index: DataFrame, embedded: DataFrame, subs: DataFrame, questi
     any). A sub-question's fused list is fused with that of the original question, among what passes the filter.
     """
     named = subs.withColumn("n", F.xxhash64("qid", "sub"))
-    wanted = named.select("n", *(F.col(c).alias(f"want_{c}") for c in filters))
-    passes = F.lit(True)
-    for c in filters:
-        passes = passes & (F.col(f"want_{c}").isNull() | F.col(f"want_{c}").eqNullSafe(F.col(c)))
-    # The filter comes before the cut: each list is taken for every distinct filter of the plan by itself.
-    values = [tuple(r) for r in wanted.select(*(f"want_{c}" for c in filters)).distinct().collect()] if filters else [()]
+    # Searches by which columns are filtered on at all: as many as there are subsets, whatever the plan.
     out = []
-    for value in values:
-        one = F.lit(True)
+    for chosen in [c for k in range(len(filters) + 1) for c in combinations(filters, k)]:
         own = F.lit(True)
-        for c, x in zip(filters, value):
-            own = own & F.col(c).eqNullSafe(F.lit(x))
-            if x is not None:
-                one = one & (F.col(c) == F.lit(x))
-        asked = named.where(own)
-        of_subs, _ = lists(index, embedded, asked.select(F.col("n").alias("qid"), "question"), pool, one)
-        of_whole, _ = lists(index, embedded, questions.join(asked.select("qid").distinct(), "qid", "left_semi"), pool, one)
-        mine = fused(of_subs, pool).withColumnRenamed("qid", "n").join(asked.select("n", "qid", "sub"), "n").select("qid", "sub", "doc_id", F.col("fused_rank").alias("rank"))
-        theirs = fused(of_whole, pool).select("qid", "doc_id", F.col("fused_rank").alias("rank")).join(asked.select("qid", "sub"), "qid").select("qid", "sub", "doc_id", "rank")
-        out += [mine, theirs]
+        for c in filters:
+            own = own & (F.col(c).isNotNull() if c in chosen else F.col(c).isNull())
+        asked = named.where(own).withColumn(FILTER, _filter_value(chosen))
+        of_subs = _filtered_lists(index, embedded, asked.select(F.col("n").alias("qid"), "question", FILTER), pool, chosen)
+        whole = asked.select("n", "qid", FILTER).join(questions.select("qid", "question"), "qid")
+        of_whole = _filtered_lists(index, embedded, whole.select(F.col("n").alias("qid"), "question", FILTER), pool, chosen)
+        for found in (of_subs, of_whole):
+            out.append(fused(found, pool).withColumnRenamed("qid", "n").join(asked.select("n", "qid", "sub"), "n").select("qid", "sub", "doc_id", F.col("fused_rank").alias("rank")))
     n = subs.groupBy("qid").agg(F.count("*").alias("n"))
     ranked = fusion.reciprocal_rank(union(*out), pool, ("qid", "sub"))
     return ranked.join(n, "qid").where(F.col("rank") <= F.greatest(F.lit(2), F.floor(F.lit(k) / F.col("n")))).drop("n")
+
+
+#: The column that holds the values of several filters as one.
+FILTER = "_filter"
+
+
+def _filter_value(columns: tuple[str, ...]) -> Column:
+    """The values of some columns as one string; null if one of them is."""
+    return F.when(~reduce(Column.__or__, [F.col(c).isNull() for c in columns], F.lit(False)), F.to_json(F.array(*(F.col(c).cast("string") for c in columns))))
+
+
+def _filtered_lists(index, embedded: DataFrame, asked: DataFrame, pool: int, columns: tuple[str, ...]) -> DataFrame:
+    """Both lists of each question among documents with its own value of FILTER: one search of each kind for all."""
+    if not columns:
+        return lists(index, embedded, asked.drop(FILTER), pool)[0]
+    docs = sparse.documents_of(index)
+    terms = sparse.query_terms(asked).join(asked.select("qid", FILTER), "qid")
+    value = _filter_value(columns)
+    found = index.search(terms, pool, group=FILTER, value=value) if docs is not index else sparse.search(docs.withColumn(FILTER, value), terms, pool, group=FILTER)
+    inside = embedded.join(docs.select("doc_id", value.alias(FILTER)), "doc_id")
+    dense = vectors.exact_search(inside, embed_questions(asked).join(asked.select("qid", FILTER), "qid"), pool, key="doc_id", group=FILTER)
+    return union(found.withColumn("list", F.lit("bm25")), dense.withColumn("list", F.lit("dense")))

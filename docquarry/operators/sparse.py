@@ -40,6 +40,11 @@ def _tokens(docs: DataFrame, text: str) -> Column:
     return F.col("toks") if "toks" in docs.columns else tokens(F.col(text))
 
 
+def documents_of(index) -> DataFrame:
+    """The table of documents of an index, be it one itself or stored postings."""
+    return index if isinstance(index, DataFrame) else index.docs
+
+
 def lengths_of(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -137,12 +142,16 @@ def top(scored: DataFrame, k: int, score: str = "score", by: tuple = ("qid",), k
 def search(docs: DataFrame, terms: DataFrame, k: int = 10, where: Column | None = None, key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
     """qid, doc_id, score, rank of the k best documents of each query; with `group` (a string column) of each query and value.
 
-    docs: documents, or an index. terms: qid, term. A filter comes after the statistics, which stay those of the
+    docs: documents, an index of tokens, or stored postings. terms: qid, term, and maybe `group`: a query then looks only
+    among rows with its own value (null: none), and the group is not in the result. A filter comes after the statistics, which stay those of the
     corpus. Queries beyond QUERIES_AT_A_TIME are searched block by block.
     """
-    spark = docs.sparkSession
+    if not isinstance(docs, DataFrame):
+        return docs.search(terms, k, where, group)
+    spark, own_group = docs.sparkSession, group is not None and group in terms.columns
     kinds = {"qid": terms.schema["qid"].dataType.simpleString(), key: docs.schema[key].dataType.simpleString()}
-    schema = f"qid {kinds['qid']}, doc_id {kinds[key]}, score double" + (f", {group} string" if group else "")
+    each_value = group is not None and not own_group
+    schema = f"qid {kinds['qid']}, doc_id {kinds[key]}, score double" + (f", {group} string" if each_value else "")
     qid_type, key_type = arrow_type(terms, "qid"), arrow_type(docs, key)
     source = docs.select(F.col(key), _tokens(docs, text).alias("toks"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("own"))
 
@@ -154,10 +163,10 @@ def search(docs: DataFrame, terms: DataFrame, k: int = 10, where: Column | None
         codes = np.array([index[w] for r in block for w in r[1]], np.int64)
         order = np.argsort(codes, kind="stable")
         stats = statistics(docs, words, text)
-        shared = spark.sparkContext.broadcast((ids, words, stats.idf, stats.mean or 1.0, queries[order], np.searchsorted(codes[order], np.arange(len(words) + 1))))
+        shared = spark.sparkContext.broadcast((ids, words, stats.idf, stats.mean or 1.0, queries[order], np.searchsorted(codes[order], np.arange(len(words) + 1)), [r[2] for r in block] if own_group else None))
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, words, weight, mean, asked, start = shared.value
+            ids, words, weight, mean, asked, start, mine = shared.value
             value_set, n, best = pa.array(words, pa.string()), len(ids), {}
             degree, at_a_time = np.diff(start), max(1, SCORES_AT_A_TIME // len(ids))
             for whole in batches:
@@ -174,27 +183,43 @@ def search(docs: DataFrame, terms: DataFrame, k: int = 10, where: Column | None
                     scores[scores <= 0] = -np.inf
                     scores[:, ~batch.column(2).to_numpy(zero_copy_only=False)] = -np.inf
                     keys, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_pylist() if group else [None] * rows
-                    for value in dict.fromkeys(own):
-                        here = np.array([x == value for x in own]) if group else slice(None)
+                    if own_group:
+                        scores[elsewhere(mine, own)] = -np.inf
+                    for value in dict.fromkeys(own) if each_value else [None]:
+                        here = np.array([x == value for x in own]) if each_value else slice(None)
                         best.setdefault(value, Best(n, k)).add(scores[:, here], keys[here])
             for value, b in best.items():
                 if b.key is not None:
-                    columns = [pa.array([ids[q] for q in b.query], qid_type), pa.array(b.key, key_type), pa.array(b.score), *([pa.array([value] * len(b.query), pa.string())] if group else [])]
-                    yield pa.RecordBatch.from_arrays(columns, ["qid", "doc_id", "score", *([group] if group else [])])
+                    columns = [pa.array([ids[q] for q in b.query], qid_type), pa.array(b.key, key_type), pa.array(b.score), *([pa.array([value] * len(b.query), pa.string())] if each_value else [])]
+                    yield pa.RecordBatch.from_arrays(columns, ["qid", "doc_id", "score", *([group] if each_value else [])])
 
         return source.mapInArrow(of, schema)
 
-    asked = terms.where("term IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(F.collect_set("term")).orderBy("qid").toLocalIterator()
-    found = in_blocks(asked, QUERIES_AT_A_TIME, of_block)
-    return top(found if found is not None else spark.createDataFrame([], schema), k, by=("qid", group) if group else ("qid",))
+    found = in_blocks(asked_terms(terms, group if own_group else None), QUERIES_AT_A_TIME, of_block)
+    return top(found if found is not None else spark.createDataFrame([], schema), k, by=("qid", group) if each_value else ("qid",))
+
+
+def asked_terms(terms: DataFrame, group: str | None) -> Iterator:
+    """Each query with its terms and its own value of the group, by id."""
+    lists = [F.collect_set("term"), *([F.first(F.col(group).cast("string"))] if group else [])]
+    return terms.where("term IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(*lists).orderBy("qid").toLocalIterator()
+
+
+def elsewhere(mine: list, theirs: list) -> np.ndarray:
+    """[query, row]: whether a row has another value than the query."""
+    number = {x: n for n, x in enumerate(dict.fromkeys(x for x in mine if x is not None))}
+    return np.array([number.get(x, -2) for x in mine])[:, None] != np.array([number.get(x, -1) for x in theirs])[None, :]
 
 
 def contributions(docs: DataFrame, terms: DataFrame, hits: DataFrame, text: str = "text") -> DataFrame:
-    """qid, doc_id, term, tf, df, idf, part: what each query term adds to the score of each hit (qid, doc_id)."""
-    n = docs.agg(F.count("*").alias("n"), F.avg(F.size(_tokens(docs, text))).alias("mean"))
+    """qid, doc_id, term, tf, df, idf, part: what each query term adds to the score of each hit (qid, doc_id). Stored postings have the statistics, so only the hits' tokens are read."""
+    if isinstance(docs, DataFrame):
+        n, counted = docs.agg(F.count("*").alias("n"), F.avg(F.size(_tokens(docs, text))).alias("mean")), term_counts(docs, text)
+    else:
+        n, counted, docs = docs.spark.createDataFrame([(docs.n, docs.mean)], "n long, mean double"), docs.terms, docs.docs
     wanted = docs.select("doc_id", _tokens(docs, text).alias("toks")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     tf = wanted.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = term_counts(docs, text).join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
+    df = counted.join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
     each = hits.select("qid", "doc_id").join(terms, "qid").join(tf, ["doc_id", "term"]).join(df, "term").crossJoin(F.broadcast(n))
     each = each.withColumn("idf", idf(F.col("n"), F.col("df")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("mean"))

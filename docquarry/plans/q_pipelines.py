@@ -10,7 +10,7 @@ from docquarry.operators.planning import ADVICE
 from docquarry.plans.q_guard import ATTACKS, _inj_sql
 from docquarry.plans.q_text import QUESTIONS, tokens_sql
 from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked, _vectors
-from docquarry.plans.registry import Fixture, query, search_index, table
+from docquarry.plans.registry import Fixture, query, search_postings, table
 from docquarry.session import union
 
 SCOPES = Fixture("user_id string, allowed array<string>", [("all", ["en", "fr", "de", "es"]), ("english", ["en"]), ("south", ["fr", "es"]), ("none", [])])
@@ -18,7 +18,7 @@ SCOPES = Fixture("user_id string, allowed array<string>", [("all", ["en", "fr",
 
 @query(f"WITH {_INDEX}, {_QUERIES}, sc AS (SELECT u.user_id, qt.qid, s.doc_id, round(sum(s.part), 6) AS score FROM s JOIN qt USING (term) JOIN t USING (doc_id) JOIN {SCOPES.sql} u ON list_contains(u.allowed, t.lang) GROUP BY ALL HAVING round(sum(s.part), 6) > 0) SELECT *, row_number() OVER (PARTITION BY user_id, qid ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3")
 def scoped_retrieval(spark, sf_dir):
-    return pipelines.scoped_search(search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), SCOPES.df(spark), "lang", 3)
+    return pipelines.scoped_search(search_postings(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), SCOPES.df(spark), "lang", 3)
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, h AS (SELECT * FROM ({_bm25(10)}) JOIN t USING (doc_id)) SELECT u.user_id, count_if(NOT list_contains(u.allowed, h.lang)) AS foreign_if_unscoped, count(DISTINCT CASE WHEN list_contains(u.allowed, h.lang) THEN h.qid END) AS answered FROM h, {SCOPES.sql} u GROUP BY u.user_id")
@@ -70,7 +70,7 @@ def naive_pipeline(spark, sf_dir):
 @query(f"WITH {_INDEX}, {_QUERIES}, fan AS (SELECT *, row_number() OVER (PARTITION BY qid, lang ORDER BY score DESC, doc_id) AS rank FROM (SELECT qt.qid, t.lang, s.doc_id, round(sum(s.part), 6) AS score FROM s JOIN qt USING (term) JOIN t USING (doc_id) WHERE t.lang IN ('en', 'de') GROUP BY ALL HAVING round(sum(s.part), 6) > 0) QUALIFY rank <= 3), o AS (SELECT qid, doc_id, lang, rank, row_number() OVER (PARTITION BY qid ORDER BY rank, lang) AS position FROM fan) SELECT o.qid, q.question IS NOT NULL AS asked, count(*) AS passages, count(DISTINCT lang) AS values_covered, max(CASE WHEN position = 1 THEN doc_id END) AS first_doc FROM o JOIN q USING (qid) GROUP BY ALL")
 def fanout_pipeline(spark, sf_dir):
     """Two filter values: max(2, 5 // 2 + 1) passages for each, interleaved."""
-    docs = search_index(spark, sf_dir)
+    docs = search_postings(spark, sf_dir)
     each = sparse.search(docs, sparse.query_terms(_questions(spark, sf_dir)), max(2, 5 // 2 + 1), F.col("lang").isin("en", "de"), group="lang")
     placed = fusion.interleave(each, "lang")
     return placed.groupBy("qid").agg(F.lit(True).alias("asked"), F.count("*").alias("passages"), F.count_distinct("lang").alias("values_covered"), F.max(F.when(F.col("position") == 1, F.col("doc_id"))).alias("first_doc"))
@@ -99,7 +99,7 @@ def scripted_agent(spark, sf_dir):
     """Tool calls of a scripted model through admission and the tools."""
     from docquarry.plans.q_operations import _edges
 
-    return pipelines.run_tools(SCRIPT.df(spark), search_index(spark, sf_dir), _edges(spark)).select("run_id", "seq", "decision", "result")
+    return pipelines.run_tools(SCRIPT.df(spark), search_postings(spark, sf_dir), _edges(spark)).select("run_id", "seq", "decision", "result")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, {_LABELS}, r AS ({_bm25(10)}) SELECT q.qid, CASE WHEN l.qid IS NULL THEN 'unanswerable' WHEN min(CASE WHEN l.doc_id = r.doc_id THEN r.rank END) IS NULL THEN 'missed' ELSE 'found' END AS outcome FROM q LEFT JOIN labels_ l USING (qid) LEFT JOIN r ON r.qid = q.qid GROUP BY q.qid, l.qid")
@@ -136,7 +136,7 @@ def naive_answers(spark, sf_dir):
 @query(None)
 def fanout_answers(spark, sf_dir):
     """max(2, 5 // 2 + 1) reranked passages for each of two filter values, interleaved, under a floor."""
-    index = search_index(spark, sf_dir)
+    index = search_postings(spark, sf_dir)
     each = [retriever.retrieve(index, _vectors(spark, sf_dir), _questions(spark, sf_dir), max(2, 5 // 2 + 1), where=F.col("lang") == x).withColumn("lang", F.lit(x)) for x in ("de", "en")]
     placed = fusion.interleave(union(*each), "lang").select("qid", "doc_id", F.col("position").alias("rank"), "rerank_score")
     return _answer_columns(pipelines.answers(placed, _questions(spark, sf_dir), table(spark, sf_dir, "documents"), floor=-3.0))
@@ -148,7 +148,7 @@ def planned_answers(spark, sf_dir):
     q = _questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question"))
     advice = q.where(F.col("question").rlike(ADVICE)).select("qid", F.lit("advice").alias("refused_by"))
     going = q.join(advice, "qid", "left_anti")
-    index = search_index(spark, sf_dir)
+    index = search_postings(spark, sf_dir)
     subs = going.select("qid", F.lit(0).alias("sub"), "question")
     planned = retriever.retrieve_plan(index, _vectors(spark, sf_dir), subs, going, 6)
     scored = rerank.cross_scores(planned.select("qid", "doc_id", "rank"), going, index)

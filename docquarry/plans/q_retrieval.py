@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from docquarry.functions import text as T
 from docquarry.operators import fusion, metrics, rerank, retriever, sparse, statistics, vectors
 from docquarry.plans.q_text import tokens_sql
-from docquarry.plans.registry import Fixture, query, search_index, table
+from docquarry.plans.registry import Fixture, query, search_index, search_postings, table
 from docquarry.session import union
 
 # ---- SQL pieces -------------------------------------------------------------------------------------------------
@@ -60,7 +60,7 @@ def _questions(spark, sf_dir):
 
 
 def _bm25_top(spark, sf_dir, k=50, where=None):
-    return sparse.search(search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), k, where)
+    return sparse.search(search_postings(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), k, where)
 
 
 def _dense_top(spark, sf_dir, k=50):
@@ -82,9 +82,8 @@ def _labels(spark, sf_dir):
 
 @query(f"WITH {_INDEX} SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf) AS cf FROM s GROUP BY term, df")
 def bm25_index_stats(spark, sf_dir):
-    index = search_index(spark, sf_dir)
-    n = index.agg(F.count("*").alias("n"))
-    return sparse.term_counts(index).crossJoin(F.broadcast(n)).select("term", "df", F.round(sparse.idf(F.col("n"), F.col("df")), 6).alias("idf"), F.col("cf").cast("decimal(38,0)").alias("cf"))
+    index = search_postings(spark, sf_dir)
+    return index.terms.select("term", "df", F.round(sparse.idf(F.lit(index.n), F.col("df")), 6).alias("idf"), F.col("cf").cast("decimal(38,0)").alias("cf"))
 
 
 @query(f"WITH {_INDEX}, {_QUERIES} {_bm25(10)}")
@@ -99,7 +98,7 @@ def bm25_filtered_topk(spark, sf_dir):
 
 @query(f"WITH {_INDEX}, {_QUERIES}, best AS (SELECT qid, doc_id FROM ({_bm25(1)})) SELECT best.qid, best.doc_id, s.term, s.tf, s.df, round(s.idf, 6) AS idf, round(s.part, 6) AS part FROM best JOIN s USING (doc_id) JOIN qt ON qt.qid = best.qid AND qt.term = s.term")
 def bm25_explain(spark, sf_dir):
-    index, terms = search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir))
+    index, terms = search_postings(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir))
     return sparse.contributions(index, terms, sparse.search(index, terms, 1)).select("qid", "doc_id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("part", 6).alias("part"))
 
 
@@ -232,7 +231,7 @@ def _variants(spark, sf_dir):
 def multi_query_fusion(spark, sf_dir):
     """Each variant is searched without reranking, the lists are fused, and one rerank is against the original question."""
     terms = _variants(spark, sf_dir).select("qid", F.explode(F.array_distinct("t")).alias("term"))
-    found = sparse.search(search_index(spark, sf_dir), terms, 20).select(F.floor(F.col("qid") / 10).alias("qid"), "doc_id", "rank")
+    found = sparse.search(search_postings(spark, sf_dir), terms, 20).select(F.floor(F.col("qid") / 10).alias("qid"), "doc_id", "rank")
     fused = fusion.reciprocal_rank(found, 20).select("qid", "doc_id", F.col("rank").alias("first_rank"))
     return sparse.top(rerank.cross_scores(fused, _questions(spark, sf_dir), search_index(spark, sf_dir)), 10, "rerank_score")
 
@@ -241,7 +240,7 @@ _FAN = f"""fan AS (SELECT *, row_number() OVER (PARTITION BY qid, lang ORDER BY
 
 
 def _fan(spark, sf_dir):
-    return sparse.search(search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), 4, group="lang")
+    return sparse.search(search_postings(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), 4, group="lang")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, {_FAN}, g AS (SELECT qid, min(n) AS even FROM (SELECT qid, lang, max(rank) AS n FROM fan GROUP BY ALL) GROUP BY qid) SELECT qid, doc_id, lang, rank, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= even THEN 0 ELSE 1 END, CASE WHEN rank <= even THEN rank ELSE 0 END, lang, rank) AS position FROM fan JOIN g USING (qid)")
@@ -257,7 +256,7 @@ def round_robin(spark, sf_dir):
 @query(f"WITH {_INDEX}, {_QUERIES}, {_VARIANTS}, want AS (SELECT * FROM (VALUES (0, NULL), (1, 'en'), (2, 'fr')) AS _w(sub, lang)), r AS ({_ranked('SELECT qt2.qid, s.doc_id, round(sum(s.part), 6) AS score FROM s JOIN qt2 USING (term) JOIN t USING (doc_id) JOIN want ON want.sub = qt2.qid % 10 WHERE want.lang IS NULL OR t.lang = want.lang GROUP BY ALL HAVING round(sum(s.part), 6) > 0', 20)}), f AS (SELECT * FROM (SELECT a.qid // 10 AS qid, a.qid % 10 AS sub, a.doc_id, round(1.0 / (60 + a.rank) + coalesce(1.0 / (60 + b.rank), 0), 6) AS rrf_score FROM r a LEFT JOIN r b ON b.qid = a.qid // 10 * 10 AND b.doc_id = a.doc_id WHERE a.qid % 10 > 0) QUALIFY row_number() OVER (PARTITION BY qid, sub ORDER BY rrf_score DESC, doc_id) <= 3) SELECT qid, sub, doc_id, rrf_score, row_number() OVER (PARTITION BY qid, sub ORDER BY rrf_score DESC, doc_id) AS rank FROM f")
 def plan_retrieval(spark, sf_dir):
     """max(2, 6 // 2) passages for each of two sub-questions with its own filter; a sub-question's list is fused with that of the original question, among what passes the filter."""
-    index, variants = search_index(spark, sf_dir), _variants(spark, sf_dir)
+    index, variants = search_postings(spark, sf_dir), _variants(spark, sf_dir)
     terms = variants.select("qid", F.explode(F.array_distinct("t")).alias("term"))
     whole = sparse.search(index, terms.where("qid % 10 = 0"), 20).select((F.col("qid") / 10).cast("long").alias("qid"), "doc_id", F.col("rank").alias("whole"))
     want = F.when(F.col("qid") % 10 == 1, F.lit("en")).otherwise(F.lit("fr"))
@@ -337,7 +336,7 @@ found AS (SELECT r.*, (SELECT max(rank) FROM hl WHERE hl.list = 'bm25' AND hl.qi
 @query(f"WITH {_INDEX}, {_QUERIES}, {_DENSE}, {_retrieved_sql(chr(39) + 'en' + chr(39) + ' = t.lang', 5)} SELECT qid, doc_id, bm25_rank, dense_rank, rrf_score, fused_rank, rerank_score, rank, CAST(NULL AS VARCHAR) AS degraded FROM found")
 def hybrid_retrieval(spark, sf_dir):
     """Filter, BM25 beside dense, fusion, cut at 50, rerank, five passages, with the rank of every stage."""
-    return retriever.retrieve(search_index(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, where=F.col("lang") == "en")
+    return retriever.retrieve(search_postings(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, where=F.col("lang") == "en")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, v AS (SELECT qid, doc_id, rank FROM ({_bm25(50)})), f AS ({_rrf_sql('v', 5)}) SELECT qid, doc_id, rank AS bm25_rank, CAST(NULL AS INTEGER) AS dense_rank, rrf_score, rank AS fused_rank, CAST(NULL AS DOUBLE) AS rerank_score, rank, 'dense retrieval failed: ConnectionError' AS degraded FROM f")
@@ -347,21 +346,21 @@ def degraded_retrieval(spark, sf_dir):
     def refuses(_):
         raise ConnectionError("no embedder")
 
-    return retriever.retrieve(search_index(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, reranked=False, embedder=refuses)
+    return retriever.retrieve(search_postings(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, reranked=False, embedder=refuses)
 
 
 @query(None)
 def hybrid_variants(spark, sf_dir):
     """Halves of each question beside the whole one, both kinds of search for each, and one rerank against the whole question."""
     named = _variants_text(spark, sf_dir)
-    return retriever.retrieve_variants(search_index(spark, sf_dir), _vectors(spark, sf_dir), named, _questions(spark, sf_dir), 5)
+    return retriever.retrieve_variants(search_postings(spark, sf_dir), _vectors(spark, sf_dir), named, _questions(spark, sf_dir), 5)
 
 
 @query(None)
 def hybrid_plan(spark, sf_dir):
     """Two sub-questions with a language each: max(2, 6 // 2) passages for each, fused with the original question's."""
     subs = _variants_text(spark, sf_dir).where("variant > 0").select("qid", F.col("variant").alias("sub"), "question", F.when(F.col("variant") == 1, F.lit("en")).otherwise(F.lit("fr")).alias("lang"))
-    return retriever.retrieve_plan(search_index(spark, sf_dir), _vectors(spark, sf_dir), subs, _questions(spark, sf_dir), 6, filters=("lang",))
+    return retriever.retrieve_plan(search_postings(spark, sf_dir), _vectors(spark, sf_dir), subs, _questions(spark, sf_dir), 6, filters=("lang",))
 
 
 def _variants_text(spark, sf_dir):

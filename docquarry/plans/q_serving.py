@@ -9,7 +9,7 @@ from docquarry.functions import text as T
 from docquarry.operators import agent, sparse, vectors
 from docquarry.plans.q_retrieval import _E, _INDEX, _QUERIES, _bm25, _questions
 from docquarry.plans.q_text import QUESTIONS, normalize_sql
-from docquarry.plans.registry import Fixture, query, search_index, table
+from docquarry.plans.registry import Fixture, query, search_postings, table
 from docquarry.session import scratch
 from docquarry.sources import readers
 from docquarry.streaming import folds
@@ -115,19 +115,19 @@ def evidence_numbering(spark, sf_dir):
 
 @query(f"WITH {_INDEX}, {_QUERIES}, r AS ({_bm25(12)}), g AS (SELECT qid // 2 AS qid, qid % 2 AS sub, doc_id, doc_id % 3 AS grade, rank FROM r), o AS (SELECT * FROM g WHERE grade > 0 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY sub, rank) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY qid, sub ORDER BY grade DESC, rank, doc_id) AS k FROM o QUALIFY k <= 4) SELECT qid, sub, doc_id, grade, rank, row_number() OVER (PARTITION BY qid ORDER BY sub, k) AS position FROM k")
 def crag_passage_order(spark, sf_dir):
-    hits = sparse.search(search_index(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), 12)
+    hits = sparse.search(search_postings(spark, sf_dir), sparse.query_terms(_questions(spark, sf_dir)), 12)
     graded = hits.select(F.floor(F.col("qid") / 2).alias("qid"), (F.col("qid") % 2).alias("sub"), "doc_id", (F.col("doc_id") % 3).alias("grade"), "rank")
     return agent.passage_order(graded)
 
 
 @query(None)
 def corrective_retrieval(spark, sf_dir):
-    return agent.corrective_retrieval(_questions(spark, sf_dir), search_index(spark, sf_dir))
+    return agent.corrective_retrieval(_questions(spark, sf_dir), search_postings(spark, sf_dir))
 
 
 @query(None)
 def ask_batch(spark, sf_dir):
-    return agent.answer_batch(_questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question")), table(spark, sf_dir, "documents"), index=search_index(spark, sf_dir))
+    return agent.answer_batch(_questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question")), table(spark, sf_dir, "documents"), index=search_postings(spark, sf_dir))
 
 
 @query(None)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.operators import sparse
+from docquarry.operators.postings import Postings
 from docquarry.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,17 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_indexes: dict[tuple[str, str], DataFrame] = {}
+_indexes: dict[tuple[str, str], Postings] = {}
 
 
-def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, toks, lang, source of every document, written once for each application and folder, as an index is, and read by its searches."""
+def search_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored index of every document with its language and source, written once for each application and folder and read by its searches."""
     name = (spark.sparkContext.applicationId, sf_dir)
     if name not in _indexes:
-        _indexes[name] = sparse.write_index(table(spark, sf_dir, "documents"), scratch(spark, "index"), keep=("lang", "source"))
+        _indexes[name] = Postings.write(table(spark, sf_dir, "documents"), scratch(spark, "index"), keep=("lang", "source"))
     return _indexes[name]
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, toks, lang, source of every document in the stored index."""
+    return search_postings(spark, sf_dir).docs.select("doc_id", "toks", "lang", "source")
+
+
 def _literal(x) -> str:
     if x is None:
         return "NULL"
