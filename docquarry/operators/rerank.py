@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
+from docquarry.operators.patterns import containing
 from docquarry.operators.sparse import documents_of
-from docquarry.session import checkpointed, few, union
+from docquarry.session import checkpointed, few
 
 
 def cross_scores(candidates: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -31,19 +32,12 @@ def below_floor(questions: DataFrame, scored: DataFrame, floor: float) -> DataFr
 def relevance_labels(items: DataFrame, docs: DataFrame) -> DataFrame:
     """qid, doc_id, grade: documents that contain an item's text (white space folded, any case); 2 if it is the item's own source, else 1.
 
-    A containing document has the item's longest word, so candidates meet on it before the texts are compared.
+    Each document is read once, by an automaton of the items' texts.
     """
     folded = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    words = lambda c: F.array_distinct(F.split(folded(c), " "))
-    # Words inside the item stand alone in any document that contains it; its first and last may be part of longer ones.
-    inner = F.slice(F.split(folded(F.col("text")), " "), 2, F.greatest(F.size(F.split(folded(F.col("text")), " ")) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    i = items.select(F.col("item_id").alias("qid"), folded(F.col("text")).alias("item"), longest.alias("w"))
-    keyed, short = i.where("w IS NOT NULL"), i.where("w IS NULL").drop("w")
-    d = docs.select("doc_id", "source", folded(F.col("text")).alias("body"))
-    wanted = keyed.select("w").distinct()
-    hits = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w")).join(wanted, "w", "left_semi")
-    pairs = hits.join(keyed.drop("item"), "w").join(d, "doc_id").join(keyed.drop("w"), "qid").where(F.contains("body", "item"))
-    rest = d.join(short, F.contains(F.col("body"), F.col("item"))).select("qid", "doc_id", "source")
-    found = union(pairs.select("qid", "doc_id", "source"), rest)
-    return found.select("qid", "doc_id", F.when(F.col("source") == F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")), F.lit(2)).otherwise(F.lit(1)).alias("grade"))
+    asked = items.select(F.col("item_id").alias("qid"), folded(F.col("text")).alias("pattern"))
+    # What a document is told by goes along with its id, so that it need not be joined again.
+    named = docs.select(F.to_json(F.struct("doc_id", "source")).alias("named"), folded(F.col("text")).alias("body"))
+    found = containing(named, asked, "named", "body").select("qid", F.from_json("named", docs.select("doc_id", "source").schema).alias("d"))
+    own = F.col("d.source") == F.concat(F.lit("src"), (F.col("qid") % 20).cast("string"))
+    return found.select("qid", "d.doc_id", F.when(own, F.lit(2)).otherwise(F.lit(1)).alias("grade"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
-from docquarry.operators import fusion, metrics, rerank, retriever, sparse, statistics, vectors
+from docquarry.operators import fusion, graphs, metrics, quantized, rerank, retriever, sparse, statistics, vectors
 from docquarry.plans.q_text import tokens_sql
 from docquarry.plans.registry import Fixture, query, search_index, search_postings, table
-from docquarry.session import union
+from docquarry.session import checkpointed, scratch, union
 
 # ---- SQL pieces -------------------------------------------------------------------------------------------------
 
@@ -161,6 +161,52 @@ def ann_recall(spark, sf_dir):
     return r.groupBy("filtered").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.min("recall"), 6).alias("least_recall"), F.count_if(F.col("recall") == 1).alias("perfect"), F.count("*").alias("queries"))
 
 
+def _graph(spark, sf_dir):
+    return graphs.Navigable.write(table(spark, sf_dir, "embeddings"), scratch(spark, "graph"), group="label")
+
+
+@query(None)
+def graph_search(spark, sf_dir):
+    """Nearest rows by walking in stored graphs. Which rows are met follows from the graphs, so there is no SQL; recall is in graph_recall and in the tests."""
+    return _graph(spark, sf_dir).search(_vec_queries(spark, sf_dir), 10).withColumnRenamed("key", "vec_id")
+
+
+@query(None)
+def graph_recall(spark, sf_dir):
+    """Recall at 10 of the graphs against exact search, of all rows and within a label, and the share of rows that a query was compared with."""
+    e, q = table(spark, sf_dir, "embeddings"), _vec_queries(spark, sf_dir)
+    graph, n = _graph(spark, sf_dir), e.agg(F.count("*").alias("rows"))
+
+    def of(group):
+        asked = q if group else q.drop("label")
+        walked = checkpointed(graph.walk(asked, 10, group=group))
+        found = sparse.top(walked.where("key IS NOT NULL").select("qid", "key", F.round("score", 6).alias("score")), 10, key="key")
+        exact = vectors.exact_search(e, asked, 10, group=group).select("qid", F.col("vec_id").alias("key"))
+        recall = exact.join(found.select("qid", "key", F.lit(1).alias("hit")), ["qid", "key"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+        seen = walked.groupBy("qid").agg(F.sum("computed").alias("computed"))
+        return recall.join(seen, "qid").withColumn("filtered", F.lit(group is not None))
+
+    r = union(of(None), of("label")).groupBy("filtered").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.min("recall"), 6).alias("least_recall"), F.avg("computed").alias("compared"), F.count("*").alias("queries"))
+    return r.crossJoin(F.broadcast(n)).select("filtered", "mean_recall", "least_recall", F.round(F.col("compared") / F.col("rows"), 6).alias("compared_share"), "queries")
+
+
+@query(None)
+def store_overlap(spark, sf_dir):
+    """Two stores of the same vectors, exact and product-quantised: rows that both return among their ten, over all rows and within a label, and the bytes of a vector in each."""
+    e, q = table(spark, sf_dir, "embeddings"), _vec_queries(spark, sf_dir)
+    store = quantized.Quantized.write(e, scratch(spark, "codes"), group="label")
+
+    def of(group):
+        asked = q if group else q.drop("label")
+        exact = vectors.exact_search(e, asked, 10, group=group).select("qid", F.col("vec_id").alias("key"))
+        both = exact.join(store.search(asked, 10, group).select("qid", "key", F.lit(1).alias("hit")), ["qid", "key"], "left")
+        return both.groupBy("qid").agg(F.count("hit").alias("shared"), (F.count("hit") / F.count("*")).alias("overlap")).withColumn("filtered", F.lit(group is not None))
+
+    sizes = e.where("embedding IS NOT NULL").agg(F.max(F.size("embedding") * 4).alias("exact_bytes")).crossJoin(F.broadcast(store.codes.agg(F.max(F.octet_length("code")).alias("code_bytes"))))
+    each = union(of(None), of("label")).groupBy("filtered").agg(F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.min("shared").alias("least_shared"), F.count("*").alias("queries"))
+    return each.crossJoin(F.broadcast(sizes))
+
+
 @query(f"WITH q AS (SELECT item_id AS qid, text AS question FROM benchmark), {_Q_EMBED} SELECT qid, CAST(len(qvec) AS BIGINT) AS dims, round(list_dot_product(qvec, list_transform(range(64), lambda i: CAST(i AS DOUBLE))), 6) AS moment, round(list_dot_product(qvec, qvec), 6) AS norm FROM qv")
 def embed_text(spark, sf_dir):
     v = vectors.embed(_questions(spark, sf_dir).select("qid", T.tokens(F.col("question")).alias("t")), "qid", "t", "v")
