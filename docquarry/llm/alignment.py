@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same bytes.
 
-Python tokenises and gives for each token its id and byte range; all else is array functions of Spark. Offsets
+Python tokenises and gives each token's id and byte range; all else is array functions of Spark. Offsets
 where tokens of both end (`array_intersect` of the ends) cut a text into groups. Two tokens are linked if their byte
 ranges overlap: between two neighbouring ends of either kind lies exactly one token of each, so every end of either
-kind is one link. Arrays with each token repeated over its bytes tell which.
+kind is one link. The tokens are also given by byte, each repeated over its bytes, which tells the two of a link.
 
 A token of the first kind is written start * 2^34 + id * 2^17, one of the second id - start * 2^34. Their sum has the
 pair of ids in its lower 34 bits, and nothing above these if both begin at the same byte; so a sum at a common end
@@ -36,8 +36,6 @@ HEAVY = 200_000
 ID_BITS, PAIR_BITS = 17, 34
 #: Tokens of a batch, more or less; words in each half of a Python worker's cache; words that are tokenised at a time.
 BATCH_TOKENS, WORDS, AT_A_TIME = 1 << 18, 150_000, 2000
-#: A space beside other white space: there the tokenizers may not cut.
-_UNSAFE = re.compile(r"\s |\A | (?:\s|\Z)")
 #: Fixed value: how byte-level tokenizers of this kind cut a text before merging.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -118,12 +116,15 @@ class Both:
         return found if all(same) else None
 
     def _learn(self, words: list[str]) -> None:
-        """Tokenise words at one go, which counts as a text with single spaces between them, and take the ids apart where tokens begin with a space."""
+        """Tokenise words at one go, as a text with single spaces between them, and take the ids apart where tokens begin with a space."""
         found, cuts = self._whole(" ".join(words)), []
         if found:
             cuts = [np.flatnonzero(spaced[ids]) for spaced, ids in zip(self.spaced, found)]
         if found and all(len(c) == len(words) for c in cuts):
-            parts = [[x.tobytes() for x in np.split(ids, c[1:])] for ids, c in zip(found, cuts)]
+            parts = []
+            for ids, c in zip(found, cuts):
+                data, at = ids.tobytes(), [*(c * ids.itemsize).tolist(), ids.nbytes]
+                parts.append([data[i:j] for i, j in zip(at, at[1:])])
             self.words.update(zip(words, zip(*parts)))
         elif len(words) > 1:
             self._learn(words[: len(words) // 2])
@@ -132,37 +133,37 @@ class Both:
             self.words[words[0]] = found and (found[0].tobytes(), found[1].tobytes())
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each text by both tokenizers; both empty if it has no tokens."""
-        split = [x.split(" ") if x and self.b.by_word and not _UNSAFE.search(x) else None for x in texts]
+        """Ids of each text by both tokenizers; both empty if it has no tokens.
+
+        A text with a space beside other white space, where the tokenizers may not cut, is tokenised whole.
+        """
+        split = [x.split(" ") if x and self.b.by_word else () for x in texts]
         if len(self.words) >= WORDS:
             self.old, self.words = self.words, {}
-        words, old, missing = self.words, self.old, {}
-        for w in {w for parts in split if parts for w in parts}:
-            if w not in words:
-                if w in old:
-                    words[w] = old[w]
-                else:
-                    missing[w] = None
-        new = list(missing)
+        words, old, new = self.words, self.old, []
+        for w in set().union(*split).difference(words):
+            if w in old:
+                words[w] = old[w]
+            elif not w or w[0].isspace() or w[-1].isspace():
+                words[w] = None
+            else:
+                new.append(w)
         for k in range(0, len(new), AT_A_TIME):
             self._learn(new[k : k + AT_A_TIME])
         none = np.zeros(0, np.uint32)
         for text, parts in zip(texts, split):
-            found = None
-            if parts:
-                ids = [words[w] for w in parts]
-                if None not in ids:
-                    found = tuple(np.frombuffer(b"".join([x[k] for x in ids]), np.uint32) for k in (0, 1))
-            elif text:
-                found = self._whole(text)
-            yield found or (none, none)
+            ids = [words[w] for w in parts]
+            if ids and None not in ids:
+                yield tuple(np.frombuffer(b"".join(x), np.uint32) for x in zip(*ids))
+            else:
+                yield (text and self._whole(text)) or (none, none)
 
 
 _both: dict[tuple[str, str], Both] = {}
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key as `id`, and the tokens of space + text by both tokenizers (see above), their sizes and ends in bytes. What has no tokens has empty arrays."""
+    """The key as `id`, and of the tokens of space + text by both tokenizers the ends in bytes, and the token (see above) that holds the n-th byte, with nothing at 0. What has no tokens has no ends."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _both:
@@ -171,15 +172,18 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", te
 
         def out(keys: pa.Array, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             columns = [keys]
-            for k, sizes in enumerate(both.sizes):
-                lengths, ids = [len(r[k]) for r in rows], np.concatenate([r[k] for r in rows])
-                each = sizes[ids]
-                ends = np.concatenate([np.cumsum(x, dtype=np.int32) for x in np.split(each, np.cumsum(lengths)[:-1])])
-                start, ids = (ends - each).astype(np.int64) << PAIR_BITS, ids.astype(np.int64)
-                at = np.cumsum([0, *lengths], dtype=np.int32)
-                for values in (ids - start if k else start + (ids << ID_BITS), each, ends):
-                    columns.append(pa.ListArray.from_arrays(at, values))
-            return pa.RecordBatch.from_arrays(columns, ["id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
+            for k, size_of in enumerate(both.sizes):
+                lengths, ids = np.array([len(r[k]) for r in rows]), np.concatenate([r[k] for r in rows])
+                first, sizes = np.cumsum(lengths) - lengths, size_of[ids]
+                ends = np.cumsum(sizes, dtype=np.int64)
+                before = np.append(0, ends)
+                start = before[:-1] - np.repeat(before[first], lengths)
+                tokens = ids - (start << PAIR_BITS) if k else (start << PAIR_BITS) + (ids.astype(np.int64) << ID_BITS)
+                by_byte = np.repeat(np.insert(tokens, first, 0), np.insert(sizes, first, 1))
+                of_bytes = before[first + lengths] - before[first]
+                columns.append(pa.ListArray.from_arrays(np.append(first, len(ids)).astype(np.int32), (start + sizes).astype(np.int32)))
+                columns.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(of_bytes + 1)).astype(np.int32), by_byte))
+            return pa.RecordBatch.from_arrays(columns, ["id", "a_ends", "at_a", "b_ends", "at_b"])
 
         for batch in slices(batches):
             rows, first, size = [], 0, 0
@@ -191,7 +195,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", te
                     rows, first, size = [], k + 1, 0
 
     chosen = docs.select(F.col(key).alias("id"), text_column(text))
-    arrays = ", ".join(f"{c} array<long>, {c}_sizes array<int>, {c}_ends array<int>" for c in "ab")
+    arrays = ", ".join(f"{c}_ends array<int>, at_{c} array<long>" for c in "ab")
     return chosen.mapInArrow(of, f"id {chosen.schema['id'].dataType.simpleString()}, {arrays}")
 
 
@@ -200,11 +204,6 @@ def _let(value: Column, of) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
-def _by_byte(tokens: str) -> Column:
-    """Each token repeated over its bytes, so that index n is the token that holds the n-th byte; nothing at 0."""
-    return F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.zip_with(tokens, f"{tokens}_sizes", F.array_repeat)))
-
-
 def _id_of_a(x: Column) -> Column:
     return F.shiftright(x, ID_BITS).bitwiseAND((1 << ID_BITS) - 1).cast("string")
 
@@ -229,15 +228,17 @@ def aligned(tokens: DataFrame) -> DataFrame:
         def sums(ends: Column) -> Column:
             return F.transform(ends, lambda end: at_a[end] + at_b[end])
 
+        # An end of the second kind inside a token of the first: the same token holds the next byte.
+        inside = F.filter("b_ends", lambda end: at_a[end] == F.get(at_a, end + 1))
         groups = F.array_join(F.transform(sums(shared), group), ";")
         return F.struct(
             F.size(shared).alias("n_groups"),
             F.when(F.size(shared) > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"),
-            F.concat(F.zip_with("a", "a_ends", lambda a, end: a + at_b[end]), sums(F.array_except("b_ends", "a_ends"))).alias("links"),
+            F.concat(sums(F.col("a_ends")), sums(inside)).alias("links"),
         )
 
-    x = _let(_by_byte("a"), lambda at_a: _let(_by_byte("b"), lambda at_b: _let(F.array_intersect("a_ends", "b_ends"), lambda shared: found(at_a, at_b, shared))))
-    return tokens.select("id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), x.alias("x")).select("id", "n_a", "n_b", "x.n_groups", F.size("x.links").alias("n_links"), "x.groups_sha256", "x.links")
+    x = _let(F.col("at_a"), lambda at_a: _let(F.col("at_b"), lambda at_b: _let(F.array_intersect("a_ends", "b_ends"), lambda shared: found(at_a, at_b, shared))))
+    return tokens.select("id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), x.alias("x")).select("id", "n_a", "n_b", "x.n_groups", F.size("x.links").alias("n_links"), "x.groups_sha256", "x.links")
 
 
 def cross_align(docs: DataFrame, a_path: str, b_path: str, folder: str, key: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -248,7 +249,7 @@ def cross_align(docs: DataFrame, a_path: str, b_path: str, folder: str, key: str
     pairs' counts. What lies between is written to `folder`.
 
     A null or empty text, and one whose bytes the tokenizers do not give back, has zeros and ''. Very long texts are
-    aligned whole, in one row of arrays of about 80 bytes for each byte of text. Repeated rows each count and each
+    aligned whole, in one row of arrays of some 40 bytes for each byte of text. Repeated rows each count and each
     have a row; a null key is kept. Other columns do not matter, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
