@@ -114,8 +114,12 @@ class Postings:
         df = dict(zip(found["term"].to_pylist(), found["df"].to_pylist()))
         return Statistics(self.n, self.mean, words, np.array([df.get(w, 0) for w in words], np.int64))
 
-    def search(self, terms: DataFrame, k: int = 10, where: Column | None = None, group: str | None = None, value: Column | None = None) -> DataFrame:
-        """qid, doc_id, score, rank of the k best documents of each query (qid, term), with `group` of each query and value; see sparse.search. value: what the group is, if it is no column of the documents."""
+    def search(self, terms: DataFrame, k: int = 10, where: Column | None = None, group: str | None = None, value: Column | None = None, patterns: bool = False) -> DataFrame:
+        """qid, doc_id, score, rank of the k best documents of each query (qid, term), with `group` of each query and value; see sparse.search.
+
+        value: what the group is, if it is no column of the documents. patterns: values are JSON arrays, in which a
+        query's null stands for any value.
+        """
         key, key_type, qid_type = self.docs.schema["doc_id"].dataType.simpleString(), arrow_type(self.docs, "doc_id"), arrow_type(terms, "qid")
         own_group = group is not None and group in terms.columns
         each_value = group is not None and not own_group
@@ -142,7 +146,7 @@ class Postings:
 
             def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, words, weight, mean, who, start, mine = shared.value
-                scorer = _Scorer(len(ids), k, pa.array(words, pa.string()), weight, mean, who, start, each_value, mine)
+                scorer = _Scorer(len(ids), k, pa.array(words, pa.string()), weight, mean, who, start, each_value, mine, patterns)
                 held: list[pa.RecordBatch] = []
                 current = None
                 for batch in batches:
@@ -176,7 +180,8 @@ def _listed(docs: DataFrame, group: str | None = None) -> DataFrame:
 class _Scorer:
     """The best rows of each query (and group) over blocks that are added one by one."""
 
-    def __init__(self, n: int, k: int, words: pa.Array, weight: np.ndarray, mean: float, who: np.ndarray, start: np.ndarray, grouped: bool, mine: list | None = None):
+    def __init__(self, n: int, k: int, words: pa.Array, weight: np.ndarray, mean: float, who: np.ndarray, start: np.ndarray, grouped: bool, mine: list | None = None, patterns: bool = False):
+        self.patterns = patterns
         self.n, self.k, self.words, self.weight, self.mean, self.who, self.start, self.grouped, self.mine = n, k, words, weight, mean, who, start, grouped, mine
         self.degree = np.diff(start)
         self.best: dict[str | None, Best] = {}
@@ -235,7 +240,7 @@ class _Scorer:
         scores = np.round(scores, 6).reshape(self.n, len(keys))
         scores[scores <= 0] = -np.inf
         if self.mine:
-            scores[elsewhere(self.mine, owns)] = -np.inf
+            scores[elsewhere(self.mine, owns, self.patterns)] = -np.inf
         for value in dict.fromkeys(owns) if self.grouped else [None]:
             here = np.array([x == value for x in owns]) if self.grouped else slice(None)
             self.best.setdefault(value, Best(self.n, self.k)).add(scores[:, here], keys[here])

@@ -8,6 +8,7 @@ of each query, so no posting is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,8 +206,13 @@ def asked_terms(terms: DataFrame, group: str | None) -> Iterator:
     return terms.where("term IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(*lists).orderBy("qid").toLocalIterator()
 
 
-def elsewhere(mine: list, theirs: list) -> np.ndarray:
-    """[query, row]: whether a row has another value than the query."""
+def elsewhere(mine: list, theirs: list, patterns: bool = False) -> np.ndarray:
+    """[query, row]: whether a row has another value than the query. As patterns, values are JSON arrays, and a query's null stands for any value in its place."""
+    if patterns:
+        asked, there = list(dict.fromkeys(mine)), list(dict.fromkeys(theirs))
+        values = [json.loads(x) for x in there]
+        fits = np.array([[all(a is None or a == b for a, b in zip(json.loads(x), v)) for v in values] for x in asked]).reshape(len(asked), len(there))
+        return ~fits[np.ix_([asked.index(x) for x in mine], [there.index(x) for x in theirs])]
     number = {x: n for n, x in enumerate(dict.fromkeys(x for x in mine if x is not None))}
     return np.array([number.get(x, -2) for x in mine])[:, None] != np.array([number.get(x, -1) for x in theirs])[None, :]
 

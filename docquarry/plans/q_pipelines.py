@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
-from docquarry.operators import fusion, pipelines, rerank, retriever, sparse
+from docquarry.operators import fusion, pipelines, rerank, retriever, runs, sparse
 from docquarry.operators.planning import ADVICE
 from docquarry.plans.q_guard import ATTACKS, _inj_sql
 from docquarry.plans.q_text import QUESTIONS, tokens_sql
@@ -153,3 +154,87 @@ def planned_answers(spark, sf_dir):
     planned = retriever.retrieve_plan(index, _vectors(spark, sf_dir), subs, going, 6)
     scored = rerank.cross_scores(planned.select("qid", "doc_id", "rank"), going, index)
     return _answer_columns(pipelines.answers(scored, q, table(spark, sf_dir, "documents"), floor=-3.0, quarantined=True, untrusted=True, refusals=advice))
+
+
+# ---- Agent runs ----------------------------------------------------------------------------------------------------
+
+LIMITS = runs.Limits(steps=6, tool_calls=5, tokens=3500, cost=20_000)
+_TOOLS = ("search_filings", "search_tables", "calculate", "company_relations", "shell")
+_WORDS = "list_sort(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')))"
+#: One call at each turn but the last, which is the answer; every third run first answers with a number that no passage has. Every fourth run asks the same again and again.
+_SCRIPT = f"""turns AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, count(*) OVER (PARTITION BY conv_id) AS n, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM conversations),
+script AS (
+  SELECT conv_id AS run_id, step, CASE WHEN step < n THEN CASE WHEN conv_id % 4 = 1 THEN 'search_filings' ELSE {list(_TOOLS)}[(conv_id + turn) % 5 + 1] END END AS tool,
+    CASE WHEN conv_id % 4 = 1 THEN first WHEN (conv_id + turn) % 5 = 2 THEN len(text) || ' * 21' WHEN (conv_id + turn) % 5 = 3 THEN 's' || length(text) % 40 ELSE text END AS query,
+    CASE WHEN conv_id % 4 <> 1 AND (conv_id + turn) % 5 = 3 THEN 's' || turn % 40 WHEN conv_id % 2 = 0 AND turn % 2 = 0 THEN 'en' END AS company,
+    CASE WHEN step = n AND conv_id % 3 = 0 THEN 'It is 391,035.' WHEN step = n THEN 'It is so.' END AS answer, CAST(length(text) AS BIGINT) AS tokens, CAST(length(text) * (conv_id % 7 + 1) AS BIGINT) AS cost FROM turns
+  UNION ALL SELECT conv_id, n + 1, NULL, NULL, NULL, 'It is so.', 10, 10 FROM turns WHERE step = n)"""
+
+
+def _script(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    whole = Window.partitionBy("conv_id")
+    t = table(spark, sf_dir, "conversations").withColumns({"step": F.row_number().over(w), "n": F.count("*").over(whole), "first": F.first("text").over(w)})
+    place, same, size = ((F.col("conv_id") + F.col("turn")) % 5).cast("int"), F.col("conv_id") % 4 == 1, F.length("text")
+    tool = F.when(same, F.lit("search_filings")).otherwise(F.get(F.array(*map(F.lit, _TOOLS)), place))
+    asked = F.when(same, F.col("first")).when(place == 2, F.concat(size.cast("string"), F.lit(" * 21"))).when(place == 3, F.concat(F.lit("s"), (size % 40).cast("string"))).otherwise(F.col("text"))
+    company = F.when(~same & (place == 3), F.concat(F.lit("s"), (F.col("turn") % 40).cast("string"))).when((F.col("conv_id") % 2 == 0) & (F.col("turn") % 2 == 0), F.lit("en"))
+    call = F.struct(tool.alias("tool"), asked.alias("query"), company.alias("company"), F.lit(None).cast("string").alias("relation"))
+    last = F.col("step") == F.col("n")
+    said = t.select(F.col("conv_id").alias("run_id"), "step", F.when(~last, F.array(call)).alias("calls"), F.when(last & (F.col("conv_id") % 3 == 0), F.lit("It is 391,035.")).when(last, F.lit("It is so.")).alias("answer"), size.cast("long").alias("tokens"), (size * (F.col("conv_id") % 7 + 1)).cast("long").alias("cost"))
+    again = t.where(last).select(F.col("conv_id").alias("run_id"), (F.col("n") + 1).cast("int").alias("step"), F.lit(None).cast(said.schema["calls"].dataType).alias("calls"), F.lit("It is so.").alias("answer"), F.lit(10).cast("long").alias("tokens"), F.lit(10).cast("long").alias("cost"))
+    return union(said, again)
+
+
+_RUNS = f"""WITH RECURSIVE {_SCRIPT},
+st AS (
+  SELECT DISTINCT run_id, 0 AS steps, 0 AS calls, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS cost, 0 AS repeats, 0 AS stuck, false AS checked, CAST([] AS STRUCT(k VARCHAR, w VARCHAR[])[]) AS seen, CAST([] AS BIGINT[]) AS done, CAST(NULL AS VARCHAR) AS stop FROM script
+  UNION ALL
+  SELECT run_id, steps + fin, calls + adm, tokens + 100 * fin, cost + 100 * fin, repeats + dup, stuck + dup, checked OR said, CASE WHEN adm = 1 THEN list_append(seen, {{'k': key, 'w': words}}) ELSE seen END, CASE WHEN adm = 1 THEN list_append(done, steps) ELSE done END,
+    CASE WHEN said THEN CASE WHEN loose AND NOT checked AND stuck <= 1 AND steps < {LIMITS.steps} AND tokens < {LIMITS.tokens} AND cost < {LIMITS.cost} THEN NULL ELSE 'answer' END ELSE reason END
+  FROM (SELECT *, CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS fin FROM (SELECT *, CASE WHEN said THEN NULL WHEN before IS NOT NULL THEN before WHEN stuck + dup > 1 THEN 'loop' WHEN calls + adm >= {LIMITS.tool_calls} THEN 'tool-call budget' END AS reason
+  FROM (SELECT *, CASE WHEN said OR before IS NOT NULL OR NOT allowed OR calls >= {LIMITS.tool_calls} THEN 0 WHEN like_one THEN 0 ELSE 1 END AS adm, CASE WHEN NOT said AND before IS NULL AND allowed AND calls < {LIMITS.tool_calls} AND like_one THEN 1 ELSE 0 END AS dup
+  FROM (SELECT *, tool <> 'shell' AS allowed, len(list_filter(seen, lambda s: s.k = key AND (s.w = words OR (len(s.w) > 0 AND len(words) > 0 AND len(list_intersect(s.w, words)) / (len(s.w) + len(words) - len(list_intersect(s.w, words))) >= 0.8)))) > 0 AS like_one
+  FROM (SELECT *, CASE WHEN stuck > 1 THEN 'loop' WHEN steps >= {LIMITS.steps} THEN 'max_steps' WHEN tokens >= {LIMITS.tokens} THEN 'max_tokens' WHEN cost >= {LIMITS.cost} THEN 'max_cost' END AS before
+  FROM (SELECT st.run_id, st.steps + 1 AS steps, st.calls, st.tokens + s.tokens AS tokens, st.cost + s.cost AS cost, st.repeats, st.stuck, st.checked, st.seen, st.done, s.tool IS NULL AS said, s.run_id % 3 = 0 AND NOT st.checked AS loose, s.tool, s.tool || '/' || coalesce(s.company, '') AS key, {_WORDS.format(c="coalesce(s.query, '')")} AS words
+  FROM st JOIN script s ON s.run_id = st.run_id AND s.step = st.steps + 1 WHERE st.stop IS NULL)))))))"""
+
+
+@query(f"""{_RUNS} SELECT run_id, stop, CAST(steps AS INTEGER) AS steps, CAST(calls AS INTEGER) AS tool_calls, tokens, cost, CAST(repeats AS INTEGER) AS repeats, checked, CASE WHEN stop = 'answer' THEN 'It is so.' ELSE '{runs.REFUSAL.replace("'", "''")}' END AS answer FROM st WHERE stop IS NOT NULL""")
+def agent_runs(spark, sf_dir):
+    """Every conversation as a scripted run: model, guarded tools, one check of the answer's numbers, and a stop by answer, loop, steps, tokens, cost or calls."""
+    return _outcome(spark, sf_dir).runs.select("run_id", "stop", "steps", "tool_calls", "tokens", "cost", "repeats", "checked", "answer")
+
+
+_outcomes: dict[tuple[str, str], runs.Outcome] = {}
+
+
+def _outcome(spark, sf_dir):
+    """The runs, carried out once for each application and folder."""
+    from docquarry.plans.q_operations import _star
+
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _outcomes:
+        _outcomes[name] = runs.run_agents(_script(spark, sf_dir), search_postings(spark, sf_dir), _star(spark, sf_dir).withColumn("relation", F.lit("names")), table(spark, sf_dir, "documents"), LIMITS, company="lang")
+    return _outcomes[name]
+
+
+_CALLED = f"""{_INDEX}, went AS (SELECT run_id, unnest(done) AS step FROM (SELECT run_id, done FROM st WHERE stop IS NOT NULL)), made AS (SELECT s.*, s.run_id * 100 + s.step AS qid FROM went JOIN script s USING (run_id, step)),
+ct AS (SELECT qid, company, tool, unnest(list_distinct({tokens_sql('query')})) AS term FROM made WHERE tool LIKE 'search%')"""
+_FOUND = "found AS (" + _bm25(5, "(ct.company IS NULL OR t.lang = ct.company) AND (ct.tool = 'search_filings' OR t.doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]')))", "ct") + ")"
+
+
+@query(f"{_RUNS}, {_CALLED}, {_FOUND} SELECT qid // 100 AS run_id, doc_id, row_number() OVER (PARTITION BY qid // 100 ORDER BY min(qid % 100 * 10 + rank)) AS n FROM found GROUP BY qid // 100, doc_id")
+def agent_evidence(spark, sf_dir):
+    """Passages that each run found, of the company and kind asked for, numbered by their first appearance."""
+    return _outcome(spark, sf_dir).evidence.select("run_id", "doc_id", "n")
+
+
+_EDGE = "(SELECT DISTINCT 's' || l_suppkey % 40 AS subject, 's' || l_partkey % 40 AS object FROM lineitem)"
+
+
+@query(f"{_RUNS}, went AS (SELECT run_id, unnest(done) AS step FROM (SELECT run_id, done FROM st WHERE stop IS NOT NULL)) SELECT w.run_id, CAST(w.step AS INTEGER) AS step, s.tool, CASE WHEN s.tool = 'calculate' THEN CAST(CAST(string_split(s.query, ' ')[1] AS DOUBLE) * 21 AS VARCHAR) ELSE (SELECT count(*) FROM {_EDGE} e WHERE e.subject = s.company AND contains(e.object, s.query)) || ' edges' END AS result FROM went w JOIN script s USING (run_id, step) WHERE s.tool IN ('calculate', 'company_relations')")
+def agent_tools(spark, sf_dir):
+    """Results of the admitted calls of the calculator and the relations."""
+    c = _outcome(spark, sf_dir).calls.where("decision = 'admitted' AND tool IN ('calculate', 'company_relations')")
+    return c.select("run_id", "step", "tool", "result")

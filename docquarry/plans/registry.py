@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquarry.operators.postings import Postings
 from docquarry.session import scratch
@@ -37,10 +38,11 @@ _indexes: dict[tuple[str, str], Postings] = {}
 
 
 def search_postings(spark: SparkSession, sf_dir: str) -> Postings:
-    """The stored index of every document with its language and source, written once for each application and folder and read by its searches."""
+    """The stored index of every document with its language, its source and its kind (those with figures stand for tables), written once for each application and folder and read by its searches."""
     name = (spark.sparkContext.applicationId, sf_dir)
     if name not in _indexes:
-        _indexes[name] = Postings.write(table(spark, sf_dir, "documents"), scratch(spark, "index"), keep=("lang", "source"))
+        docs = table(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("text").rlike("[0-9]"), F.lit("table")).otherwise(F.lit("prose")))
+        _indexes[name] = Postings.write(docs, scratch(spark, "index"), keep=("lang", "source", "kind"))
     return _indexes[name]
 
 
