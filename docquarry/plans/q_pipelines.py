@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
-from docquarry.operators import fusion, pipelines, rerank, retriever, runs, sparse
+from docquarry.operators import corrective, fusion, pipelines, rerank, retriever, runs, sparse
 from docquarry.operators.planning import ADVICE
 from docquarry.plans.q_guard import ATTACKS, _inj_sql
 from docquarry.plans.q_text import QUESTIONS, tokens_sql
@@ -238,3 +238,33 @@ def agent_tools(spark, sf_dir):
     """Results of the admitted calls of the calculator and the relations."""
     c = _outcome(spark, sf_dir).calls.where("decision = 'admitted' AND tool IN ('calculate', 'company_relations')")
     return c.select("run_id", "step", "tool", "result")
+
+
+# ---- Corrective answers --------------------------------------------------------------------------------------------
+
+
+def _planned_subs(spark, sf_dir):
+    """Two sub-questions of each item: its first half within the filings of one year and in English, its second half anywhere."""
+    words = F.split("question", " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    first = F.struct(F.lit(1).alias("sub"), F.array_join(F.slice(words, F.lit(1), half), " ").alias("question"), F.lit("en").alias("company"), F.array((F.lit(2000) + F.col("qid") % 20).cast("int")).alias("years"))
+    second = F.struct(F.lit(2).alias("sub"), F.array_join(F.slice(words, half + 1, F.size(words)), " ").alias("question"), F.lit(None).cast("string").alias("company"), F.array().cast("array<int>").alias("years"))
+    return _questions(spark, sf_dir).select("qid", F.inline(F.array(first, second))).where("question != ''")
+
+
+def _corrected(spark, sf_dir):
+    return corrective.correct(_questions(spark, sf_dir), _planned_subs(spark, sf_dir), search_postings(spark, sf_dir), table(spark, sf_dir, "documents"), company="lang")
+
+
+@query(None)
+def corrective_answers(spark, sf_dir):
+    """Every item through plan, retrieval, grading, at most two rewrites of what is missing, answer, review and one fix. The tests walk the same states one by one."""
+    a = _corrected(spark, sf_dir).answers
+    return a.select("qid", "refused_by", F.array_join(F.col("passages").cast("array<string>"), ",").alias("passages"), "answer", "ok", "fixes")
+
+
+@query(None)
+def corrective_rounds(spark, sf_dir):
+    """How many sub-questions took how many searches, and whether a passage answered them."""
+    s = _corrected(spark, sf_dir).subs
+    return s.groupBy("tried", "answered").agg(F.count("*").alias("sub_questions"))

@@ -38,11 +38,11 @@ _indexes: dict[tuple[str, str], Postings] = {}
 
 
 def search_postings(spark: SparkSession, sf_dir: str) -> Postings:
-    """The stored index of every document with its language, its source and its kind (those with figures stand for tables), written once for each application and folder and read by its searches."""
+    """The stored index of every document with its language, its source, the year that its source stands for, and its kind (those with figures stand for tables), written once for each application and folder and read by its searches."""
     name = (spark.sparkContext.applicationId, sf_dir)
     if name not in _indexes:
-        docs = table(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("text").rlike("[0-9]"), F.lit("table")).otherwise(F.lit("prose")))
-        _indexes[name] = Postings.write(docs, scratch(spark, "index"), keep=("lang", "source", "kind"))
+        docs = table(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("text").rlike("[0-9]"), F.lit("table")).otherwise(F.lit("prose"))).withColumn("year", F.lit(2000) + F.substring("source", 4, 9).cast("int"))
+        _indexes[name] = Postings.write(docs, scratch(spark, "index"), keep=("lang", "source", "kind", "year"))
     return _indexes[name]
 
 
