@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from docquarry.functions import text as T
 from docquarry.operators import corrective, fusion, pipelines, rerank, retriever, runs, sparse
 from docquarry.operators.planning import ADVICE
-from docquarry.plans.q_guard import ATTACKS, _inj_sql
+from docquarry.plans.q_guard import _PLANTED, _inj_sql, planted
 from docquarry.plans.q_text import QUESTIONS, tokens_sql
 from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked, _vectors
 from docquarry.plans.registry import Fixture, query, search_postings, table
@@ -52,13 +52,13 @@ def relabel_chunks(spark, sf_dir):
     return pipelines.relabel(_labels(spark, sf_dir), rerank.relevance_labels(table(spark, sf_dir, "benchmark"), chunks))
 
 
-@query(f"SELECT defence, count(*) AS attacks, count_if(CASE defence WHEN 'none' THEN true WHEN 'delimit' THEN NOT regexp_matches(passage, '(?i)<\\s*/?\\s*(passage|system|assistant|user|instructions?)\\b') ELSE len({_inj_sql('passage')}) = 0 END) AS through FROM {ATTACKS.sql}, (VALUES ('none'), ('delimit'), ('patterns')) AS _d(defence) GROUP BY defence")
+@query(f"SELECT defence, count(*) AS attacks, count_if(CASE defence WHEN 'none' THEN true WHEN 'delimit' THEN NOT regexp_matches(passage, '(?i)<\\s*/?\\s*(passage|system|assistant|user|instructions?)\\b') ELSE len({_inj_sql('passage')}) = 0 END) AS through FROM {_PLANTED}, (VALUES ('none'), ('delimit'), ('patterns')) AS _d(defence) GROUP BY defence")
 def attack_matrix(spark, sf_dir):
     """How many planted passages would reach the answer unchanged under each defence."""
     d = spark.createDataFrame([("none",), ("delimit",), ("patterns",)], "defence string")
     tags = F.col("passage").rlike(r"(?i)<\s*/?\s*(passage|system|assistant|user|instructions?)\b")
     through = F.when(F.col("defence") == "none", F.lit(True)).when(F.col("defence") == "delimit", ~tags).otherwise(F.size(T.injections(F.col("passage"))) == 0)
-    return ATTACKS.df(spark).crossJoin(F.broadcast(d)).groupBy("defence").agg(F.count("*").alias("attacks"), F.count_if(through).alias("through"))
+    return planted(spark, sf_dir).crossJoin(F.broadcast(d)).groupBy("defence").agg(F.count("*").alias("attacks"), F.count_if(through).alias("through"))
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, {_DENSE}, r AS ({_ranked('SELECT qid, doc_id, round(list_dot_product(qvec, vec), 6) AS score FROM qv, dv', 5)}) SELECT qid, string_agg('[' || rank || '] ' || source || ': ' || lang, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) GROUP BY qid")
@@ -188,19 +188,19 @@ def _script(spark, sf_dir):
 
 _RUNS = f"""WITH RECURSIVE {_SCRIPT},
 st AS (
-  SELECT DISTINCT run_id, 0 AS steps, 0 AS calls, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS cost, 0 AS repeats, 0 AS stuck, false AS checked, CAST([] AS STRUCT(k VARCHAR, w VARCHAR[])[]) AS seen, CAST([] AS BIGINT[]) AS done, CAST(NULL AS VARCHAR) AS stop FROM script
+  SELECT DISTINCT run_id, 0 AS steps, 0 AS calls, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS cost, 0 AS repeats, 0 AS stuck, false AS checked, CAST([] AS STRUCT(k VARCHAR, w VARCHAR[])[]) AS seen, CAST([] AS BIGINT[]) AS done, CAST(NULL AS VARCHAR) AS stop, CAST(NULL AS VARCHAR) AS answer FROM script
   UNION ALL
   SELECT run_id, steps + fin, calls + adm, tokens + 100 * fin, cost + 100 * fin, repeats + dup, stuck + dup, checked OR said, CASE WHEN adm = 1 THEN list_append(seen, {{'k': key, 'w': words}}) ELSE seen END, CASE WHEN adm = 1 THEN list_append(done, steps) ELSE done END,
-    CASE WHEN said THEN CASE WHEN loose AND NOT checked AND stuck <= 1 AND steps < {LIMITS.steps} AND tokens < {LIMITS.tokens} AND cost < {LIMITS.cost} THEN NULL ELSE 'answer' END ELSE reason END
+    CASE WHEN said THEN CASE WHEN loose AND NOT checked AND stuck <= 1 AND steps < {LIMITS.steps} AND tokens < {LIMITS.tokens} AND cost < {LIMITS.cost} THEN NULL ELSE 'answer' END ELSE reason END, answer
   FROM (SELECT *, CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS fin FROM (SELECT *, CASE WHEN said THEN NULL WHEN before IS NOT NULL THEN before WHEN stuck + dup > 1 THEN 'loop' WHEN calls + adm >= {LIMITS.tool_calls} THEN 'tool-call budget' END AS reason
   FROM (SELECT *, CASE WHEN said OR before IS NOT NULL OR NOT allowed OR calls >= {LIMITS.tool_calls} THEN 0 WHEN like_one THEN 0 ELSE 1 END AS adm, CASE WHEN NOT said AND before IS NULL AND allowed AND calls < {LIMITS.tool_calls} AND like_one THEN 1 ELSE 0 END AS dup
   FROM (SELECT *, tool <> 'shell' AS allowed, len(list_filter(seen, lambda s: s.k = key AND (s.w = words OR (len(s.w) > 0 AND len(words) > 0 AND len(list_intersect(s.w, words)) / (len(s.w) + len(words) - len(list_intersect(s.w, words))) >= 0.8)))) > 0 AS like_one
   FROM (SELECT *, CASE WHEN stuck > 1 THEN 'loop' WHEN steps >= {LIMITS.steps} THEN 'max_steps' WHEN tokens >= {LIMITS.tokens} THEN 'max_tokens' WHEN cost >= {LIMITS.cost} THEN 'max_cost' END AS before
-  FROM (SELECT st.run_id, st.steps + 1 AS steps, st.calls, st.tokens + s.tokens AS tokens, st.cost + s.cost AS cost, st.repeats, st.stuck, st.checked, st.seen, st.done, s.tool IS NULL AS said, s.run_id % 3 = 0 AND NOT st.checked AS loose, s.tool, s.tool || '/' || coalesce(s.company, '') AS key, {_WORDS.format(c="coalesce(s.query, '')")} AS words
+  FROM (SELECT st.run_id, st.steps + 1 AS steps, st.calls, st.tokens + s.tokens AS tokens, st.cost + s.cost AS cost, st.repeats, st.stuck, st.checked, st.seen, st.done, s.tool IS NULL AS said, s.answer, s.answer LIKE '%391,035%' AS loose, s.tool, s.tool || '/' || coalesce(s.company, '') AS key, {_WORDS.format(c="coalesce(s.query, '')")} AS words
   FROM st JOIN script s ON s.run_id = st.run_id AND s.step = st.steps + 1 WHERE st.stop IS NULL)))))))"""
 
 
-@query(f"""{_RUNS} SELECT run_id, stop, CAST(steps AS INTEGER) AS steps, CAST(calls AS INTEGER) AS tool_calls, tokens, cost, CAST(repeats AS INTEGER) AS repeats, checked, CASE WHEN stop = 'answer' THEN 'It is so.' ELSE '{runs.REFUSAL.replace("'", "''")}' END AS answer FROM st WHERE stop IS NOT NULL""")
+@query(f"""{_RUNS} SELECT run_id, stop, CAST(steps AS INTEGER) AS steps, CAST(calls AS INTEGER) AS tool_calls, tokens, cost, CAST(repeats AS INTEGER) AS repeats, checked, CASE WHEN stop = 'answer' THEN answer ELSE '{runs.REFUSAL.replace("'", "''")}' END AS answer FROM st WHERE stop IS NOT NULL""")
 def agent_runs(spark, sf_dir):
     """Every conversation as a scripted run: model, guarded tools, one check of the answer's numbers, and a stop by answer, loop, steps, tokens, cost or calls."""
     return _outcome(spark, sf_dir).runs.select("run_id", "stop", "steps", "tool_calls", "tokens", "cost", "repeats", "checked", "answer")
