@@ -62,10 +62,12 @@ def table_headers(spark, sf_dir):
     return parse.header_rows(t, "id").join(labels, "id")
 
 
-@query(f"SELECT id, 'Table: T' || id || chr(10) || array_to_string(rows, chr(10)) AS body FROM {TABLES.sql}")
+@query(f"SELECT id, 'Table: T' || id || chr(10) || array_to_string(rows, chr(10)) AS body FROM (SELECT id, rows FROM {TABLES.sql} UNION ALL SELECT doc_id + 1000, string_split(text, chr(10)) FROM documents)")
 def render_tables(spark, sf_dir):
-    t = TABLES.df(spark)
-    return t.select("id", parse.render_table(F.concat(F.lit("T"), F.col("id").cast("string")), F.slice("rows", 1, 1), F.slice("rows", 2, 100)).alias("body"))
+    """The fixed tables, and every document's lines as the rows of one."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.split("text", "\n").alias("rows"))
+    t = TABLES.df(spark).select("id", "rows").unionByName(docs)
+    return t.select("id", parse.render_table(F.concat(F.lit("T"), F.col("id").cast("string")), F.slice("rows", 1, 1), F.slice("rows", F.lit(2), F.size("rows"))).alias("body"))
 
 
 _WINDOWS = "w AS (SELECT doc_id, lang, source, t, unnest(range(0, greatest(len(t) - 10, 1), 40)) AS i FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '[^ \\n\\t\\r\\f\\v]+') AS t FROM documents)), c AS (SELECT doc_id, lang, source, CAST(i // 40 AS INTEGER) AS seq, array_to_string(t[i + 1:i + 50], ' ') AS body, CAST(len(t[i + 1:i + 50]) AS BIGINT) AS n FROM w)"
@@ -108,10 +110,23 @@ _ITEMS = Fixture("item string, item_name string", [("Item 1", "Business"), ("Ite
 _CHUNKS = Fixture("id long, ticker string, fiscal_year int, period_end string, item string, caption string", [(1, "AAPL", 2025, "2025-09-27", "Item 1A", ""), (2, "MSFT", 2024, "2024-06-30", "Cover", "Revenues"), (3, "XXXX", 2023, "2023-01-02", "Item 99", "c" * 200), (4, "TSLA", 2024, "2024-12-31", "Item 7", None)])
 
 
+_DESCRIBED = f"(SELECT * FROM {_CHUNKS.sql} UNION ALL SELECT doc_id + 1000, ['AAPL', 'MSFT', 'TSLA', 'XXXX'][doc_id % 4 + 1], CAST(2000 + doc_id % 25 AS INTEGER), strftime(DATE '2024-01-31' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d'), ['Item 1', 'Item 1A', 'Item 7', 'Cover', 'Item 99'][doc_id % 5 + 1], CASE WHEN doc_id % 3 = 0 THEN text END FROM documents)"
+
+
+def _described(spark, sf_dir):
+    """The fixed chunks, and one for each document."""
+    pick = lambda n, *xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % n).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") + 1000).alias("id"), pick(4, "AAPL", "MSFT", "TSLA", "XXXX").alias("ticker"), (2000 + F.col("doc_id") % 25).cast("int").alias("fiscal_year"),
+        F.date_format(F.date_sub(F.lit("2024-01-31").cast("date"), (F.col("doc_id") % 900).cast("int")), "yyyy-MM-dd").alias("period_end"), pick(5, "Item 1", "Item 1A", "Item 7", "Cover", "Item 99").alias("item"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("caption"),
+    )
+    return _CHUNKS.df(spark).unionByName(docs)
+
+
 @query(f"""SELECT c.id, '[' || coalesce(n.name, c.ticker) || ' (' || c.ticker || ') | Form 10-K, fiscal year ' || fiscal_year || ', ended ' || strftime(CAST(period_end AS DATE), '%B %-d, %Y') || ' | ' ||
-CASE WHEN c.item = 'Cover' THEN 'Cover page' ELSE c.item || ': ' || coalesce(i.item_name, c.item) END || CASE WHEN caption <> '' THEN ' | Table: ' || caption[1:150] ELSE '' END || ']' AS header FROM {_CHUNKS.sql} c LEFT JOIN {_COMPANY.sql} n USING (ticker) LEFT JOIN {_ITEMS.sql} i USING (item)""")
+CASE WHEN c.item = 'Cover' THEN 'Cover page' ELSE c.item || ': ' || coalesce(i.item_name, c.item) END || CASE WHEN caption <> '' THEN ' | Table: ' || caption[1:150] ELSE '' END || ']' AS header FROM {_DESCRIBED} c LEFT JOIN {_COMPANY.sql} n USING (ticker) LEFT JOIN {_ITEMS.sql} i USING (item)""")
 def context_header(spark, sf_dir):
-    c = _CHUNKS.df(spark).join(F.broadcast(_COMPANY.df(spark)), "ticker", "left").join(F.broadcast(_ITEMS.df(spark)), "item", "left")
+    c = _described(spark, sf_dir).join(F.broadcast(_COMPANY.df(spark)), "ticker", "left").join(F.broadcast(_ITEMS.df(spark)), "item", "left")
     item = F.when(F.col("item") == "Cover", F.lit("Cover page")).otherwise(F.concat("item", F.lit(": "), F.coalesce("item_name", "item")))
     parts = [F.concat(F.coalesce("name", "ticker"), F.lit(" ("), F.col("ticker"), F.lit(")")), F.concat(F.lit("Form 10-K, fiscal year "), F.col("fiscal_year").cast("string"), F.lit(", ended "), F.date_format(F.to_date("period_end"), "MMMM d, yyyy")), item, F.when(F.col("caption") != "", F.concat(F.lit("Table: "), F.substring("caption", 1, 150)))]
     return c.select("id", F.concat(F.lit("["), F.concat_ws(" | ", *parts), F.lit("]")).alias("header"))

@@ -82,11 +82,11 @@ def numeric_grounding(spark, sf_dir):
     return _answers(spark, sf_dir).select("case_id", F.array_join(guard.ungrounded(F.col("answer"), F.col("passages")), " ").alias("ungrounded"))
 
 
-@query(f"SELECT * FROM {Fixture('case_id long, number string, how string', [(7, '10', 'growth'), (8, '61.3', 'unit'), (9, '50.25', 'difference')]).sql} UNION ALL SELECT case_id, CAST(5000 + n % 1000 AS VARCHAR), 'difference' FROM {_STATED}")
+@query(f"SELECT * FROM {Fixture('case_id long, number string, how string', [(7, '10', 'growth'), (8, '61.3', 'unit'), (9, '50.25', 'difference')]).sql} UNION ALL SELECT case_id, CAST(50 + case_id % 7 AS VARCHAR), 'difference' FROM {_STATED}")
 def derived_numbers(spark, sf_dir):
-    gap = (5000 + F.col("n") % 1000).cast("string")
-    line = F.concat(F.lit("Sales | "), (F.col("n") + 5000 + F.col("n") % 1000).cast("string"), F.lit(" | "), F.col("n").cast("string"))
-    turns = _stated(spark, sf_dir).select("case_id", F.array("before", line).alias("passages"), F.concat(F.lit("Sales rose by "), gap, F.lit(" [2].")).alias("answer"))
+    gap = 50 + F.col("case_id") % 7
+    line = F.concat(F.lit("Sales | "), (F.col("n") + gap * 1000).cast("string"), F.lit(" | "), F.col("n").cast("string"))
+    turns = _stated(spark, sf_dir).select("case_id", F.array("before", line).alias("passages"), F.concat(F.lit("Sales rose by "), gap.cast("string"), F.lit(" billion [2].")).alias("answer"))
     return guard.derived_numbers(ANSWERS.df(spark).drop("expect_pass").unionByName(turns))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from docquarry.functions import text as T
 from docquarry.operators import agent, sparse, vectors
 from docquarry.plans.q_retrieval import _E, _INDEX, _QUERIES, _bm25, _questions
-from docquarry.plans.q_text import QUESTIONS, normalize_sql
+from docquarry.plans.q_text import _ASKED, QUESTIONS, asked, normalize_sql
 from docquarry.plans.registry import Fixture, query, search_postings, table
 from docquarry.session import scratch
 from docquarry.sources import readers
@@ -30,24 +30,68 @@ TOOL_CALLS = Fixture("run_id long, seq int, tool string, args string, query stri
 ])
 
 
-@query(f"SELECT user_id, seq, allowed, round(retry_after, 6) AS retry_after FROM {REQUESTS.sql}")
+#: Events as requests: their order among those of a user, and hours since the first day, which stand for seconds.
+_EVENTS = "e AS (SELECT 'user' || user_id AS user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3600000000.0 AS t, user_id % 3 AS kind, event_type, value, strftime(ts, '%Y-%m-%d') AS day, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+def _events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    since = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast(e.schema["ts"].dataType), F.col("ts"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user_id"), seq.alias("seq"), (since / 3600000000.0).alias("t"), (F.col("user_id") % 3).alias("kind"), "event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, seq, t, CASE WHEN kind = 0 THEN 2.0::DOUBLE ELSE 12.0::DOUBLE END AS rpm FROM e),
+b AS (SELECT user_id, seq, t, rpm, greatest(1.0::DOUBLE, rpm / 6) AS was FROM r WHERE seq = 1
+UNION ALL SELECT r.user_id, r.seq, r.t, r.rpm, least(greatest(1.0::DOUBLE, r.rpm / 6), b.was - CASE WHEN b.was >= 1 THEN 1 ELSE 0 END + (r.t - b.t) * (r.rpm / 60)) FROM b JOIN r ON r.user_id = b.user_id AND r.seq = b.seq + 1)
+SELECT user_id, seq, was >= 1 AS allowed, round(CASE WHEN was >= 1 THEN 0.0 ELSE (1 - was) / (rpm / 60) END, 6) AS retry_after FROM b UNION ALL SELECT user_id, seq, allowed, round(retry_after, 6) FROM {REQUESTS.sql}""")
 def token_bucket(spark, sf_dir):
-    return folds.run(REQUESTS.df(spark).drop("allowed", "retry_after"), folds.token_bucket(), "user_id", ["seq"]).select("user_id", "seq", "allowed", F.round("retry_after", 6).alias("retry_after"))
+    """The fixed requests, and every event as a request of its user."""
+    requests = _events(spark, sf_dir).select("user_id", "seq", "t", F.when(F.col("kind") == 0, 2.0).otherwise(12.0).alias("rpm"))
+    return folds.run(REQUESTS.df(spark).drop("allowed", "retry_after").unionByName(requests), folds.token_bucket(), "user_id", ["seq"]).select("user_id", "seq", "allowed", F.round("retry_after", 6).alias("retry_after"))
 
 
-@query(f"SELECT user_id, seq, granted, spent FROM {SPENDS.sql}")
+@query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, seq, day, CAST(value AS DOUBLE) AS estimate, value * (k % 3) AS actual FROM e),
+b AS (SELECT user_id, seq, day, 0.0 + estimate <= 60 + 1e-12 AS granted, CASE WHEN 0.0 + estimate <= 60 + 1e-12 THEN actual ELSE 0.0 END AS spent FROM r WHERE seq = 1
+UNION ALL SELECT r.user_id, r.seq, r.day, x.old + r.estimate <= 60 + 1e-12, x.old + CASE WHEN x.old + r.estimate <= 60 + 1e-12 THEN r.actual ELSE 0.0 END FROM b JOIN r ON r.user_id = b.user_id AND r.seq = b.seq + 1, LATERAL (SELECT CASE WHEN r.day = b.day THEN b.spent ELSE 0.0::DOUBLE END AS old) x)
+SELECT user_id, seq, granted, round(spent, 6) AS spent FROM b UNION ALL SELECT user_id, seq, granted, spent FROM {SPENDS.sql}""")
 def spend_limit(spark, sf_dir):
-    return folds.run(SPENDS.df(spark).drop("granted", "spent"), folds.spend_limit(), "user_id", ["seq"]).select("user_id", "seq", "granted", F.round("spent", 6).alias("spent"))
+    """The fixed requests, and every event as one that may cost its value."""
+    wanted = _events(spark, sf_dir).select("user_id", "seq", "day", F.lit(60.0).alias("limit_usd"), F.col("value").alias("estimate"), (F.col("value") * (F.col("k") % 3)).alias("actual"))
+    return folds.run(SPENDS.df(spark).drop("granted", "spent").unionByName(wanted), folds.spend_limit(), "user_id", ["seq"]).select("user_id", "seq", "granted", F.round("spent", 6).alias("spent"))
 
 
-@query(f"SELECT name, seq, state, state <> 'open' AS allowed FROM {CALLS.sql}")
+_OUT = "CASE WHEN opened IS NULL THEN 'closed' WHEN t - opened >= 30 THEN 'half_open' ELSE 'open' END"
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id AS name, seq, t, event_type IN ('error', 'click') AS failed FROM e),
+b AS (SELECT name, seq, 'closed' AS state, CASE WHEN failed THEN 1 ELSE 0 END AS failures, CAST(NULL AS DOUBLE) AS opened FROM r WHERE seq = 1
+UNION ALL SELECT name, seq, state, CASE WHEN state = 'open' THEN failures WHEN failed THEN failures + 1 ELSE 0 END, CASE WHEN state = 'open' THEN opened WHEN NOT failed THEN NULL WHEN failures + 1 >= 3 OR opened IS NOT NULL THEN t END
+FROM (SELECT r.name, r.seq, r.t, r.failed, b.failures, b.opened, {_OUT.replace('opened', 'b.opened').replace('t -', 'r.t -')} AS state FROM b JOIN r ON r.name = b.name AND r.seq = b.seq + 1))
+SELECT name, seq, state, state <> 'open' AS allowed FROM b UNION ALL SELECT name, seq, state, state <> 'open' FROM {CALLS.sql}""")
 def circuit_breaker(spark, sf_dir):
-    return folds.run(CALLS.df(spark).drop("state"), folds.circuit_breaker(), "name", ["seq"]).select("name", "seq", "state", "allowed")
+    """The fixed calls, and every user's events as calls of a service of its own, errors and clicks failing."""
+    calls = _events(spark, sf_dir).select(F.col("user_id").alias("name"), "seq", "t", F.col("event_type").isin("error", "click").alias("failed"))
+    return folds.run(CALLS.df(spark).drop("state").unionByName(calls), folds.circuit_breaker(), "name", ["seq"]).select("name", "seq", "state", "allowed")
+
+
+_CALL_WORDS = "list_sort(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')))"
 
 
-@query(f"SELECT run_id, seq, decision FROM {TOOL_CALLS.sql}")
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id + 1000 AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS seq, ['search', 'calculate', 'shell'][turn % 3 + 1] AS tool, CASE WHEN conv_id % 2 = 0 THEN first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) ELSE text END AS query FROM conversations),
+w AS (SELECT run_id, seq, tool, {_CALL_WORDS} AS words FROM c),
+b AS (SELECT DISTINCT run_id, 0 AS seq, CAST([] AS STRUCT(k VARCHAR, w VARCHAR[])[]) AS seen, '' AS decision FROM w
+UNION ALL SELECT run_id, seq, CASE WHEN d = 'admitted' THEN list_append(seen, {{'k': tool, 'w': words}}) ELSE seen END, d
+FROM (SELECT w.run_id, w.seq, w.tool, w.words, b.seen, CASE WHEN w.tool = 'shell' THEN 'not allowed' WHEN len(b.seen) >= 3 THEN 'budget' WHEN len(list_filter(b.seen, lambda s: s.k = w.tool AND (s.w = w.words OR (len(s.w) > 0 AND len(w.words) > 0 AND len(list_intersect(s.w, w.words)) / (len(s.w) + len(w.words) - len(list_intersect(s.w, w.words))) >= 0.8)))) > 0 THEN 'repeat' ELSE 'admitted' END AS d
+FROM b JOIN w ON w.run_id = b.run_id AND w.seq = b.seq + 1))
+SELECT run_id, seq, decision FROM b WHERE seq > 0 UNION ALL SELECT run_id, seq, decision FROM {TOOL_CALLS.sql}""")
 def tool_admission(spark, sf_dir):
-    return folds.run(TOOL_CALLS.df(spark).drop("decision"), folds.admission(["search", "calculate"], 3), "run_id", ["seq"]).select("run_id", "seq", "decision")
+    """The fixed calls, and every conversation's turns as the calls of a run."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"seq": F.row_number().over(w), "first": F.first("text").over(w)})
+    tool = F.get(F.array(*map(F.lit, ("search", "calculate", "shell"))), (F.col("turn") % 3).cast("int"))
+    turns = c.select((F.col("conv_id") + 1000).alias("run_id"), "seq", tool.alias("tool"), F.lit("{}").alias("args"), F.when(F.col("conv_id") % 2 == 0, F.col("first")).otherwise(F.col("text")).alias("query"))
+    return folds.run(TOOL_CALLS.df(spark).drop("decision").unionByName(turns), folds.admission(["search", "calculate"], 3), "run_id", ["seq"]).select("run_id", "seq", "decision")
 
 
 @query("SELECT user_id, count(*) AS requests, count_if(before IS NOT NULL AND date_diff('microsecond', before, ts) <= 86400000000) AS hits FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
@@ -59,9 +103,9 @@ def exact_cache_ttl(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(F.col("before").isNotNull() & (age <= 86_400_000_000)).alias("hits"))
 
 
-@query(f"SELECT qid, sha256('v1|AAPL,MSFT|' || {normalize_sql('question')}) AS key FROM {QUESTIONS.sql}")
+@query(f"SELECT qid, sha256('v1|AAPL,MSFT|' || {normalize_sql('question')}) AS key FROM {_ASKED}")
 def cache_keys(spark, sf_dir):
-    return QUESTIONS.df(spark).select("qid", F.sha2(F.concat(F.lit("v1|AAPL,MSFT|"), T.normalize_question(F.col("question"))), 256).alias("key"))
+    return asked(spark, sf_dir).select("qid", F.sha2(F.concat(F.lit("v1|AAPL,MSFT|"), T.normalize_question(F.col("question"))), 256).alias("key"))
 
 
 _SEMANTIC = f"{_E}, p AS (SELECT eq.qid, e.vec_id, round(list_dot_product(eq.qvec, e.v), 6) AS score, row_number() OVER (PARTITION BY eq.qid ORDER BY round(list_dot_product(eq.qvec, e.v), 6) DESC, e.vec_id) AS r FROM eq JOIN e ON e.label = eq.label AND e.vec_id < eq.qid)"
@@ -138,9 +182,12 @@ def ask_events(spark, sf_dir):
 FILINGS = Fixture("id long, cik string, form string, filed string, period_end string", [(1, "a", "10-K", "2025-10-31", "2025-09-27"), (2, "a", "10-K/A", "2025-11-15", "2025-09-27"), (3, "a", "10-K", "2024-11-01", "2024-09-28"), (4, "a", "10-K", "2023-11-03", "2023-09-30"), (5, "b", "10-Q", "2025-05-01", "2025-03-31"), (6, "b", "10-K", "2025-01-30", "2024-12-31")])
 
 
-@query(f"SELECT id, cik, place, CAST(fiscal_year AS INTEGER) AS fiscal_year FROM (SELECT *, year(CAST(period_end AS DATE)) AS fiscal_year, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, id DESC) AS place FROM {FILINGS.sql} WHERE form = '10-K') WHERE place <= 2")
+@query(f"SELECT id, cik, place, CAST(fiscal_year AS INTEGER) AS fiscal_year FROM (SELECT *, year(CAST(period_end AS DATE)) AS fiscal_year, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, id DESC) AS place FROM (SELECT * FROM {FILINGS.sql} UNION ALL SELECT o_orderkey + 1000, 'c' || o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN '10-Q' ELSE '10-K' END, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate - INTERVAL 40 DAY, '%Y-%m-%d') FROM orders) WHERE form = '10-K') WHERE place <= 2")
 def latest_filings(spark, sf_dir):
-    return readers.latest_filings(FILINGS.df(spark), "cik", "filed", 2).select("id", "cik", "place", "fiscal_year")
+    """The fixed filings, and every order as one of its customer."""
+    date = lambda c: F.date_format(c, "yyyy-MM-dd")
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1000).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cik"), F.when(F.col("o_orderkey") % 4 == 0, F.lit("10-Q")).otherwise(F.lit("10-K")).alias("form"), date("o_orderdate").alias("filed"), date(F.date_sub("o_orderdate", 40)).alias("period_end"))
+    return readers.latest_filings(FILINGS.df(spark).unionByName(orders), "cik", "filed", 2).select("id", "cik", "place", "fiscal_year")
 
 
 @query("SELECT source, list_aggregate(list_sort(list_distinct(list(doc_id % 9 + 2017))), 'string_agg', ',') AS years FROM documents GROUP BY source")
@@ -244,10 +291,14 @@ BUDGETS = Fixture("run_id long, seq int, size long, usd double, repeated boolean
 ])
 
 
-@query(f"SELECT * FROM {Fixture('run_id long, step long, reason string, tokens long', [(1, 3, 'loop', 119), (2, 4, 'max_steps', 40), (3, 2, 'max_tokens', 120), (4, 2, 'max_cost', 10)]).sql}")
+@query(f"""SELECT * FROM {Fixture('run_id long, step long, reason string, tokens long', [(1, 3, 'loop', 119), (2, 4, 'max_steps', 40), (3, 2, 'max_tokens', 120), (4, 2, 'max_cost', 10)]).sql} UNION ALL SELECT run_id, step, reason, tokens FROM (
+SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS r FROM (SELECT run_id, step, tokens, CASE WHEN repeats >= 2 THEN 'loop' WHEN step >= 4 THEN 'max_steps' WHEN tokens >= 100 THEN 'max_tokens' WHEN cost >= 1000 THEN 'max_cost' END AS reason
+FROM (SELECT run_id, row_number() OVER w AS step, CAST(sum(size) OVER w AS BIGINT) AS tokens, sum(usd) OVER w AS cost, count_if(again) OVER w AS repeats FROM (SELECT conv_id + 1000 AS run_id, turn, length(text) // 12 AS size, length(text) AS usd, length(text) % 5 = 0 AS again FROM conversations) WINDOW w AS (PARTITION BY run_id ORDER BY turn ROWS UNBOUNDED PRECEDING))) WHERE reason IS NOT NULL) WHERE r = 1""")
 def budget_limits(spark, sf_dir):
     """Each limit by itself, and loops before all others."""
-    return agent.budget_stop(BUDGETS.df(spark), "run_id", "seq", "size", 4, 100, "usd", 1.0, "repeated", 2)
+    size = F.length("text")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") + 1000).alias("run_id"), F.col("turn").cast("int").alias("seq"), F.floor(size / 12).cast("long").alias("size"), (size / 1000.0).cast("double").alias("usd"), (size % 5 == 0).alias("repeated"))
+    return agent.budget_stop(BUDGETS.df(spark).unionByName(turns), "run_id", "seq", "size", 4, 100, "usd", 1.0, "repeated", 2)
 
 
 CACHED = Fixture("scope string, seq int, signature string, vector array<double>, item string, hit_item string, similarity double", [
