@@ -196,6 +196,13 @@ def chunk_sets(spark, sf_dir):
     return chunk.chunk_sets(marked, "doc_id")
 
 
+@query(None)
+def children_per_parent(spark, sf_dir):
+    """How many parents have how many children, by kind. The sets have no SQL; the tests count by hand."""
+    kids = chunk_sets(spark, sf_dir).where("variant = 'child'").groupBy("doc_id", "parent", "kind").agg(F.count("*").alias("children"))
+    return kids.groupBy("kind", "children").agg(F.count("*").alias("parents"))
+
+
 CHILDREN = Fixture("qid long, sub int, parent string, rank int", [(1, 0, "p1", 1), (1, 0, "p2", 2), (1, 0, "p1", 3), (1, 0, "p3", 4), (1, 1, "p2", 1), (1, 1, "p1", 2), (1, 1, "p4", 3), (1, 1, "p5", 4), (2, 0, "p9", 2), (2, 0, "p8", 1), (2, 0, "p7", 3), (2, 0, "p6", 4), (2, 0, "p5", 5)])
 _PARENTS = Fixture("qid long, sub int, parent string, best int, via string, position int", [(1, 0, "p1", 1, "1,3", 1), (1, 0, "p2", 2, "2", 2), (1, 1, "p4", 3, "3", 3), (1, 1, "p5", 4, "4", 4), (2, 0, "p8", 1, "1", 1), (2, 0, "p9", 2, "2", 2), (2, 0, "p7", 3, "3", 3), (2, 0, "p6", 4, "4", 4)])
 
