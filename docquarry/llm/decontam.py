@@ -4,7 +4,10 @@ The index is of the test items, which are few; each passage of each document is
 BM25 score as a share of what its item scores against itself, so one threshold serves all items. Postings are
 grouped in blocks of neighbouring items with the largest score of each block. A passage is looked up only if
 the sums of its terms' block maxima reach the threshold in some block, first over coarse and then over fine blocks; then block-max WAND walks the postings
-and returns every item above the threshold, and the item's question and answer are aligned with the words there.
+and returns every item above the threshold, and the item's question and answer are aligned with the words there, in
+every window in which enough of them lie, so that a part of an item beside an edited copy does not hide the copy.
+
+Items are indexed by classes of length, each with passages of its own size, so one long item does not make all passages long.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import fsum
+from math import ceil, fsum
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +64,11 @@ def longest_common(a: list, b: list) -> int:
 
 @dataclass
 class Statistics:
-    """Of all test items, however many indexes they are split over: how many have a word, their mean and greatest length, how many have each term (those asked for at least)."""
+    """Of all test items, however many indexes they are split over: how many have a word, their mean length and the greatest in each class, how many have each term (those asked for at least)."""
 
     n: int
     mean: float
-    longest: int
+    longest: dict[int, int]
     df: dict[bytes, int]
 
 
@@ -162,6 +165,16 @@ def _parted(texts: list) -> tuple[list[bytes], list[bytes]]:
     return question_and_answer(texts[0] or "") if len(texts) == 1 else (words(texts[0] or ""), words(texts[1] or ""))
 
 
+def class_of(length: int) -> int:
+    """Items of up to 64 words, of up to 256, and so on."""
+    return max(0, -(-((length - 1) >> 6).bit_length() // 2))
+
+
+def room_of(length: int) -> int:
+    """Words by which a copy may be longer than its item."""
+    return 4 + length // 4
+
+
 def build_index(rows: list[tuple], known: Statistics | None = None) -> Index | None:
     """rows: (item id, text), or (item id, question, answer); known: of all items, where these are a part. None where no item has a word."""
     parted = []
@@ -173,7 +186,7 @@ def build_index(rows: list[tuple], known: Statistics | None = None) -> Index | N
         return None
     parted.sort(key=lambda x: (x[0], x[1] is None, x[1], x[2], x[3]))
     counts = [Counter(q + a) for _, _, q, a in parted]
-    known = known or Statistics(len(parted), sum(x[0] for x in parted) / len(parted), parted[-1][0], Counter(t for c in counts for t in c))
+    known = known or Statistics(len(parted), sum(x[0] for x in parted) / len(parted), {class_of(x[0]): x[0] for x in parted}, Counter(t for c in counts for t in c))
     n, mean, df = known.n, known.mean, known.df
     terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}), 1)}
     postings: list[list[tuple[int, float]]] = [[] for _ in range(len(terms) + 1)]
@@ -196,7 +209,7 @@ def build_index(rows: list[tuple], known: Statistics | None = None) -> Index | N
     per = -(-blocks // groups) * BLOCK_ITEMS
     bound = np.zeros((len(postings), groups), np.float32)
     np.maximum.at(bound, (term, item // per), score.astype(np.float32) * np.float32(1.000001))
-    return Index([x[1] for x in parted], [x[2] for x in parted], [x[3] for x in parted], terms, first, item, score, bound.max(1).astype(float), block_first, cell % blocks, block_most, bound, known.longest)
+    return Index([x[1] for x in parted], [x[2] for x in parted], [x[3] for x in parted], terms, first, item, score, bound.max(1).astype(float), block_first, cell % blocks, block_most, bound, known.longest[class_of(parted[-1][0])])
 
 
 def _halves_over(index: Index, ids: np.ndarray, half: int, threshold: float) -> np.ndarray:
@@ -218,7 +231,7 @@ def find(index: Index, text: str, threshold: float, overlap: float) -> dict[int,
     tokens = words(text)
     get = index.terms.get
     ids = np.array([get(w, 0) for w in tokens], np.int64)
-    half = max(32, index.longest)
+    half = max(32, index.longest + room_of(index.longest))
     best: dict[int, tuple[float, float, float]] = {}
     for h in _halves_over(index, ids, half, threshold):
         at, to = int(h) * half, min(len(ids), (int(h) + 2) * half)
@@ -227,43 +240,54 @@ def find(index: Index, text: str, threshold: float, overlap: float) -> dict[int,
         if index.best_block(distinct) < threshold - 1e-9:
             continue
         for item, score in index.search(distinct.tolist(), threshold):
-            q, a = index.question[item], index.answer[item]
-            own = [get(w, 0) for w in q + a]
-            places = defaultdict(list)
-            for k, t in enumerate(own):
-                places[t].append(k)
-            shifts = Counter(p - k for p, t in enumerate(passage.tolist()) if t for k in places.get(t, ()))
-            shift = at + min(shifts, key=lambda s: (-shifts[s], s))
-            room = 4 + len(own) // 4
-            near = tokens[max(0, shift - room) : shift + len(own) + room]
-            q_part = longest_common(q, near) / len(q) if q else 1.0
-            a_part = longest_common(a, near) / len(a) if a else 1.0
-            if q_part >= overlap and a_part >= overlap:
+            q, a = ([get(w, 0) for w in x] for x in (index.question[item], index.answer[item]))
+            for q_part, a_part in _alignments(ids, at, to, q, a, overlap):
                 best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, q_part, a_part))
     return best
 
 
+def _alignments(ids: np.ndarray, start: int, stop: int, q: list[int], a: list[int], overlap: float) -> Iterator[tuple[float, float]]:
+    """Overlaps of question and answer in each window of a text where both suffice.
+
+    Windows begin at all multiples of the room of the item and are two rooms longer than it, so every run of words
+    that is longer than the item by its room at most lies in one. Those that meet start to stop are tried.
+    """
+    length = len(q) + len(a)
+    room = room_of(length)
+    size = length + 2 * room
+    begins = np.arange(max(0, (start - size) // room + 1) * room, stop, room)
+    within = np.concatenate(([0], np.cumsum(np.isin(ids, q + a))))
+    least = max(ceil(overlap * len(x) - 1e-9) for x in (q, a))
+    for at in begins[within[np.minimum(begins + size, len(ids))] - within[begins] >= least].tolist():
+        near = ids[at : at + size].tolist()
+        q_part = longest_common(q, near) / len(q) if q else 1.0
+        if q_part >= overlap:
+            a_part = longest_common(a, near) / len(a) if a else 1.0
+            if a_part >= overlap:
+                yield q_part, a_part
+
+
 def _statistics(items: DataFrame, texts: list[str]) -> tuple[Statistics, DataFrame]:
     """Totals over all items, and the table of terms (term, df), counted by the cluster."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            terms, longest, total, n = Counter(), 0, 0, 0
+            terms, longest, total, n = Counter(), Counter(), 0, 0
             for row in zip(*(batch.column(c).to_pylist() for c in texts)):
                 q, a = _parted(list(row))
                 if q or a:
                     terms.update(set(q + a))
-                    n, total, longest = n + 1, total + len(q) + len(a), max(longest, len(q) + len(a))
-            terms[None] = n
-            rest = len(terms) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(terms), pa.binary()), pa.array(list(terms.values()), pa.int64()), pa.array([0] * rest + [total], pa.int64()), pa.array([0] * rest + [longest], pa.int64())], ["term", "df", "total", "longest"]
-            )
+                    size = len(q) + len(a)
+                    n, total = n + 1, total + size
+                    longest[class_of(size)] = max(longest[class_of(size)], size)
+            rows = [(t, None, d, 0, 0) for t, d in terms.items()] + [(None, c, 0, 0, x) for c, x in longest.items()] + [(None, None, n, total, 0)]
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["term", "class", "df", "total", "longest"])
 
-    counted = checkpointed(items.select(*texts).mapInArrow(of, "term binary, df long, total long, longest long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("longest").alias("longest")))
-    whole = counted.where("term IS NULL").first()
-    n = whole["df"] if whole else 0
-    return Statistics(n, whole["total"] / n if n else 0.0, whole["longest"] if n else 0, {}), counted.where("term IS NOT NULL").select("term", "df")
+    counted = checkpointed(items.select(*texts).mapInArrow(of, "term binary, class int, df long, total long, longest long").groupBy("term", "class").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("longest").alias("longest")))
+    whole = {r["class"]: r for r in counted.where("term IS NULL").collect()}  # one row a class, and one for all
+    n = whole[None]["df"] if whole else 0
+    return Statistics(n, whole[None]["total"] / n if n else 0.0, {c: r["longest"] for c, r in whole.items() if c is not None}, {}), counted.where("term IS NOT NULL").select("term", "df")
 
 
 def _indexes(benchmark: DataFrame, index_words: int) -> Iterator[Index]:
@@ -276,16 +300,28 @@ def _indexes(benchmark: DataFrame, index_words: int) -> Iterator[Index]:
     size = items.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0))).alias("n")).first()["n"] or 0
     parts = max(1, -(-int(size) // (6 * index_words)))
     if parts == 1:
-        found = build_index([tuple(r) for r in items.collect()])
-        if found:
-            yield found
+        yield from _by_class([tuple(r) for r in items.collect()], None)
         return
     known, df = _statistics(items, texts)
     for k in range(parts):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64(*items.columns), F.lit(parts)) == k).collect()]
         own = {t for _, *x in rows for side in _parted(x) for t in side}
         wanted = F.broadcast(benchmark.sparkSession.createDataFrame([(bytearray(t),) for t in own], "term binary"))
-        found = build_index(rows, Statistics(known.n, known.mean, known.longest, {bytes(r["term"]): r["df"] for r in df.join(wanted, "term").collect()}))
+        yield from _by_class(rows, Statistics(known.n, known.mean, known.longest, {bytes(r["term"]): r["df"] for r in df.join(wanted, "term").collect()}))
+
+
+def _by_class(rows: list[tuple], known: Statistics | None) -> Iterator[Index]:
+    """An index for each class of length among some items."""
+    sizes = [sum(map(len, _parted(list(x)))) for _, *x in rows]
+    if known is None:
+        counts = [Counter({t for side in _parted(list(x)) for t in side}) for _, *x in rows]
+        some = [n for n in sizes if n]
+        longest: dict[int, int] = {}
+        for n in some:
+            longest[class_of(n)] = max(longest.get(class_of(n), 0), n)
+        known = Statistics(len(some), sum(some) / max(len(some), 1), longest, sum(counts, Counter()))
+    for c in sorted(known.longest):
+        found = build_index([r for r, n in zip(rows, sizes) if n and class_of(n) == c], known)
         if found:
             yield found
 
@@ -306,8 +342,8 @@ def _shared(benchmark: DataFrame, index_words: int) -> Iterator[list]:
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row for each document and test item found in it.
 
-    benchmark has item_id and text, or question and answer. Passages are twice as long as the longest item and
-    half overlap, so each run of words of an item's length lies in one whole. Null texts and items without words
+    benchmark has item_id and text, or question and answer. Passages are twice as long as the longest copy of an item
+    of their class of length and half overlap, so each such run of words lies in one whole. Null texts and items without words
     match nothing; a null id of either side is returned as null; repeated documents are searched each; repeated
     items are reported each. A score equal to the threshold counts. Texts of any length are searched whole, and
     other columns do not matter, whatever their names. Empty tables give no rows. A broadcast holds the test items

@@ -113,3 +113,45 @@ def test_a_very_long_text_equals_brute_force(spark):
         noise[at:at] = bench[i][1].split()
     out = decontam.leaks(spark.createDataFrame([(1, " ".join(noise))], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), index_words=200)
     assert sorted((r.doc_id, r.item_id, r.question_overlap) for r in out.collect()) == [(1, i, 1.0) for i in sorted(planted)]
+
+
+def edited(text, every):
+    """A word inserted after each so many."""
+    out = []
+    for n, w in enumerate(text.split(), 1):
+        out += [w, f"extra{n}"] if n % every == 0 else [w]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("every", [5, 7, 9, 15])
+def test_an_edited_copy_beside_a_part_is_found(every):
+    long = (99, " ".join(f"v{n * 7 % 331}" for n in range(380)) + ". " + " ".join(f"u{n}" for n in range(20)) + ".")
+    bench = items(50, seed=8, vocabulary=3000) + [long]
+    indexes = list(decontam._by_class(bench, None))
+    assert len(indexes) == 2
+    found = lambda t: {x.items[i] for x in indexes for i in decontam.find(x, t, decontam.THRESHOLD, decontam.OVERLAP)}
+    for i, t in bench:
+        question = t.split(". ")[0]
+        for text in (edited(t, every), f"{question}. {edited(t, every)}", f"{edited(t, every)} so {question}", f"{question} {question} then {edited(t, every)} {question}"):
+            assert i in found("noise " * 70 + text + " noise" * 50), (i, text)
+    assert 99 not in found(long[1].split(". ")[0] + " and nothing else")
+
+
+def test_windows_are_all_of_them():
+    """Every window of brute force that suffices is found, wherever passages begin."""
+    rng = random.Random(12)
+    bench = items(30, seed=5, vocabulary=60)
+    (index,) = decontam._by_class(bench, None)
+    for _ in range(40):
+        parts = []
+        for _ in range(6):
+            w = bench[rng.randrange(30)][1].split()
+            parts += [x for x in w if rng.random() < rng.choice((0.7, 0.9, 1.0))] + [f"n{rng.randrange(9)}" for _ in range(rng.randrange(0, 25))]
+        tokens = decontam.words(" ".join(parts))
+        got = decontam.find(index, " ".join(parts), 0.0001, decontam.OVERLAP)
+        for k in range(len(index.items)):
+            q, a = index.question[k], index.answer[k]
+            n = len(q) + len(a)
+            room = decontam.room_of(n)
+            best = [(decontam.longest_common(q, near) / len(q), decontam.longest_common(a, near) / len(a) if a else 1.0) for at in range(0, len(tokens), room) for near in [tokens[at : at + n + 2 * room]]]
+            assert (k in got) == any(x >= decontam.OVERLAP and y >= decontam.OVERLAP for x, y in best)
