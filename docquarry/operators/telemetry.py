@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,14 +27,58 @@ def upper_median(column: str) -> Column:
 
 
 def span_parents(spans: DataFrame) -> DataFrame:
-    """trace_id, idx, parent_idx: the shortest span that is recorded later, starts strictly earlier and ends no earlier; null for roots."""
-    end = F.col("start_ms") + F.col("duration_ms")
-    s = spans.select("trace_id", "idx", "start_ms", end.alias("end_ms"))
-    p = spans.select("trace_id", F.col("idx").alias("parent_idx"), F.col("start_ms").alias("p_start"), end.alias("p_end"), F.col("duration_ms").alias("p_ms"))
-    inside = s.join(p, "trace_id").where("parent_idx > idx AND p_start < start_ms AND end_ms <= p_end")
-    w = Window.partitionBy("trace_id", "idx").orderBy("p_ms", "parent_idx")
-    best = inside.withColumn("r", F.row_number().over(w)).where("r = 1").select("trace_id", "idx", "parent_idx")
-    return s.select("trace_id", "idx").join(best, ["trace_id", "idx"], "left")
+    """trace_id, idx, parent_idx: the shortest span that is recorded later, starts strictly earlier and ends no earlier (of equals the one recorded first); null for roots.
+
+    Spans are swept by their start, those still open being kept: a span that has ended before another starts cannot
+    contain it, nor any that start later. So a trace streams through its task, which holds its open spans at most.
+    """
+    schema = "trace_id string, idx int, parent_idx int"
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trace: object = _NO_TRACE
+        open_: list[tuple[float, int, float, float]] = []  # duration, idx, start, end
+        for batch in batches:
+            rows = [c.to_pylist() for c in batch.columns]
+            parents: list[int | None] = []
+            for own, idx, start, ms in zip(*rows):
+                if own != trace:
+                    trace, open_ = own, []
+                if start is None or ms is None:
+                    parents.append(None)
+                    continue
+                end = start + ms
+                open_ = [s for s in open_ if s[3] >= start]
+                parents.append(min((s[:2] for s in open_ if s[1] > idx and s[2] < start and end <= s[3]), default=(0, None))[1])
+                open_.append((ms, idx, start, end))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(parents, pa.int32())], ["trace_id", "idx", "parent_idx"])
+
+    source = spans.select("trace_id", F.col("idx").cast("int").alias("idx"), F.col("start_ms").cast("double").alias("start_ms"), F.col("duration_ms").cast("double").alias("duration_ms"))
+    return source.repartition("trace_id").sortWithinPartitions("trace_id", "start_ms", "idx").mapInArrow(of, schema)
+
+
+_NO_TRACE = object()
+#: Of a sketch: its accuracy grows with it (a rank error of about 1.3 % at 200).
+SKETCH_K = 200
+
+
+def daily_sketches(df: DataFrame, by: list[str], day: Column, value: str) -> DataFrame:
+    """by..., day, n, sketch: a quantile sketch of some kilobytes for each group and day, made in the tasks and merged in the shuffle."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, day.alias("day")).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch"))
+
+
+def merged_sketches(daily: DataFrame, by: list[str]) -> DataFrame:
+    """by..., n, days, sketch over all days: any range of days is merged from stored sketches, without the rows."""
+    return daily.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("days"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+
+def rank_errors(df: DataFrame, merged: DataFrame, by: list[str], value: str, levels: list[float]) -> DataFrame:
+    """by..., level, n, days, estimate, error: how far the exact rank of each estimated quantile is from its level; ties count as far as need be."""
+    each = F.array(*(F.struct(F.lit(x).alias("level"), F.kll_sketch_get_quantile_double("sketch", F.lit(x)).alias("estimate")) for x in levels))
+    estimates = merged.select(*by, "n", "days", F.inline(each))
+    counted = df.where(F.col(value).isNotNull()).join(F.broadcast(estimates), by).groupBy(*by, "level", "n", "days", "estimate")
+    ranks = counted.agg(F.count_if(F.col(value) < F.col("estimate")).alias("under"), F.count_if(F.col(value) <= F.col("estimate")).alias("upto"))
+    error = F.greatest(F.col("under") / F.col("n") - F.col("level"), F.col("level") - F.col("upto") / F.col("n"), F.lit(0.0))
+    return ranks.select(*by, "level", "n", "days", "estimate", error.alias("error"))
 
 
 def bucket_counts(df: DataFrame, value: str, edges: list[float], by: list[str]) -> DataFrame:

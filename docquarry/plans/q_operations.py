@@ -49,9 +49,28 @@ SPANS = Fixture("trace_id string, idx int, name string, start_ms double, duratio
 ])
 
 
-@query(f"SELECT trace_id, idx, parent_idx FROM {SPANS.sql}")
+#: A user's events of a day as spans, numbered as they end, as spans are recorded.
+_DAYS = """days AS (SELECT 'u' || user_id || '/' || strftime(ts, '%Y-%m-%d') AS trace_id, date_diff('millisecond', date_trunc('day', ts), ts)::DOUBLE AS start_ms, floor(value * 400000) AS duration_ms, event_id FROM events),
+numbered AS (SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_ms + duration_ms, event_id) - 1 AS INTEGER) AS idx, start_ms, duration_ms FROM days)"""
+
+
+@query(f"WITH {_DAYS} SELECT trace_id, idx, parent_idx FROM {SPANS.sql} UNION ALL SELECT a.trace_id, a.idx, b.idx FROM numbered a LEFT JOIN numbered b ON b.trace_id = a.trace_id AND b.idx > a.idx AND b.start_ms < a.start_ms AND a.start_ms + a.duration_ms <= b.start_ms + b.duration_ms QUALIFY row_number() OVER (PARTITION BY a.trace_id, a.idx ORDER BY b.duration_ms, b.idx) = 1")
 def span_tree(spark, sf_dir):
-    return telemetry.span_parents(SPANS.df(spark).drop("parent_idx"))
+    """Parents of the fixed spans, and of all events as spans of each user's day."""
+    day = F.date_trunc("day", F.col("ts"))
+    start = F.timestamp_diff("MILLISECOND", day, F.col("ts")).cast("double")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"), start.alias("start_ms"), F.floor(F.col("value") * 400_000).cast("double").alias("duration_ms"), "event_id")
+    w = Window.partitionBy("trace_id").orderBy(F.col("start_ms") + F.col("duration_ms"), "event_id")
+    days = e.select("trace_id", (F.row_number().over(w) - 1).cast("int").alias("idx"), F.lit("event").alias("name"), "start_ms", "duration_ms")
+    return telemetry.span_parents(SPANS.df(spark).drop("parent_idx").unionByName(days))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days, true AS within FROM events GROUP BY event_type")
+def latency_sketches(spark, sf_dir):
+    """Quantile sketches of each day and type, merged over days; within: the exact ranks of the estimated quartiles and tails are at most 0.02 away."""
+    e = table(spark, sf_dir, "events")
+    merged = telemetry.merged_sketches(telemetry.daily_sketches(e, ["event_type"], F.to_date("ts"), "value"), ["event_type"])
+    return telemetry.rank_errors(e, merged, ["event_type"], "value", [0.25, 0.5, 0.75, 0.95, 0.99]).groupBy("event_type").agg(F.first("n").alias("n"), F.first("days").alias("days"), (F.max("error") <= 0.02).alias("within"))
 
 
 _EDGES = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
@@ -186,28 +205,29 @@ def edge_lookup(spark, sf_dir):
 
 # ---- Statistics and evaluation reports over labels ------------------------------------------------------------------
 
-_RUNS = "runs AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS i, CAST(quality AS DOUBLE) AS a, CAST(1 - toxic AS DOUBLE) AS b FROM labels)"
-_PICK = "(CAST('0x' || substr(md5(r.replicate || ':' || x.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM runs))"
+_RUNS = "runs AS (SELECT doc_id, CAST(quality AS DOUBLE) AS a, CAST(1 - toxic AS DOUBLE) AS b FROM labels)"
+_WEIGHT = "(" + " + ".join(f"CASE WHEN h >= {x} THEN 1 ELSE 0 END" for x in statistics.POISSON_STEPS) + ")"
+_MEANS = f"m AS (SELECT replicate, sum(w * a) / sum(w) AS a, sum(w * (b - a)) / sum(w) AS d FROM (SELECT *, {_WEIGHT} AS w FROM (SELECT r.replicate, x.*, CAST('0x' || substr(md5(r.replicate || ':' || x.doc_id), 1, 8) AS BIGINT) AS h FROM range(0, 200) r(replicate), runs x)) GROUP BY replicate)"
+_CUT = "round(list_sort(list({0}))[CAST(floor(0.025 * 200) AS INTEGER) + 1], 6) AS low, round(list_sort(list({0}))[CAST(floor(0.975 * 200) AS INTEGER) + 1], 6) AS high"
 
 
 def _runs(spark, sf_dir):
-    lab = table(spark, sf_dir, "labels")
-    return lab.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").cast("double").alias("a"), (1 - F.col("toxic")).cast("double").alias("b"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("a"), ((1 - F.col("toxic")) - F.col("quality")).cast("double").alias("d"))
 
 
-@query(f"WITH {_RUNS}, m AS (SELECT r.replicate, avg(y.a) AS mean FROM range(0, 200) r(replicate) CROSS JOIN runs x JOIN runs y ON y.i = {_PICK} GROUP BY r.replicate) SELECT (SELECT round(avg(a), 6) FROM runs) AS mean, round(list_sort(list(mean))[CAST(floor(0.025 * 200) AS INTEGER) + 1], 6) AS low, round(list_sort(list(mean))[CAST(floor(0.975 * 200) AS INTEGER) + 1], 6) AS high FROM m")
+@query(f"WITH {_RUNS}, {_MEANS} SELECT (SELECT round(avg(a), 6) FROM runs) AS mean, {_CUT.format('a')} FROM m")
 def bootstrap_interval(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    means = statistics.replicate_means(runs.select("i", "a"), "i", "a", 200).agg(F.array_sort(F.collect_list("mean")).alias("m"))
-    at = lambda p: F.round(F.element_at("m", int(p * 200) + 1), 6)
-    return runs.agg(F.round(F.avg("a"), 6).alias("mean")).crossJoin(F.broadcast(means)).select("mean", at(0.025).alias("low"), at(0.975).alias("high"))
+    i = statistics.replicate_interval(statistics.replicate_means(runs, "doc_id", ["a"], 200), "a", 200)
+    return runs.agg(F.round(F.avg("a"), 6).alias("mean")).crossJoin(F.broadcast(i)).select("mean", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"WITH {_RUNS}, m AS (SELECT r.replicate, avg(y.b - y.a) AS mean FROM range(0, 200) r(replicate) CROSS JOIN runs x JOIN runs y ON y.i = {_PICK} GROUP BY r.replicate) SELECT (SELECT round(avg(b - a), 6) FROM runs) AS difference, round(avg(CASE WHEN round(mean, 9) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p_not_better FROM m")
+@query(f"WITH {_RUNS}, {_MEANS} SELECT (SELECT round(avg(b - a), 6) FROM runs) AS difference, {_CUT.format('d')}, round(avg(CASE WHEN round(d, 9) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p_not_better FROM m")
 def paired_bootstrap(spark, sf_dir):
-    runs = _runs(spark, sf_dir).withColumn("d", F.col("b") - F.col("a"))
-    p = statistics.replicate_means(runs.select("i", "d"), "i", "d", 200).agg(F.round(F.avg(F.when(F.round("mean", 9) <= 0, 1.0).otherwise(0.0)), 6).alias("p_not_better"))
-    return runs.agg(F.round(F.avg("d"), 6).alias("difference")).crossJoin(F.broadcast(p))
+    """The difference of two runs over the same rows, its interval, and the share of replicates in which it is not over 0."""
+    runs = _runs(spark, sf_dir)
+    i = statistics.replicate_interval(statistics.replicate_means(runs, "doc_id", ["d"], 200), "d", 200)
+    return runs.agg(F.round(F.avg("d"), 6).alias("difference")).crossJoin(F.broadcast(i)).select("difference", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("not_over", 6).alias("p_not_better"))
 
 
 @query(None)

@@ -286,6 +286,17 @@ def source_append(spark, sf_dir):
     return readers.read_json_lines(spark, path, "doc_id long, lang string").groupBy("lang").agg(F.count("*").alias("rows"))
 
 
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def source_stream(spark, sf_dir):
+    """Events streamed to day files, a restart that finds nothing new, and its batch once more: every event is there once."""
+    folder, events = scratch(spark, "stream"), table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "ts", "event_type", "value")
+    for _ in range(2):
+        readers.stream_day_files(stream, f"{folder}/days", f"{folder}/checkpoint")
+    readers.write_batch(f"{folder}/days", "ts", events.select("event_id", "ts", "event_type", "value"), 0)  # one file is one batch
+    return readers.read_day_files(spark, f"{folder}/days", "event_id long, event_type string, value double").groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 BUDGETS = Fixture("run_id long, seq int, size long, usd double, repeated boolean", [
     (1, 1, 10, 0.1, False), (1, 2, 10, 0.1, True), (1, 3, 99, 0.9, True), (2, 1, 10, 0.1, False), (2, 2, 10, 0.1, False), (2, 3, 10, 0.1, False), (2, 4, 10, 0.1, False), (3, 1, 60, 0.1, False), (3, 2, 60, 0.9, False), (4, 1, 5, 0.6, False), (4, 2, 5, 0.4, False), (5, 1, 1, 0.0, False),
 ])

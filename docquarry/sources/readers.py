@@ -28,6 +28,22 @@ def read_traces(spark: SparkSession, folder: str, name: str | None = None) -> Da
     return t if name is None else t.where(F.col("name") == name)
 
 
+def write_batch(folder: str, day: str, batch: DataFrame, number: int) -> None:
+    """One micro-batch as JSON lines by day, in a place of its own: a batch that comes again replaces what it wrote before."""
+    batch.withColumn("day", F.to_date(day)).write.mode("overwrite").partitionBy("day").json(f"{folder}/batch={number}")
+
+
+def stream_day_files(events: DataFrame, folder: str, checkpoint: str, day: str = "ts") -> None:
+    """All that a stream has now, as day files. A restart goes on from the checkpoint; a batch whose commit was lost is written again without a second copy."""
+    query = events.writeStream.foreachBatch(lambda batch, number: write_batch(folder, day, batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_day_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all batches, with the batch and the day; only the days asked for are read."""
+    return spark.read.schema(f"{schema}, batch int, day date").json(folder)
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
