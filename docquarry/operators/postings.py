@@ -15,7 +15,7 @@ query and passes over the queries to which a block's maxima leave no chance.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import tokens
 from docquarry.operators.blocks import Best, arrow_type, in_blocks
 from docquarry.operators.sparse import B, K1, QUERIES_AT_A_TIME, Statistics, asked_terms, elsewhere, lengths_of, parents, top
+from docquarry.session import union
 
 #: A power of two: documents of a block.
 BLOCK_BITS = 11
@@ -114,11 +115,11 @@ class Postings:
         df = dict(zip(found["term"].to_pylist(), found["df"].to_pylist()))
         return Statistics(self.n, self.mean, words, np.array([df.get(w, 0) for w in words], np.int64))
 
-    def search(self, terms: DataFrame, k: int = 10, where: Column | None = None, group: str | None = None, value: Column | None = None, patterns: bool = False) -> DataFrame:
+    def search(self, terms: DataFrame, k: int = 10, where: Column | None = None, group: str | None = None, value: Column | None = None, patterns: bool = False, known: Callable[[list[str]], Statistics] | None = None) -> DataFrame:
         """qid, doc_id, score, rank of the k best documents of each query (qid, term), with `group` of each query and value; see sparse.search.
 
         value: what the group is, if it is no column of the documents. patterns: values are JSON arrays, in which a
-        query's null stands for any value.
+        query's null stands for any value. known: statistics of terms, if others than this index's own count.
         """
         key, key_type, qid_type = self.docs.schema["doc_id"].dataType.simpleString(), arrow_type(self.docs, "doc_id"), arrow_type(terms, "qid")
         own_group = group is not None and group in terms.columns
@@ -136,7 +137,7 @@ class Postings:
             queries = np.repeat(np.arange(len(ids)), [len(r[1]) for r in block])
             codes = np.array([index[w] for r in block for w in r[1]], np.int64)
             order = np.argsort(codes, kind="stable")
-            stats = self.statistics(words)
+            stats = (known or self.statistics)(words)
             shared = self.spark.sparkContext.broadcast((ids, words, stats.idf, stats.mean or 1.0, queries[order], np.searchsorted(codes[order], np.arange(len(words) + 1)), [r[2] for r in block] if own_group else None))
             asked = self.of_terms(self.postings, words)
             none = {"ids": f"array<{key}>", "lengths": "array<int>", "owns": "array<string>"}
@@ -170,6 +171,28 @@ class Postings:
         return top(found if found is not None else self.spark.createDataFrame([], schema), k, by=("qid", group) if each_value else ("qid",))
 
 
+class Overlay:
+    """Several stored indexes searched as one: a few documents beside a corpus, say, without writing the corpus again. Scores are those that one index of all documents would give; ids are unique over all."""
+
+    def __init__(self, *parts: Postings):
+        self.spark, self.parts = parts[0].spark, parts
+
+    @property
+    def docs(self) -> DataFrame:
+        names = [c for c in self.parts[0].docs.columns if all(c in p.docs.columns for p in self.parts)]
+        return union(*(p.docs.select(names) for p in self.parts))
+
+    def statistics(self, words: list[str]) -> Statistics:
+        """Sums over the parts."""
+        each = [p.statistics(words) for p in self.parts]
+        n = sum(s.n for s in each)
+        return Statistics(n, sum(s.n * s.mean for s in each) / n if n else 0.0, words, sum(s.df for s in each))
+
+    def search(self, terms: DataFrame, k: int = 10, where: Column | None = None, group: str | None = None, value: Column | None = None, patterns: bool = False) -> DataFrame:
+        found = union(*(p.search(terms, k, where, group, value, patterns, self.statistics).drop("rank") for p in self.parts))
+        return top(found, k, by=("qid", group) if group in found.columns else ("qid",))
+
+
 def _listed(docs: DataFrame, group: str | None = None) -> DataFrame:
     """block, places, ids, lengths (and the group's values) of documents by block; a list has BLOCK_DOCS entries at most."""
     own = [F.col(group).cast("string").alias("own")] if group else []

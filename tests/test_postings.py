@@ -123,3 +123,16 @@ def test_blocks_without_a_chance_are_passed_over():
 def test_empty(spark, tmp_path):
     index = ps.Postings.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"))
     assert index.search(asked(spark, QUERIES), 3).collect() == []
+
+
+def test_an_overlay_is_one_index_of_all(spark, tmp_path):
+    docs = spark.createDataFrame([r for r in ROWS if r[0] != 5], "doc_id long, text string, lang string")
+    whole = ps.Postings.write(docs, str(tmp_path / "whole"), keep=("lang",))
+    few = F.coalesce(F.col("doc_id"), F.lit(0)).isin(1, 3, 8)
+    both = ps.Overlay(ps.Postings.write(docs.where(~few), str(tmp_path / "a"), keep=("lang",)), ps.Postings.write(docs.where(few), str(tmp_path / "b"), keep=("lang",), buckets=2))
+    rows = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "score", "rank").collect()))
+    terms = asked(spark, QUERIES)
+    assert rows(both.search(terms, 3)) == rows(whole.search(terms, 3)) and both.docs.count() == whole.docs.count()
+    assert rows(both.search(terms, 2, where=F.col("lang") == "x")) == rows(whole.search(terms, 2, where=F.col("lang") == "x"))
+    assert rows(both.search(terms, 2, group="lang")) == rows(whole.search(terms, 2, group="lang"))
+    assert rows(sparse.search(both, terms, 3)) == rows(whole.search(terms, 3))
