@@ -231,7 +231,7 @@ def find(index: Index, text: str, threshold: float, overlap: float) -> dict[int,
     tokens = words(text)
     get = index.terms.get
     ids = np.array([get(w, 0) for w in tokens], np.int64)
-    half = max(32, index.longest + room_of(index.longest))
+    half = max(32, index.longest + index.longest // 8)
     best: dict[int, tuple[float, float, float]] = {}
     for h in _halves_over(index, ids, half, threshold):
         at, to = int(h) * half, min(len(ids), (int(h) + 2) * half)
@@ -255,10 +255,12 @@ def _alignments(ids: np.ndarray, start: int, stop: int, q: list[int], a: list[in
     length = len(q) + len(a)
     room = room_of(length)
     size = length + 2 * room
-    begins = np.arange(max(0, (start - size) // room + 1) * room, stop, room)
-    within = np.concatenate(([0], np.cumsum(np.isin(ids, q + a))))
+    first = max(0, (start - size) // room + 1) * room
+    begins = np.arange(first, stop, room)
+    there = np.concatenate(([0], np.cumsum(np.isin(ids[first : stop + size], q + a))))
+    ends = np.minimum(begins - first + size, len(there) - 1)
     least = max(ceil(overlap * len(x) - 1e-9) for x in (q, a))
-    for at in begins[within[np.minimum(begins + size, len(ids))] - within[begins] >= least].tolist():
+    for at in begins[there[ends] - there[np.minimum(begins - first, len(there) - 1)] >= least].tolist():
         near = ids[at : at + size].tolist()
         q_part = longest_common(q, near) / len(q) if q else 1.0
         if q_part >= overlap:
@@ -342,8 +344,8 @@ def _shared(benchmark: DataFrame, index_words: int) -> Iterator[list]:
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row for each document and test item found in it.
 
-    benchmark has item_id and text, or question and answer. Passages are twice as long as the longest copy of an item
-    of their class of length and half overlap, so each such run of words lies in one whole. Null texts and items without words
+    benchmark has item_id and text, or question and answer. Passages are twice as long as the longest item (and an eighth more)
+    of their class of length and half overlap, so each run of so many words lies in one whole. Null texts and items without words
     match nothing; a null id of either side is returned as null; repeated documents are searched each; repeated
     items are reported each. A score equal to the threshold counts. Texts of any length are searched whole, and
     other columns do not matter, whatever their names. Empty tables give no rows. A broadcast holds the test items
