@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docquarry.operators.blocks import bounded
+
 # Marks around tables, lines that are page furniture, section headings.
 TABLE_START, TABLE_END = "⟦TABLE⟧", "⟦/TABLE⟧"
 NOISE = r"(?i)^(?:\d{1,3}|table of contents|part\s+i{1,3}v?|item\s+\d{1,2}[a-c]?|[_\-=]{3,}|[^|]{2,60}\|\s*\d{4}\s+form\s+10-k\s*\|\s*\d{1,3})$"
@@ -85,8 +87,8 @@ def page_text(page: str, mark_tables: bool = False) -> str:
 
 def pages_to_text(pages: DataFrame, key: str = "page_id", page: str = "html", mark_tables: bool = False) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_text(x or "", mark_tables) for x in batch.column(1).to_pylist()])], [key, "text"])
+        for batch in bounded(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_text(x or "", mark_tables) for x in batch.column(1).to_pylist()], pa.string())], [key, "text"])
 
     return pages.select(key, page).mapInArrow(of, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
 
