@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators.blocks import arrow_type, in_blocks
+from docquarry.operators.blocks import arrow_type, bounded, in_blocks
 
 #: Characters and texts of a part. An automaton takes some 30 bytes for each character at most.
 PART_CHARACTERS, PART_TEXTS = 4_000_000, 50_000
@@ -64,7 +64,7 @@ def containing(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text:
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton, everywhere = _automaton(number, shared.value)
-            for batch in batches:
+            for batch in bounded(batches):
                 qids, keys = [], []
                 for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found = {id(x): x for _, x in automaton.iter(body)} if automaton else {}

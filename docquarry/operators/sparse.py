@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions.text import tokens
-from docquarry.operators.blocks import Best, arrow_type, in_blocks
+from docquarry.operators.blocks import Best, arrow_type, bounded, in_blocks
 
 K1, B = 1.5, 0.75
 #: Queries that are sent to every worker at a time; more are searched block by block.
@@ -65,7 +65,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             df, cf = zip(*seen.values()) if seen else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(df, pa.int64()), pa.array(cf, pa.int64())], ["term", "df", "cf"])
 
-        for batch in batches:
+        for batch in bounded(batches):
             toks = batch.column(0)
             coded, row = toks.flatten().dictionary_encode(), parents(toks)
             code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()

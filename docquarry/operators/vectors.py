@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators.blocks import Best, arrow_type, in_blocks
+from docquarry.operators.blocks import Best, arrow_type, bounded, in_blocks
 from docquarry.operators.sparse import parents, top
 
 #: Query vectors that are sent to every worker at a time; more are searched block by block.
 QUERIES_AT_A_TIME = 4096
 #: Scores (queries times rows) that a worker holds at a time.
-SCORES_AT_A_TIME = 1 << 22
+SCORES_AT_A_TIME = 1 << 20
 #: Vectors that cells are fitted on, at most: those with the smallest hashes of their keys.
 SAMPLE = 20_000
 CELLS = 32
@@ -51,7 +51,7 @@ def embed(texts: DataFrame, key: str, toks: str, out: str, dims: int = 64) -> Da
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str, int] = {}
-        for batch in batches:
+        for batch in bounded(batches):
             lists = batch.column(1)
             coded = lists.flatten().dictionary_encode()
             if len(places) > 200_000:
