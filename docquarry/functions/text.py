@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +59,35 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
+_TOKEN, _STOP = re.compile(TOKEN), frozenset(STOP_WORDS)
+
+
+def joined_tokens(texts: pa.Array) -> pa.Array:
+    """The index tokens of each text, with a space between; the same as `tokens`, several times faster for whole documents."""
+
+    def of(text: str) -> str:
+        found = _TOKEN.findall(text.lower().replace("’", "'"))
+        return " ".join([w for t in found if (w := t[:-2] if t.endswith("'s") else t) not in _STOP])
+
+    return pa.array([None if t is None else of(t.decode("utf-8", "replace")) for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
+def split_tokens(joined: pa.Array) -> pa.Array:
+    """The lists of joined tokens."""
+    lists = pc.split_pattern(joined, " ")
+    none = pc.fill_null(pc.equal(joined, ""), True)
+    if not pc.any(none).as_py():
+        return lists
+    # Not by pc.if_else, which takes wrong bytes from slices (Arrow 23).
+    flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) * ~none.to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat.filter(pc.not_equal(flat, "")))
+
+
+def apart(c: Column) -> Column:
+    """The tokens of a joined column."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+
+
 def question_words(c: Column) -> Column:
     return F.array_except(F.array_distinct(all_matches(F.lower(c), "[a-z0-9]{3,}")), strings(QUESTION_STOP_WORDS))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.blocks import arrow_type, in_blocks
+from docquarry.operators.blocks import arrow_type, in_arrow, in_blocks
 from docquarry.operators.sparse import top
 from docquarry.operators.vectors import QUERIES_AT_A_TIME, _matrix
 
@@ -213,7 +213,7 @@ class Navigable:
                             out[3] += [None] * len(rows) + [int(w.computed[i])]
                 return pa.RecordBatch.from_arrays([pa.array(out[0], qid_type), pa.array(out[1], key_type), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["qid", "key", "score", "computed"])
 
-            return self.shards.mapInArrow(of, schema)
+            return in_arrow(self.shards, of, schema)
 
         asked = queries.where("qvec IS NOT NULL").select("qid", "qvec", *own).orderBy("qid").toLocalIterator()
         found = in_blocks(map(tuple, asked), QUERIES_AT_A_TIME, of_block)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.operators.blocks import bounded
+from docquarry.operators.blocks import bounded, in_arrow
 
 # Marks around tables, lines that are page furniture, section headings.
 TABLE_START, TABLE_END = "⟦TABLE⟧", "⟦/TABLE⟧"
@@ -90,7 +90,7 @@ def pages_to_text(pages: DataFrame, key: str = "page_id", page: str = "html", ma
         for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_text(x or "", mark_tables) for x in batch.column(1).to_pylist()], pa.string())], [key, "text"])
 
-    return pages.select(key, page).mapInArrow(of, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
+    return in_arrow(pages.select(key, page), of, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
 
 
 def drop_noise_lines(text: Column) -> Column:

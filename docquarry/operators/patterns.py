@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators.blocks import arrow_type, bounded, in_blocks
+from docquarry.operators.blocks import arrow_type, bounded, in_arrow, in_blocks
 
 #: Characters and texts of a part. An automaton takes some 30 bytes for each character at most.
 PART_CHARACTERS, PART_TEXTS = 4_000_000, 50_000
@@ -73,7 +73,7 @@ def containing(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text:
                     keys += [k] * len(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(qids, qid_type), pa.array(keys, key_type)], ["qid", key])
 
-        return source.mapInArrow(of, schema)
+        return in_arrow(source, of, schema)
 
     rows = map(tuple, patterns.where(F.col(pattern).isNotNull()).select("qid", pattern).toLocalIterator())
     found = in_blocks(_parts(rows), 1, of_part)

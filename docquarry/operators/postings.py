@@ -2,10 +2,10 @@
 
 Documents are numbered as they are written; those of one block, at most BLOCK_DOCS, have neighbouring numbers.
 
-* `docs`: doc_id, toks and kept columns of each document, with its block and its place there, and its length.
+* `docs`: doc_id, tokens (as one string, read as the array toks) and kept columns of each document, with its block and its place there, and its length.
 * `blocks`: the places, ids and lengths of each block.
-* `postings`, partitioned by a hash of the term: for each term and block the gaps between its documents' places, how often
-  each has it, and the block's maxima (most occurrences, shortest document). A term of all documents is thus many rows.
+* `postings`, partitioned by a hash of the term: for each term and block the gaps between its documents' places and how often
+  each has it (both packed, as rows of arrays cost Spark several times more), their sums, and the block's maxima (most occurrences, shortest document). A term of all documents is thus many rows.
 * `terms`, partitioned alike: in how many documents a term is, and how often; and `size`, the corpus's number and mean length.
 
 A search reads the partitions of its terms only. A block's postings meet in one task, which keeps its best rows of each
@@ -22,9 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from docquarry.functions.text import tokens
-from docquarry.operators.blocks import Best, arrow_type, in_blocks
+from docquarry.functions.text import apart, joined_tokens, split_tokens
+from docquarry.operators.blocks import Best, arrow_type, bounded, in_arrow, in_blocks
 from docquarry.operators.sparse import B, K1, Statistics, asked_terms, elsewhere, lengths_of, parents, top
 from docquarry.session import union
 
@@ -43,7 +44,11 @@ SCORES_AT_A_TIME = 1 << 21
 DENSE_PART, DENSE_CELLS = 16, 1 << 22
 #: Contributions (postings times queries that ask for their term) that a worker adds up at a time.
 ADDED_AT_A_TIME = 1 << 22
-_POSTINGS = "bucket int, term string, block long, gaps array<int>, tfs array<int>, max_tf int, min_length int"
+#: Gaps are below BLOCK_DOCS, counts may be of any size.
+GAP, COUNT = np.dtype("<u2"), np.dtype("<i4")
+#: Bytes of documents of a block that a worker inverts at a time; a block with more has several rows for a term.
+INVERTED_AT_A_TIME = 16 << 20
+_POSTINGS = "bucket int, term string, block long, df long, cf long, gaps binary, tfs binary, max_tf int, min_length int"
 _TERMS = "bucket int, term string, df long, cf long"
 
 
@@ -51,35 +56,82 @@ def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % buckets
 
 
+@F.arrow_udf(returnType=StringType())
+def _joined(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([joined_tokens(part.column(0)) for part in bounded(iter([pa.record_batch([texts], ["text"])]))])
+
+
+def _packed(values: np.ndarray, at: np.ndarray, kind: np.dtype) -> pa.Array:
+    """One binary value for each stretch of the values."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * kind.itemsize).astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> pa.Array:
+    """The lists that binary values hold; no value is an empty list."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // kind.itemsize
+    whole = np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(whole))
+
+
 def _inverted(docs: DataFrame, buckets: int) -> DataFrame:
-    """The postings of documents (block, place, length, toks); a block read by two tasks has two rows for a term."""
+    """The postings of documents (block, place, length, words); a block read by two tasks, or a large one, has several rows for a term."""
+
+    def invert(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(held).combine_chunks()
+        toks = split_tokens(part["words"].combine_chunks())
+        coded = toks.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if not words:
+            return
+        rows, places, lengths = part.num_rows, part["place"].to_numpy(), part["length"].to_numpy()
+        order = np.argsort(places, kind="stable")
+        rank = np.argsort(order)
+        cell, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * rows + rank[parents(toks)], return_counts=True)
+        code, row = cell // rows, order[cell % rows]
+        place, length = places[row], lengths[row]
+        first = np.searchsorted(code, np.arange(len(words)))
+        gaps = np.diff(place, prepend=0)
+        gaps[first] = place[first]
+        at = np.append(first, len(code))
+        columns = [pa.array([bucket_of(w, buckets) for w in words], pa.int32()), coded.dictionary, pa.array(np.full(len(words), part["block"][0].as_py()))]
+        columns += [pa.array(np.diff(at)), pa.array(np.add.reduceat(tf, first)), _packed(gaps, at, GAP), _packed(tf, at, COUNT)]
+        columns += [pa.array(f.reduceat(x, first).astype(np.int32)) for f, x in ((np.maximum, tf), (np.minimum, length))]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "term", "block", "df", "cf", "gaps", "tfs", "max_tf", "min_length"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current, size = [], None, 0
         for batch in batches:
             blocks = batch.column(0).to_numpy()
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]))
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                part = batch.slice(a, b - a)
-                toks = part.column(3)
-                coded = toks.flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                if not words:
-                    continue
-                order = np.argsort(part.column(1).to_numpy(), kind="stable")
-                rank = np.argsort(order)
-                cell, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (b - a) + rank[parents(toks)], return_counts=True)
-                code, row = cell // (b - a), order[cell % (b - a)]
-                place, length = part.column(1).to_numpy()[row], part.column(2).to_numpy()[row]
-                first = np.searchsorted(code, np.arange(len(words)))
-                gaps = np.diff(place, prepend=0)
-                gaps[first] = place[first]
-                at = pa.array(np.append(first, len(code)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (gaps, tf)]
-                columns = [pa.array([bucket_of(w, buckets) for w in words], pa.int32()), pa.array(words, pa.string()), pa.array(np.full(len(words), blocks[a])), *lists]
-                columns += [pa.array(f.reduceat(x, first).astype(np.int32)) for f, x in ((np.maximum, tf), (np.minimum, length))]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "term", "block", "gaps", "tfs", "max_tf", "min_length"])
-
-    return docs.select("block", "place", "length", "toks").mapInArrow(of, _POSTINGS)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)])).tolist() if len(blocks) else [0]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if held and (blocks[a] != current or size > INVERTED_AT_A_TIME):
+                    yield from invert(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                current, size = blocks[a], size + held[-1].nbytes
+        if held:
+            yield from invert(held)
+
+    return in_arrow(docs.select("block", "place", "length", "words"), of, _POSTINGS)
+
+
+def _count(words: Column) -> Column:
+    """How many joined tokens there are; none for a null."""
+    spaces = F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit("")))
+    return F.when(F.coalesce(words, F.lit("")) == "", F.lit(0)).otherwise(spaces + 1).cast("int")
+
+
+def _lists(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of postings and heads of blocks, in which gaps and counts are lists again, and the gaps of a head its places."""
+    names = batch.schema.names
+    column = {c: batch.column(i) for i, c in enumerate(names)}
+    places, gaps, n = column["places"], _unpacked(column["gaps"], GAP), batch.num_rows
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths_of(places)))).astype(np.int32)), places.flatten())
+    post = column["kind"].to_numpy()
+    column["gaps"] = pa.concat_arrays([places, gaps]).take(pa.array(np.arange(n) + n * post))
+    column["tfs"] = _unpacked(column["tfs"], COUNT)
+    kept = [c for c in names if c != "places"]
+    return pa.RecordBatch.from_arrays([column[c] for c in kept], kept)
 
 
 class Postings:
@@ -87,7 +139,7 @@ class Postings:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.docs, self.blocks = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/blocks")
+        self.docs, self.blocks = spark.read.parquet(f"{path}/docs").withColumn("toks", apart(F.col("words"))), spark.read.parquet(f"{path}/blocks")
         self.postings, self.terms = spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.schema(_TERMS).parquet(f"{path}/terms")
         self.n, self.mean, self.buckets = spark.read.parquet(f"{path}/size").first()
 
@@ -95,15 +147,14 @@ class Postings:
     def write(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple = (), buckets: int = BUCKETS) -> Postings:
         """Index documents. Rows without a key are left out, a null text has no tokens; a repeated key is indexed as often as it comes."""
         spark = docs.sparkSession
-        numbered = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("toks"), *keep, F.monotonically_increasing_id().alias("_n"))
+        numbered = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), _joined(F.col(text)).alias("words"), *keep, F.monotonically_increasing_id().alias("_n"))
         place = F.col("_n").bitwiseAND(BLOCK_DOCS - 1).cast("int")
-        numbered.withColumns({"block": F.shiftright("_n", BLOCK_BITS), "place": place, "length": F.greatest(F.size("toks"), F.lit(0))}).drop("_n").write.mode("overwrite").parquet(f"{path}/docs")
+        numbered.withColumns({"block": F.shiftright("_n", BLOCK_BITS), "place": place, "length": _count(F.col("words"))}).drop("_n").write.mode("overwrite").parquet(f"{path}/docs")
         read = spark.read.parquet(f"{path}/docs")
         _listed(read).write.mode("overwrite").parquet(f"{path}/blocks")
         dealt = _inverted(read, buckets).repartition("bucket", F.pmod("block", F.lit(PARTS))).sortWithinPartitions("bucket", "term", "block")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        counted = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").select("bucket", "term", F.size("gaps").cast("long").alias("df"), F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x).alias("cf"))
-        counted.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        spark.read.schema(_POSTINGS).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         read.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).select("n", "mean", F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/size")
         return cls(spark, path)
 
@@ -134,7 +185,7 @@ class Postings:
         docs = self.docs if value is None else self.docs.withColumn(group, value)
         listed = self.blocks if where is None and group is None else _listed(docs if where is None else docs.where(where), group)
         listed = listed if "owns" in listed.columns else listed.withColumn("owns", F.lit(None).cast("array<string>"))
-        fields = ["block", "kind", "term", "gaps", "tfs", "max_tf", "min_length", "ids", "lengths", "owns"]
+        fields = ["block", "kind", "term", "places", "gaps", "tfs", "max_tf", "min_length", "ids", "lengths", "owns"]
 
         def of_block(block: list) -> DataFrame:
             ids = [r[0] for r in block]
@@ -146,12 +197,13 @@ class Postings:
             stats = (known or self.statistics)(words)
             shared = self.spark.sparkContext.broadcast((ids, words, stats.idf, stats.mean or 1.0, queries[order], np.searchsorted(codes[order], np.arange(len(words) + 1)), [r[2] for r in block] if own_group else None))
             asked = self.of_terms(self.postings, words)
-            none = {"ids": f"array<{key}>", "lengths": "array<int>", "owns": "array<string>"}
-            some = {"term": "string", "max_tf": "int", "min_length": "int"}
+            none = {"places": "array<int>", "ids": f"array<{key}>", "lengths": "array<int>", "owns": "array<string>"}
+            some = {"term": "string", "gaps": "binary", "tfs": "binary", "max_tf": "int", "min_length": "int"}
             postings = asked.select(F.lit(1).alias("kind"), "*").withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).select(fields)
-            heads = listed.select("block", F.lit(0).alias("kind"), F.col("places").alias("gaps"), F.lit(None).cast("array<int>").alias("tfs"), "ids", "lengths", "owns").withColumns({c: F.lit(None).cast(t) for c, t in some.items()}).select(fields)
+            heads = listed.select("block", F.lit(0).alias("kind"), "places", "ids", "lengths", "owns").withColumns({c: F.lit(None).cast(t) for c, t in some.items()}).select(fields)
 
             def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                batches = map(_lists, batches)
                 ids, words, weight, mean, who, start, mine = shared.value
                 scorer = _Scorer(len(ids), k, pa.array(words, pa.string()), weight, mean, who, start, each_value, mine, patterns)
                 held: list[pa.RecordBatch] = []
@@ -171,7 +223,7 @@ class Postings:
                         yield pa.RecordBatch.from_arrays(columns, ["qid", "doc_id", "score", *([group] if each_value else [])])
 
             self.spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-            return heads.unionAll(postings).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(of, schema)
+            return in_arrow(heads.unionAll(postings).repartition("block").sortWithinPartitions("block", "kind"), of, schema)
 
         found = in_blocks(asked_terms(terms, group if own_group else None), QUERIES_AT_A_TIME, of_block)
         return top(found if found is not None else self.spark.createDataFrame([], schema), k, by=("qid", group) if each_value else ("qid",))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.blocks import Best, arrow_type, in_blocks
+from docquarry.operators.blocks import Best, arrow_type, in_arrow, in_blocks
 from docquarry.operators.sparse import top
 from docquarry.operators.vectors import SAMPLE, SCORES_AT_A_TIME, _matrix, dot
 from docquarry.session import checkpointed, few
@@ -104,7 +104,7 @@ class Quantized:
                 if best.key is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in best.query], qid_type), pa.array(best.key, key_type), pa.array(best.score)], ["qid", "key", "score"])
 
-            return self.codes.select("key", "code", "own").mapInArrow(of, schema)
+            return in_arrow(self.codes.select("key", "code", "own"), of, schema)
 
         asked = queries.where("qvec IS NOT NULL").select("qid", "qvec", *own).orderBy("qid").toLocalIterator()
         found = in_blocks(map(tuple, asked), QUERIES_AT_A_TIME, of_block)

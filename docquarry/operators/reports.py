@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import pii
 from docquarry.functions import text as T
+from docquarry.operators.blocks import in_arrow
 from docquarry.operators.telemetry import upper_median
 
 #: Characters of an exported attribute.
@@ -56,7 +57,7 @@ def export_attributes(df: DataFrame, key: str, names: dict[str, str] | None = No
             values = [pii.redact(v)[0][:MOST_CHARACTERS] if said else v for v, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.string())], [key, "name", "value"])
 
-    return rows.mapInArrow(of, f"{key} {df.schema[key].dataType.simpleString()}, name string, value string")
+    return in_arrow(rows, of, f"{key} {df.schema[key].dataType.simpleString()}, name string, value string")
 
 
 def threshold_sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:

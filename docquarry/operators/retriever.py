@@ -22,10 +22,16 @@ def embed_questions(questions: DataFrame) -> DataFrame:
     return vectors.embed(questions.select("qid", tokens(F.col("question")).alias("t")), "qid", "t", "qvec")
 
 
-def lists(index: DataFrame, embedded: DataFrame, questions: DataFrame, pool: int = POOL, where: Column | None = None, embedder: Callable[[DataFrame], DataFrame] = embed_questions) -> tuple[DataFrame, str | None]:
+def _own_tokens(docs: DataFrame) -> Column:
+    """The tokens of an index's documents as one string, none for a null text."""
+    return F.coalesce(F.col("words") if "words" in docs.columns else F.array_join("toks", " "), F.lit(""))
+
+
+def lists(index: DataFrame, embedded: DataFrame | None, questions: DataFrame, pool: int = POOL, where: Column | None = None, embedder: Callable[[DataFrame], DataFrame] = embed_questions) -> tuple[DataFrame, str | None]:
     """list (bm25, dense), qid, doc_id, score, rank; and why the dense side is missing, if it is.
 
-    index and embedded (doc_id, embedding) are of the same documents; the filter is on columns of the index. An
+    index and embedded (doc_id, embedding) are of the same documents; the filter is on columns of the index. Without
+    embedded the search embeds the index's tokens as it reads them, so that no vectors are joined with a filter. An
     embedder that fails costs the dense list only: the search goes on without it and says so.
     """
     sparse_list = sparse.search(index, sparse.query_terms(questions), pool, where).withColumn("list", F.lit("bm25"))
@@ -33,7 +39,9 @@ def lists(index: DataFrame, embedded: DataFrame, questions: DataFrame, pool: int
         asked = embedder(questions)
     except Exception as e:  # whatever a remote embedder raises, and nothing else
         return sparse_list, f"dense retrieval failed: {type(e).__name__}"
-    inside = embedded if where is None else embedded.join(sparse.documents_of(index).where(where).select("doc_id"), "doc_id", "left_semi")
+    docs = sparse.documents_of(index)
+    inside = docs if where is None else docs.where(where)
+    inside = inside.select("doc_id", _own_tokens(docs).alias("embedding")) if embedded is None else embedded if where is None else embedded.join(inside.select("doc_id"), "doc_id", "left_semi")
     dense_list = vectors.exact_search(inside, asked, pool, key="doc_id").withColumn("list", F.lit("dense"))
     return union(sparse_list, dense_list), None
 
@@ -45,7 +53,7 @@ def fused(found: DataFrame, pool: int = POOL) -> DataFrame:
     return sparse.top(scored, pool, "rrf_score").withColumnRenamed("rank", "fused_rank")
 
 
-def retrieve(index: DataFrame, embedded: DataFrame, questions: DataFrame, k: int = 5, pool: int = POOL, where: Column | None = None, reranked: bool = True, embedder: Callable[[DataFrame], DataFrame] = embed_questions) -> DataFrame:
+def retrieve(index: DataFrame, embedded: DataFrame | None, questions: DataFrame, k: int = 5, pool: int = POOL, where: Column | None = None, reranked: bool = True, embedder: Callable[[DataFrame], DataFrame] = embed_questions) -> DataFrame:
     """qid, doc_id, bm25_rank, dense_rank, rrf_score, fused_rank, rerank_score, rank, degraded: the k passages of each question (qid, question)."""
     found, degraded = lists(index, embedded, questions, pool, where, embedder)
     cut = fused(found, pool)
@@ -56,7 +64,7 @@ def retrieve(index: DataFrame, embedded: DataFrame, questions: DataFrame, k: int
     return best.withColumn("degraded", F.lit(degraded).cast("string"))
 
 
-def retrieve_variants(index: DataFrame, embedded: DataFrame, variants: DataFrame, questions: DataFrame, k: int = 5, pool: int = POOL, where: Column | None = None) -> DataFrame:
+def retrieve_variants(index: DataFrame, embedded: DataFrame | None, variants: DataFrame, questions: DataFrame, k: int = 5, pool: int = POOL, where: Column | None = None) -> DataFrame:
     """variants: qid, variant, question. Each variant is retrieved without reranking, the fused lists are fused again, and one rerank is against the original question."""
     named = variants.withColumn("whole", F.struct("qid", "variant")).withColumn("n", F.xxhash64("qid", "variant"))
     found, _ = lists(index, embedded, named.select(F.col("n").alias("qid"), "question"), pool, where)
@@ -65,7 +73,7 @@ def retrieve_variants(index: DataFrame, embedded: DataFrame, variants: DataFrame
     return sparse.top(rerank.cross_scores(cut, questions, index), k, "rerank_score")
 
 
-def retrieve_plan(index: DataFrame, embedded: DataFrame, subs: DataFrame, questions: DataFrame, k: int = 6, pool: int = POOL, filters: tuple[str, ...] = ()) -> DataFrame:
+def retrieve_plan(index: DataFrame, embedded: DataFrame | None, subs: DataFrame, questions: DataFrame, k: int = 6, pool: int = POOL, filters: tuple[str, ...] = ()) -> DataFrame:
     """qid, sub, doc_id, rrf_score, rank: for each sub-question max(2, k // n) passages that pass its own filter.
 
     subs: qid, sub, question and the columns of `filters`, each a value of the index's column of that name (null:
@@ -98,7 +106,7 @@ def _filter_value(columns: tuple[str, ...]) -> Column:
     return F.when(~reduce(Column.__or__, [F.col(c).isNull() for c in columns], F.lit(False)), F.to_json(F.array(*(F.col(c).cast("string") for c in columns))))
 
 
-def _filtered_lists(index, embedded: DataFrame, asked: DataFrame, pool: int, columns: tuple[str, ...]) -> DataFrame:
+def _filtered_lists(index, embedded: DataFrame | None, asked: DataFrame, pool: int, columns: tuple[str, ...]) -> DataFrame:
     """Both lists of each question among documents with its own value of FILTER: one search of each kind for all."""
     if not columns:
         return lists(index, embedded, asked.drop(FILTER), pool)[0]
@@ -106,6 +114,6 @@ def _filtered_lists(index, embedded: DataFrame, asked: DataFrame, pool: int, col
     terms = sparse.query_terms(asked).join(asked.select("qid", FILTER), "qid")
     value = _filter_value(columns)
     found = index.search(terms, pool, group=FILTER, value=value) if docs is not index else sparse.search(docs.withColumn(FILTER, value), terms, pool, group=FILTER)
-    inside = embedded.join(docs.select("doc_id", value.alias(FILTER)), "doc_id")
+    inside = docs.select("doc_id", _own_tokens(docs).alias("embedding"), value.alias(FILTER)) if embedded is None else embedded.join(docs.select("doc_id", value.alias(FILTER)), "doc_id")
     dense = vectors.exact_search(inside, embed_questions(asked).join(asked.select("qid", FILTER), "qid"), pool, key="doc_id", group=FILTER)
     return union(found.withColumn("list", F.lit("bm25")), dense.withColumn("list", F.lit("dense")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions.text import tokens
-from docquarry.operators.blocks import Best, arrow_type, bounded, in_blocks
+from docquarry.operators.blocks import Best, arrow_type, bounded, in_arrow, in_blocks
 
 K1, B = 1.5, 0.75
 #: Queries that are sent to every worker at a time; more are searched block by block.
@@ -79,7 +79,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 seen.clear()
         yield out()
 
-    return docs.select(_tokens(docs, text).alias("toks")).mapInArrow(of, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return in_arrow(docs.select(_tokens(docs, text).alias("toks")), of, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -123,7 +123,7 @@ def statistics(docs: DataFrame, terms: list[str], text: str = "text") -> Statist
         there = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((there, [n, n + 1])).astype(np.int64)), pa.array(np.concatenate((df[there], [rows, total])).astype(np.int64))], ["code", "n"])
 
-    found = docs.select(_tokens(docs, text).alias("toks")).mapInArrow(of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found = in_arrow(docs.select(_tokens(docs, text).alias("toks")), of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(n + 2, np.int64)
     counts[found["code"].to_numpy()] = found["n"].to_numpy()
     return Statistics(int(counts[n]), counts[n + 1] / counts[n] if counts[n] else 0.0, terms, counts[:n])
@@ -194,7 +194,7 @@ def search(docs: DataFrame, terms: DataFrame, k: int = 10, where: Column | None
                     columns = [pa.array([ids[q] for q in b.query], qid_type), pa.array(b.key, key_type), pa.array(b.score), *([pa.array([value] * len(b.query), pa.string())] if each_value else [])]
                     yield pa.RecordBatch.from_arrays(columns, ["qid", "doc_id", "score", *([group] if each_value else [])])
 
-        return source.mapInArrow(of, schema)
+        return in_arrow(source, of, schema)
 
     found = in_blocks(asked_terms(terms, group if own_group else None), QUERIES_AT_A_TIME, of_block)
     return top(found if found is not None else spark.createDataFrame([], schema), k, by=("qid", group) if each_value else ("qid",))

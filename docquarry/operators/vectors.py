@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators.blocks import Best, arrow_type, bounded, in_blocks
+from docquarry.functions.text import split_tokens
+from docquarry.operators.blocks import Best, arrow_type, bounded, in_arrow, in_blocks
 from docquarry.operators.sparse import parents, top
 
 #: Query vectors that are sent to every worker at a time; more are searched block by block.
@@ -46,28 +47,34 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
+def _hashed(lists: pa.Array, dims: int, places: dict[str, int]) -> np.ndarray:
+    """The default embedder's vector of each list of tokens; `places` are those that were hashed before."""
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    if len(places) > 200_000:
+        places.clear()
+    for w in words:
+        if w not in places:
+            places[w] = int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dims
+    place = np.array([places[w] for w in words], np.int64)
+    cell = parents(lists) * dims + place[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else np.empty(0, np.int64)
+    found = np.bincount(cell, minlength=len(lists) * dims).reshape(-1, dims).astype(float)
+    length = np.sqrt((found**2).sum(1, keepdims=True))
+    return found / np.where(length > 0, length, 1)
+
+
 def embed(texts: DataFrame, key: str, toks: str, out: str, dims: int = 64) -> DataFrame:
     """key, out: the default embedder, token counts in `dims` hashed places, of unit length (all zero without tokens)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str, int] = {}
         for batch in bounded(batches):
-            lists = batch.column(1)
-            coded = lists.flatten().dictionary_encode()
-            if len(places) > 200_000:
-                places.clear()
-            for w in coded.dictionary.to_pylist():
-                if w not in places:
-                    places[w] = int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dims
-            place = np.array([places[w] for w in coded.dictionary.to_pylist()], np.int64)
-            cell = parents(lists) * dims + place[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else np.empty(0, np.int64)
-            found = np.bincount(cell, minlength=batch.num_rows * dims).reshape(-1, dims).astype(float)
-            length = np.sqrt((found**2).sum(1, keepdims=True))
-            flat = pa.array((found / np.where(length > 0, length, 1)).ravel())
+            found = _hashed(batch.column(1), dims, places)
+            flat = pa.array(found.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, dims, dtype=np.int32)), flat)], [key, out])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, toks).mapInArrow(of, f"{key} {kind}, {out} array<double>")
+    return in_arrow(texts.select(key, toks), of, f"{key} {kind}, {out} array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -76,11 +83,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _search(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str, group: str | None, scorer: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]], earlier: bool) -> DataFrame:
-    """The k best of each query by the scores that scorer(query matrix)(row matrix) gives, -inf for no candidate."""
+    """The k best of each query by the scores that scorer(query matrix)(row matrix) gives, -inf for no candidate. A vector that is a string is joined tokens, which the default embedder reads in the same worker."""
     spark = corpus.sparkSession
     own = [group] if group else []
     source = corpus.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector, *own)
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    joined = kinds[vector] == "string"
     schema, qid_type, key_type = f"qid {queries.schema['qid'].dataType.simpleString()}, {key} {kinds[key]}, score double", arrow_type(queries, "qid"), arrow_type(source, key)
 
     def of_block(block: list) -> DataFrame:
@@ -91,11 +99,13 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str
             scores_of, best, at_a_time = scorer(q), Best(len(ids), k), max(1, SCORES_AT_A_TIME // len(ids))
             number = {g: n for n, g in enumerate(dict.fromkeys(groups))} if group else {}
             mine = np.array([number[g] for g in groups]) if group else None
-            for whole in batches:
+            places: dict[str, int] = {}
+            for whole in bounded(batches):
                 for at in range(0, whole.num_rows, at_a_time):
                     batch = whole.slice(at, at_a_time)
                     keys = batch.column(0).to_numpy(zero_copy_only=False)
-                    scores = np.round(scores_of(_matrix(batch.column(1))), 6)
+                    rows = _hashed(split_tokens(batch.column(1)), q.shape[1], places) if joined else _matrix(batch.column(1))
+                    scores = np.round(scores_of(rows), 6)
                     if group:
                         theirs = np.array([number.get(g, -1) for g in batch.column(2).to_pylist()])
                         scores[mine[:, None] != theirs[None, :]] = -np.inf
@@ -105,7 +115,7 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str
             if best.key is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], qid_type), pa.array(best.key, key_type), pa.array(best.score)], ["qid", key, "score"])
 
-        return source.mapInArrow(of, schema)
+        return in_arrow(source, of, schema)
 
     asked = queries.where("qvec IS NOT NULL").select("qid", "qvec", *own).orderBy("qid").toLocalIterator()
     found = in_blocks(map(tuple, asked), QUERIES_AT_A_TIME, of_block)
@@ -116,7 +126,8 @@ def exact_search(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     """qid, key, score (cosine of unit vectors), rank: the k nearest of every query.
 
     queries: qid, qvec (and the group it may search in). earlier: only rows with a key below the query's own id
-    are candidates. Batches of the corpus are multiplied with the query matrix and only a task's k best for each
+    are candidates. Where vector is a column of joined tokens (text.joined_tokens), the rows are embedded as they are
+    read. Batches of the corpus are multiplied with the query matrix and only a task's k best for each
     query go on, so what is shuffled is k rows a query and task. Rows and queries without a vector match nothing.
     """
     return _search(corpus, queries, k, key, vector, group, lambda q: lambda v: q @ v.T, earlier)

@@ -11,7 +11,7 @@ from docquarry.operators.planning import ADVICE
 from docquarry.operators.postings import Overlay, Postings
 from docquarry.plans.q_guard import _PLANTED, _inj_sql, planted
 from docquarry.plans.q_text import QUESTIONS, tokens_sql
-from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _RERANK_SQL, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked, _vectors
+from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _RERANK_SQL, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked
 from docquarry.plans.registry import Fixture, query, search_postings, table
 from docquarry.session import checkpointed, scratch, union
 
@@ -177,7 +177,7 @@ def naive_answers(spark, sf_dir):
 def fanout_answers(spark, sf_dir):
     """max(2, 5 // 2 + 1) reranked passages for each of two filter values, interleaved, under a floor."""
     index = search_postings(spark, sf_dir)
-    each = [retriever.retrieve(index, _vectors(spark, sf_dir), _questions(spark, sf_dir), max(2, 5 // 2 + 1), where=F.col("lang") == x).withColumn("lang", F.lit(x)) for x in ("de", "en")]
+    each = [retriever.retrieve(index, None, _questions(spark, sf_dir), max(2, 5 // 2 + 1), where=F.col("lang") == x).withColumn("lang", F.lit(x)) for x in ("de", "en")]
     placed = fusion.interleave(union(*each), "lang").select("qid", "doc_id", F.col("position").alias("rank"), "rerank_score")
     return _answer_columns(pipelines.answers(placed, _questions(spark, sf_dir), table(spark, sf_dir, "documents"), floor=-3.0))
 
@@ -190,7 +190,7 @@ def planned_answers(spark, sf_dir):
     going = q.join(advice, "qid", "left_anti")
     index = search_postings(spark, sf_dir)
     subs = going.select("qid", F.lit(0).alias("sub"), "question")
-    planned = retriever.retrieve_plan(index, _vectors(spark, sf_dir), subs, going, 6)
+    planned = retriever.retrieve_plan(index, None, subs, going, 6)
     scored = rerank.cross_scores(planned.select("qid", "doc_id", "rank"), going, index)
     return _answer_columns(pipelines.answers(scored, q, table(spark, sf_dir, "documents"), floor=-3.0, quarantined=True, untrusted=True, refusals=advice))
 

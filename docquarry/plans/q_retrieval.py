@@ -64,9 +64,8 @@ def _bm25_top(spark, sf_dir, k=50, where=None):
 
 
 def _dense_top(spark, sf_dir, k=50):
-    docs = search_index(spark, sf_dir).select("doc_id", F.col("toks").alias("t"))
     qs = _questions(spark, sf_dir).select("qid", T.tokens(F.col("question")).alias("t"))
-    return vectors.exact_search(vectors.embed(docs, "doc_id", "t", "embedding"), vectors.embed(qs, "qid", "t", "qvec"), k, key="doc_id")
+    return vectors.exact_search(_vectors(spark, sf_dir), vectors.embed(qs, "qid", "t", "qvec"), k, key="doc_id")
 
 
 def _both(spark, sf_dir):
@@ -315,9 +314,8 @@ def plan_retrieval(spark, sf_dir):
 @query(f"WITH {_INDEX}, q AS (SELECT item_id AS qid, text || ' ' || text AS question FROM benchmark), {_DENSE} " + _ranked("SELECT qid, doc_id, round(list_dot_product(qvec, vec), 6) AS score FROM qv, dv", 5))
 def hyde_dense(spark, sf_dir):
     """The dense side gets a drafted passage in place of the question; here the item's text twice stands for the draft."""
-    docs = search_index(spark, sf_dir).select("doc_id", F.col("toks").alias("t"))
     draft = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.concat_ws(" ", "text", "text")).alias("t"))
-    return vectors.exact_search(vectors.embed(docs, "doc_id", "t", "embedding"), vectors.embed(draft, "qid", "t", "qvec"), 5, key="doc_id")
+    return vectors.exact_search(_vectors(spark, sf_dir), vectors.embed(draft, "qid", "t", "qvec"), 5, key="doc_id")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, v AS (SELECT qid, doc_id, rank FROM ({_bm25(50)})) SELECT *, 'dense retrieval failed' AS degraded FROM ({_rrf_sql('v', 5)})")
@@ -369,7 +367,8 @@ def depth_sweep(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return vectors.embed(search_index(spark, sf_dir).select("doc_id", F.col("toks").alias("t")), "doc_id", "t", "embedding")
+    """Every document's tokens, which a search embeds as it reads them; a null text has none, and the vector of none."""
+    return search_index(spark, sf_dir).select("doc_id", F.coalesce("words", F.lit("")).alias("embedding"))
 
 
 def _retrieved_sql(where: str, k: int) -> str:
@@ -382,7 +381,7 @@ found AS (SELECT r.*, (SELECT max(rank) FROM hl WHERE hl.list = 'bm25' AND hl.qi
 @query(f"WITH {_INDEX}, {_QUERIES}, {_DENSE}, {_retrieved_sql(chr(39) + 'en' + chr(39) + ' = t.lang', 5)} SELECT qid, doc_id, bm25_rank, dense_rank, rrf_score, fused_rank, rerank_score, rank, CAST(NULL AS VARCHAR) AS degraded FROM found")
 def hybrid_retrieval(spark, sf_dir):
     """Filter, BM25 beside dense, fusion, cut at 50, rerank, five passages, with the rank of every stage."""
-    return retriever.retrieve(search_postings(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, where=F.col("lang") == "en")
+    return retriever.retrieve(search_postings(spark, sf_dir), None, _questions(spark, sf_dir), 5, where=F.col("lang") == "en")
 
 
 @query(f"WITH {_INDEX}, {_QUERIES}, v AS (SELECT qid, doc_id, rank FROM ({_bm25(50)})), f AS ({_rrf_sql('v', 5)}) SELECT qid, doc_id, rank AS bm25_rank, CAST(NULL AS INTEGER) AS dense_rank, rrf_score, rank AS fused_rank, CAST(NULL AS DOUBLE) AS rerank_score, rank, 'dense retrieval failed: ConnectionError' AS degraded FROM f")
@@ -392,21 +391,21 @@ def degraded_retrieval(spark, sf_dir):
     def refuses(_):
         raise ConnectionError("no embedder")
 
-    return retriever.retrieve(search_postings(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), 5, reranked=False, embedder=refuses)
+    return retriever.retrieve(search_postings(spark, sf_dir), None, _questions(spark, sf_dir), 5, reranked=False, embedder=refuses)
 
 
 @query(None)
 def hybrid_variants(spark, sf_dir):
     """Halves of each question beside the whole one, both kinds of search for each, and one rerank against the whole question."""
     named = _variants_text(spark, sf_dir)
-    return retriever.retrieve_variants(search_postings(spark, sf_dir), _vectors(spark, sf_dir), named, _questions(spark, sf_dir), 5)
+    return retriever.retrieve_variants(search_postings(spark, sf_dir), None, named, _questions(spark, sf_dir), 5)
 
 
 @query(None)
 def hybrid_plan(spark, sf_dir):
     """Two sub-questions with a language each: max(2, 6 // 2) passages for each, fused with the original question's."""
     subs = _variants_text(spark, sf_dir).where("variant > 0").select("qid", F.col("variant").alias("sub"), "question", F.when(F.col("variant") == 1, F.lit("en")).otherwise(F.lit("fr")).alias("lang"))
-    return retriever.retrieve_plan(search_postings(spark, sf_dir), _vectors(spark, sf_dir), subs, _questions(spark, sf_dir), 6, filters=("lang",))
+    return retriever.retrieve_plan(search_postings(spark, sf_dir), None, subs, _questions(spark, sf_dir), 6, filters=("lang",))
 
 
 def _variants_text(spark, sf_dir):
