@@ -15,7 +15,7 @@ TEXTS = [None, "", " ", "the of", "John's dog's's it's 'S's", "a-b.c,d'e- f", "
 def test_joined_tokens_are_the_columns_tokens(spark):
     docs = spark.createDataFrame([(t,) for t in TEXTS + ["".join(f"a{chr(c)}b " for c in range(at, at + 4096) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 4096)]], "text string")
     docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("text"))
-    both = docs.select(T.tokens(F.col("text")).alias("a"), T.apart(ps._joined(F.col("text"))).alias("b"), ps._count(ps._joined(F.col("text"))).alias("n"))
+    both = docs.select(T.tokens(F.col("text")).alias("a"), ps._joined(F.col("text")).alias("j")).select("a", T.apart(F.col("j.words")).alias("b"), F.col("j.length").alias("n"))
     assert both.where("NOT (a <=> b) OR greatest(size(a), 0) != n").count() == 0
 
 
@@ -58,3 +58,12 @@ def test_slices_are_split_like_the_whole():
     for at in range(len(joined)):
         some = joined.slice(at, 5)
         assert T.split_tokens(some).to_pylist() in ([(x or "").split() for x in some.to_pylist()], [x.split() if x is not None else None for x in some.to_pylist()])
+
+
+def test_joined_tokens_of_slices():
+    texts = pa.array(["the", "Ab's-c", None, "of it's", "x’s\u212a", ".z.", "", "b"] * 2)
+    whole, number = T.joined_tokens(texts)
+    assert whole.to_pylist()[:8] == ["", "ab's-c", None, "", "x'sk", "z", "", "b"] and number.tolist()[:8] == [0, 1, 0, 0, 1, 1, 0, 1]
+    for at in range(len(texts)):
+        some, n = T.joined_tokens(texts.slice(at, 5))
+        assert some.to_pylist() == whole.to_pylist()[at : at + 5] and n.tolist() == number.tolist()[at : at + 5]
