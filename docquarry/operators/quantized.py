@@ -87,20 +87,23 @@ class Quantized:
 
             def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, tables, wanted = shared.value
-                number = {g: k for k, g in enumerate(dict.fromkeys(x for x in wanted if x is not None))} if wanted else {}
-                mine = np.array([number.get(g, -2) for g in wanted]) if wanted else None
-                best, at_a_time = Best(len(ids), n), max(1, SCORES_AT_A_TIME // len(ids))
+                number = {g: k for k, g in enumerate(dict.fromkeys(x for x in wanted if x is not None))} if wanted else {None: 0}
+                mine = np.array([number.get(g, -2) for g in wanted]) if wanted else np.zeros(len(ids), np.int64)
+                # The queries of each value are compared with its rows only.
+                asking = [(who, tables[:, who]) for who in (np.flatnonzero(mine == g) for g in number.values())]
+                best, at_a_time = Best(len(ids), n), max(1, SCORES_AT_A_TIME // max((len(who) for who, _ in asking), default=1))
                 for whole in batches:
                     for at in range(0, whole.num_rows, at_a_time):
                         batch = whole.slice(at, at_a_time)
                         code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                        scores = np.zeros((len(ids), batch.num_rows))
-                        for part, table in enumerate(tables):
-                            scores += table[:, code[:, part]]
-                        if wanted:
-                            theirs = np.array([number.get(g, -1) for g in batch.column(2).to_pylist()])
-                            scores[mine[:, None] != theirs[None, :]] = -np.inf
-                        best.add(scores, batch.column(0).to_numpy(zero_copy_only=False))
+                        keys = batch.column(0).to_numpy(zero_copy_only=False)
+                        theirs = np.array([number.get(g, -1) for g in batch.column(2).to_pylist()]) if wanted else np.zeros(len(keys), np.int64)
+                        for g in np.unique(theirs[theirs >= 0]).tolist():
+                            (who, own), inside = asking[g], theirs == g
+                            scores = np.zeros((len(who), int(inside.sum())))
+                            for part, table in enumerate(own):
+                                scores += table[:, code[inside, part]]
+                            best.add(scores, keys[inside], who)
                 if best.key is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in best.query], qid_type), pa.array(best.key, key_type), pa.array(best.score)], ["qid", "key", "score"])
 

@@ -96,22 +96,25 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, groups = shared.value
-            scores_of, best, at_a_time = scorer(q), Best(len(ids), k), max(1, SCORES_AT_A_TIME // len(ids))
-            number = {g: n for n, g in enumerate(dict.fromkeys(groups))} if group else {}
-            mine = np.array([number[g] for g in groups]) if group else None
+            best, everyone = Best(len(ids), k), np.arange(len(ids))
+            number = {g: n for n, g in enumerate(dict.fromkeys(groups))} if group else {None: 0}
+            mine = np.array([number[g] for g in groups]) if group else np.zeros(len(ids), np.int64)
+            # The queries of each group are compared with its rows only.
+            asking = [(who, scorer(q[who]), np.array(ids)[who]) for who in (everyone[mine == n] for n in number.values())]
+            at_a_time = max(1, SCORES_AT_A_TIME // max(len(who) for who, _, _ in asking))
             places: dict[str, int] = {}
             for whole in bounded(batches):
                 for at in range(0, whole.num_rows, at_a_time):
                     batch = whole.slice(at, at_a_time)
                     keys = batch.column(0).to_numpy(zero_copy_only=False)
                     rows = _hashed(split_tokens(batch.column(1)), q.shape[1], places) if joined else _matrix(batch.column(1))
-                    scores = np.round(scores_of(rows), 6)
-                    if group:
-                        theirs = np.array([number.get(g, -1) for g in batch.column(2).to_pylist()])
-                        scores[mine[:, None] != theirs[None, :]] = -np.inf
-                    if earlier:
-                        scores[np.array(ids)[:, None] <= keys[None, :]] = -np.inf
-                    best.add(scores, keys)
+                    theirs = np.array([number.get(g, -1) for g in batch.column(2).to_pylist()]) if group else np.zeros(len(keys), np.int64)
+                    for n in np.unique(theirs[theirs >= 0]).tolist():
+                        (who, scores_of, own), inside = asking[n], theirs == n
+                        scores = np.round(scores_of(rows[inside]), 6)
+                        if earlier:
+                            scores[own[:, None] <= keys[inside][None, :]] = -np.inf
+                        best.add(scores, keys[inside], who)
             if best.key is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], qid_type), pa.array(best.key, key_type), pa.array(best.score)], ["qid", key, "score"])
 

@@ -78,3 +78,18 @@ def test_joined_tokens_of_slices():
     for at in range(len(texts)):
         some, n = T.joined_tokens(texts.slice(at, 5))
         assert some.to_pylist() == whole.to_pylist()[at : at + 5] and n.tolist() == number.tolist()[at : at + 5]
+
+
+def test_a_groups_queries_are_compared_with_its_rows_only(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [rng.random() for _ in range(4)], rng.choice(["a", "b", None])) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(2)
+    asked = corpus.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.coalesce("label", F.lit("c")).alias("label"))
+    got = sorted(map(tuple, vectors.exact_search(corpus, asked, 4, group="label").select("qid", "vec_id", "rank").collect()))
+    want = []
+    for q, v, label in [r for r in rows if r[0] % 20 == 0 and r[2]]:
+        scored = sorted((-round(sum(a * b for a, b in zip(v, w)), 6), i) for i, w, own in rows if own == label)
+        want += [(q, i, n) for n, (_, i) in enumerate(scored[:4], 1)]
+    assert got == sorted(want)
