@@ -3,7 +3,7 @@
 Python tokenises and gives each token's id and byte range; all else is array functions of Spark. Offsets
 where tokens of both end (`array_intersect` of the ends) cut a text into groups. Two tokens are linked if their byte
 ranges overlap: between two neighbouring ends of either kind lies exactly one token of each, so every end of either
-kind is one link. The tokens are also given by byte, each repeated over its bytes, which tells the two of a link.
+kind is one link (`array_except` gives those that are not shared). The tokens are also given by byte, each repeated over its bytes, which tells the two of a link.
 
 A token of the first kind is written start * 2^34 + id * 2^17, one of the second id - start * 2^34. Their sum has the
 pair of ids in its lower 34 bits, and nothing above these if both begin at the same byte; so a sum at a common end
@@ -35,7 +35,7 @@ HEAVY = 200_000
 #: Bits of an id, and of a pair of ids.
 ID_BITS, PAIR_BITS = 17, 34
 #: Tokens of a batch, more or less; words in each half of a Python worker's cache; words that are tokenised at a time.
-BATCH_TOKENS, WORDS, AT_A_TIME = 1 << 18, 150_000, 2000
+BATCH_TOKENS, WORDS, AT_A_TIME = 1 << 18, 300_000, 2000
 #: Fixed value: how byte-level tokenizers of this kind cut a text before merging.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -204,6 +204,11 @@ def _let(value: Column, of) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
+def _if(condition: Column, value: Column, other: Column) -> Column:
+    """value or other: fewer steps than a case of one branch, where expressions are interpreted."""
+    return F.call_function("if", condition, value, other)
+
+
 def _id_of_a(x: Column) -> Column:
     return F.shiftright(x, ID_BITS).bitwiseAND((1 << ID_BITS) - 1).cast("string")
 
@@ -215,30 +220,34 @@ def _id_of_b(x: Column) -> Column:
 def aligned(tokens: DataFrame) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, groups_sha256 and links (the pair in the lower 34 bits) of tokenised texts."""
 
+    # The sets of ends are columns of their own, and used twice, so that Spark compiles them for ints; within a lambda it would interpret them over objects.
+    shared = F.array_intersect("a_ends", "b_ends").alias("shared")
+    sets = tokens.select("*", shared).select("*", F.array_except(F.concat("a_ends", "b_ends"), "shared").alias("inside"), F.size("shared").alias("n_groups"))
+
     def found(at_a: Column, at_b: Column, shared: Column) -> Column:
+        """A link for each end of either kind, those of shared ends first, which are also the groups."""
+
         def several(k: Column) -> Column:
             """The k-th group from the tokens over its bytes."""
-            before = F.when(k > 0, shared[k - 1]).otherwise(0)
+            before = _if(k > 0, shared[k - 1], F.lit(0))
             ids = (F.array_join(F.transform(F.array_distinct(F.slice(at, before + 2, shared[k] - before)), of), ",") for at, of in ((at_a, _id_of_a), (at_b, _id_of_b)))
-            return F.concat_ws("|", *ids)
+            return F.concat(next(ids), F.lit("|"), next(ids))
 
         def group(x: Column, k: Column) -> Column:
-            return F.when(F.shiftright(x, PAIR_BITS) == 0, F.concat(F.shiftright(x, ID_BITS).cast("string"), F.lit("|"), _id_of_b(x))).otherwise(several(k))
+            return _if(F.shiftright(x, PAIR_BITS) == 0, F.concat(F.shiftright(x, ID_BITS).cast("string"), F.lit("|"), _id_of_b(x)), several(k))
+
+        def both(of_shared: Column) -> Column:
+            groups = F.array_join(F.transform(of_shared, group), ";")
+            return F.struct(_if(F.col("n_groups") > 0, F.sha2(groups, 256), F.lit("")).alias("groups_sha256"), F.concat(of_shared, sums(F.col("inside"))).alias("links"))
 
         def sums(ends: Column) -> Column:
             return F.transform(ends, lambda end: at_a[end] + at_b[end])
 
-        # An end of the second kind inside a token of the first: the same token holds the next byte.
-        inside = F.filter("b_ends", lambda end: at_a[end] == F.get(at_a, end + 1))
-        groups = F.array_join(F.transform(sums(shared), group), ";")
-        return F.struct(
-            F.size(shared).alias("n_groups"),
-            F.when(F.size(shared) > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"),
-            F.concat(sums(F.col("a_ends")), sums(inside)).alias("links"),
-        )
-
-    x = _let(F.col("at_a"), lambda at_a: _let(F.col("at_b"), lambda at_b: _let(F.array_intersect("a_ends", "b_ends"), lambda shared: found(at_a, at_b, shared))))
-    return tokens.select("id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), x.alias("x")).select("id", "n_a", "n_b", "x.n_groups", F.size("x.links").alias("n_links"), "x.groups_sha256", "x.links")
+        return _let(sums(shared), both)
+
+    x = _let(F.col("at_a"), lambda at_a: _let(F.col("at_b"), lambda at_b: _let(F.col("shared"), lambda shared: found(at_a, at_b, shared))))
+    counts = [F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "n_groups", (F.col("n_groups") + F.size("inside")).alias("n_links")]
+    return sets.select("id", *counts, x.alias("x")).select("id", "n_a", "n_b", "n_groups", "n_links", "x.groups_sha256", "x.links")
 
 
 def cross_align(docs: DataFrame, a_path: str, b_path: str, folder: str, key: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:

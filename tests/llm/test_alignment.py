@@ -67,3 +67,10 @@ def test_words_apart_are_as_whole_texts():
         for t, (a, b) in zip(texts, both.encode(texts)):
             assert a.tolist() == (both.a.tokenizer.encode(" " + t, add_special_tokens=False).ids if t else [])
             assert b.tolist() == (both.b.model.encode(t) if t else [])
+
+
+def test_sets_of_ends_are_compiled(spark):
+    tokens = alignment.tokenised(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), A, B)
+    plan = alignment.aligned(tokens)._jdf.queryExecution().executedPlan().toString()
+    sets = [line for line in plan.splitlines() if "array_intersect" in line or "array_except" in line]
+    assert sets and all("*(" in line.split("Project")[0] for line in sets)  # Spark marks with a star what it compiles
