@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from docquarry.functions.text import apart, joined_tokens, split_tokens
-from docquarry.operators.blocks import Best, arrow_type, bounded, in_arrow, in_blocks
+from docquarry.operators.blocks import Best, arrow_type, bounded, in_arrow, in_blocks, in_small_batches
 from docquarry.operators.sparse import B, K1, Statistics, asked_terms, elsewhere, lengths_of, parents, top
 from docquarry.session import union
 
@@ -216,7 +216,7 @@ class Postings:
     def write(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple = (), buckets: int = BUCKETS) -> Postings:
         """Index documents. Rows without a key are left out, a null text has no tokens; a repeated key is indexed as often as it comes."""
         spark = docs.sparkSession
-        numbered = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), _joined(F.col(text)).alias("_j"), *keep, F.monotonically_increasing_id().alias("_n"))
+        numbered = in_small_batches(docs).where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), _joined(F.col(text)).alias("_j"), *keep, F.monotonically_increasing_id().alias("_n"))
         place = F.col("_n").bitwiseAND(BLOCK_DOCS - 1).cast("int")
         numbered.withColumns({"block": F.shiftright("_n", BLOCK_BITS), "place": place, "words": F.col("_j.words"), "length": F.col("_j.length")}).drop("_n", "_j").write.mode("overwrite").parquet(f"{path}/docs")
         read = spark.read.parquet(f"{path}/docs")

@@ -50,6 +50,20 @@ def test_workers_get_small_batches(spark):
     assert sizes[0] < blocks.BATCH_BYTES * 1.1 and sizes[1] >= 4 and sizes[2] > 20_000_000
 
 
+def test_the_tokens_of_an_index_are_made_in_small_batches(spark, tmp_path, monkeypatch):
+    """Also in a fresh session, where writing the index is the first Python step."""
+
+    @F.arrow_udf(returnType=ps._joined.returnType)
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array([""] * len(texts)), pa.array([texts.nbytes] * len(texts), pa.int32())], ["words", "length"])
+
+    spark.conf.unset(blocks._BATCH)
+    monkeypatch.setattr(ps, "_joined", measured)
+    docs = spark.range(4000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(5000)).alias("text"))
+    written = ps.Postings.write(docs, str(tmp_path), buckets=2).docs
+    assert written.count() == 4000 and written.agg(F.max("length")).first()[0] < blocks.BATCH_BYTES * 1.1
+
+
 def test_tokens_are_embedded_as_they_are_read(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", T.tokens(F.col("text")).alias("t"))
     asked = vectors.embed(docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "qid"), "qid", "t", "qvec")
