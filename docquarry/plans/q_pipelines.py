@@ -275,7 +275,7 @@ _EDGE = "(SELECT DISTINCT 's' || l_suppkey % 40 AS subject, 's' || l_partkey % 4
 @query(f"{_RUNS}, went AS (SELECT run_id, unnest(done) AS step FROM (SELECT run_id, done FROM st WHERE stop IS NOT NULL)) SELECT w.run_id, CAST(w.step AS INTEGER) AS step, s.tool, CASE WHEN s.tool = 'calculate' THEN CAST(CAST(string_split(s.query, ' ')[1] AS DOUBLE) * 21 AS VARCHAR) ELSE (SELECT count(*) FROM {_EDGE} e WHERE e.subject = s.company AND contains(e.object, s.query)) || ' edges' END AS result FROM went w JOIN script s USING (run_id, step) WHERE s.tool IN ('calculate', 'company_relations')")
 def agent_tools(spark, sf_dir):
     """Results of the admitted calls of the calculator and the relations."""
-    c = _outcome(spark, sf_dir).calls.where("decision = 'admitted' AND tool IN ('calculate', 'company_relations')")
+    c = _outcome(spark, sf_dir).of_tools("calculate", "company_relations").where("decision = 'admitted'")
     return c.select("run_id", "step", "tool", "result")
 
 
