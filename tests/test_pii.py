@@ -1,5 +1,7 @@
 """Counts of personal data by pattern, and spans without overlaps."""
 
+import hashlib
+
 import pyarrow as pa
 
 from docquarry.functions import pii
@@ -25,3 +27,15 @@ def test_batches_are_cut_by_their_bytes():
     cut = list(bounded(iter([batch, batch.slice(0, 0)]), 500))
     assert pa.Table.from_batches(cut).column("k").to_pylist() == list(range(9)) and len(cut) > 3
     assert all(b.nbytes <= 500 or b.num_rows == 1 for b in cut)
+
+
+def test_redact_gives_texts_and_types(spark, tmp_path):
+    """What comes out of every row: the text with its spans replaced, their types in order with repeats, and the digest of that text; null texts stay null."""
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.kinds, r.redacted) for r in QUERIES["redact"](spark, str(tmp_path)).collect()}
+    expected = {3: (None, "", None)}
+    for i, text in TEXTS:
+        if text is not None:
+            out, kinds = pii.redact(text)
+            expected[i] = (out, ",".join(kinds), hashlib.md5(out.encode()).hexdigest())
+    assert got == expected and got[5][:2] == ("[EMAIL] [EMAIL] [IP] 256.1.1.1", "EMAIL,EMAIL,IP")
