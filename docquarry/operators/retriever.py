@@ -8,10 +8,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.functions.text import tokens
 from docquarry.operators import fusion, rerank, sparse, vectors
-from docquarry.session import union
+from docquarry.session import checkpointed, union
 
 #: Places of each list that are fused, and fused places that are reranked.
 POOL = 50
@@ -73,40 +74,58 @@ def retrieve_variants(index: DataFrame, embedded: DataFrame | None, variants: Da
     return sparse.top(rerank.cross_scores(cut, questions, index), k, "rerank_score")
 
 
-def retrieve_plan(index: DataFrame, embedded: DataFrame | None, subs: DataFrame, questions: DataFrame, k: int = 6, pool: int = POOL, filters: tuple[str, ...] = ()) -> DataFrame:
-    """qid, sub, doc_id, rrf_score, rank: for each sub-question max(2, k // n) passages that pass its own filter.
+def retrieve_plan(
+    index: DataFrame, embedded: DataFrame | None, subs: DataFrame, questions: DataFrame, k: int = 6, pool: int = POOL, filters: tuple[str, ...] | dict[str, Column] = (), reranked: bool = False,
+) -> DataFrame:
+    """qid, sub, doc_id, rrf_score, rank (and rerank_score): for each sub-question max(2, k // n) passages that pass its own filter.
 
-    subs: qid, sub, question and the columns of `filters`, each a value of the index's column of that name (null:
-    any). A sub-question's fused list is fused with that of the original question, among what passes the filter.
+    subs: qid, sub, question and the columns of `filters`, each a value, or an array of values any of which will do, of
+    the index's column of that name, or of the column given for it (null, or none: any). The fused list of a
+    sub-question that is not the original question itself is fused with that of the original, among what passes the
+    filter. reranked: the passages are the best of the fused ones for the sub-question, and in that order.
     """
-    named = subs.withColumn("n", F.xxhash64("qid", "sub"))
-    # Searches by which columns are filtered on at all: as many as there are subsets, whatever the plan.
+    values = filters if isinstance(filters, dict) else {c: F.col(c) for c in filters}
+    several = [c for c in values if subs.schema[c].dataType.typeName() == "array"]
+    named = checkpointed(subs.join(questions.select("qid", F.col("question").alias("_whole")), "qid", "left").withColumn("n", F.xxhash64("qid", "sub")))
+    each = named
+    for c in several:
+        each = each.withColumn(c, F.explode_outer(F.when(F.size(c) > 0, F.array_distinct(c))))
+    each = checkpointed(each.withColumn("m", F.xxhash64("n", *several) if several else F.col("n")))
+    # Searches by which columns are filtered on at all: as many as there are subsets, whatever the plan; those of no sub-question are left out.
     out = []
-    for chosen in [c for k in range(len(filters) + 1) for c in combinations(filters, k)]:
+    for chosen in [c for size in range(len(values) + 1) for c in combinations(values, size)]:
         own = F.lit(True)
-        for c in filters:
+        for c in values:
             own = own & (F.col(c).isNotNull() if c in chosen else F.col(c).isNull())
-        asked = named.where(own).withColumn(FILTER, _filter_value(chosen))
-        of_subs = _filtered_lists(index, embedded, asked.select(F.col("n").alias("qid"), "question", FILTER), pool, chosen)
-        whole = asked.select("n", "qid", FILTER).join(questions.select("qid", "question"), "qid")
-        of_whole = _filtered_lists(index, embedded, whole.select(F.col("n").alias("qid"), "question", FILTER), pool, chosen)
-        for found in (of_subs, of_whole):
-            out.append(fused(found, pool).withColumnRenamed("qid", "n").join(asked.select("n", "qid", "sub"), "n").select("qid", "sub", "doc_id", F.col("fused_rank").alias("rank")))
-    n = subs.groupBy("qid").agg(F.count("*").alias("n"))
-    ranked = fusion.reciprocal_rank(union(*out), pool, ("qid", "sub"))
-    return ranked.join(n, "qid").where(F.col("rank") <= F.greatest(F.lit(2), F.floor(F.lit(k) / F.col("n")))).drop("n")
+        asked = each.where(own).withColumn(FILTER, _filter_value([F.col(c) for c in chosen]))
+        whole = asked.where(F.col("_whole").isNotNull() & ~F.col("_whole").eqNullSafe(F.col("question"))).withColumn("question", F.col("_whole"))
+        for one in (asked, whole):
+            if not one.isEmpty():
+                found = _filtered_lists(index, embedded, one.select(F.col("m").alias("qid"), "question", FILTER), pool, [values[c] for c in chosen])
+                if several:
+                    found = sparse.top(found.drop("rank").withColumnRenamed("qid", "m").join(one.select("m", F.col("n").alias("qid")), "m").drop("m"), pool, by=("list", "qid"))
+                out.append(fused(found, pool).withColumnRenamed("qid", "n").select("n", "doc_id", F.col("fused_rank").alias("rank")))
+    none = named.select("n", F.lit(None).cast(sparse.documents_of(index).schema["doc_id"].dataType).alias("doc_id"), F.lit(0).alias("rank")).limit(0)
+    ranked = fusion.reciprocal_rank(union(*out, none), pool, ("n",))
+    if reranked:
+        scored = rerank.cross_scores(ranked.drop("rank").withColumnRenamed("n", "qid"), named.select(F.col("n").alias("qid"), "question"), index)
+        ranked = sparse.top(scored, pool, "rerank_score").withColumnRenamed("qid", "n")
+    share = F.greatest(F.lit(2), F.floor(F.lit(k) / F.count("*").over(Window.partitionBy("qid"))))
+    shares = named.select("n", "qid", "sub", share.alias("_share"))
+    kept = ranked.join(shares, "n").where(F.col("rank") <= F.col("_share"))
+    return kept.select("qid", "sub", "doc_id", "rrf_score", "rank", *(["rerank_score"] if reranked else []))
 
 
 #: The column that holds the values of several filters as one.
 FILTER = "_filter"
 
 
-def _filter_value(columns: tuple[str, ...]) -> Column:
+def _filter_value(columns: list[Column]) -> Column:
     """The values of some columns as one string; null if one of them is."""
-    return F.when(~reduce(Column.__or__, [F.col(c).isNull() for c in columns], F.lit(False)), F.to_json(F.array(*(F.col(c).cast("string") for c in columns))))
+    return F.when(~reduce(Column.__or__, [c.isNull() for c in columns], F.lit(False)), F.to_json(F.array(*(c.cast("string") for c in columns))))
 
 
-def _filtered_lists(index, embedded: DataFrame | None, asked: DataFrame, pool: int, columns: tuple[str, ...]) -> DataFrame:
+def _filtered_lists(index, embedded: DataFrame | None, asked: DataFrame, pool: int, columns: list[Column]) -> DataFrame:
     """Both lists of each question among documents with its own value of FILTER: one search of each kind for all."""
     if not columns:
         return lists(index, embedded, asked.drop(FILTER), pool)[0]

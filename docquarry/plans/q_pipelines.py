@@ -7,10 +7,10 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
 from docquarry.operators import corrective, fusion, pipelines, rerank, retriever, runs, sparse
-from docquarry.operators.planning import ADVICE
+from docquarry.operators.planning import rule_plan
 from docquarry.operators.postings import Overlay, Postings
 from docquarry.plans.q_guard import _PLANTED, _inj_sql, planted
-from docquarry.plans.q_text import QUESTIONS, tokens_sql
+from docquarry.plans.q_text import CATALOG, QUESTIONS, asked, tokens_sql
 from docquarry.plans.q_retrieval import _DENSE, _INDEX, _LABELS, _QUERIES, _RERANK_SQL, _bm25, _bm25_top, _dense_top, _labels, _questions, _ranked
 from docquarry.plans.registry import Fixture, query, search_postings, table
 from docquarry.session import checkpointed, scratch, union
@@ -182,17 +182,30 @@ def fanout_answers(spark, sf_dir):
     return _answer_columns(pipelines.answers(placed, _questions(spark, sf_dir), table(spark, sf_dir, "documents"), floor=-3.0))
 
 
+def _filed() -> dict:
+    """ticker and filing_years of a document of the index: the sources (by number, as the index has them in `year`) stand for companies in turn, and those of one company for the years that the catalog has of it."""
+    place = F.col("year") - 2000
+    ticker = F.get(F.array(*map(F.lit, CATALOG)), place % len(CATALOG))
+    years = F.try_element_at(F.create_map(*(x for t, y in CATALOG.items() for x in (F.lit(t), F.array(*map(F.lit, y))))), ticker)
+    return {"ticker": ticker, "filing_years": F.get(years, F.floor(place / len(CATALOG)).cast("int") % F.size(years))}
+
+
+def _placed(planned):
+    """qid, doc_id, rank, rerank_score of planned passages: those of a question's first sub-question, then of the next; one found for several counts for the first."""
+    once = planned.withColumn("_o", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("sub"))).where("_o = 1")
+    return once.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("sub", "rank")).alias("rank"), "rerank_score")
+
+
 @query(None)
 def planned_answers(spark, sf_dir):
-    """Refusal templates, plan retrieval, quarantine, untrusted passages, floor, answer and check: every stage in one run."""
-    q = _questions(spark, sf_dir).unionByName(QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question"))
-    advice = q.where(F.col("question").rlike(ADVICE)).select("qid", F.lit("advice").alias("refused_by"))
-    going = q.join(advice, "qid", "left_anti")
-    index = search_postings(spark, sf_dir)
-    subs = going.select("qid", F.lit(0).alias("sub"), "question")
-    planned = retriever.retrieve_plan(index, None, subs, going, 6)
-    scored = rerank.cross_scores(planned.select("qid", "doc_id", "rank"), going, index)
-    return _answer_columns(pipelines.answers(scored, q, table(spark, sf_dir, "documents"), floor=-3.0, quarantined=True, untrusted=True, refusals=advice))
+    """Plan, refusal templates, retrieval by the plan (a sub-question for each company named, among its filings of the years asked for, beside the question's own words, reranked), quarantine, untrusted passages, floor, answer and check: every stage in one run. Questions are the test items, the fixed ones, and the items in wording about companies and years."""
+    told = asked(spark, sf_dir).where("qid >= 1000").select((F.col("qid") + 1_000_000_000).alias("qid"), "question")
+    q = checkpointed(union(_questions(spark, sf_dir), QUESTIONS.df(spark).select((F.col("qid") + 10_000).alias("qid"), "question"), told))
+    plan = checkpointed(rule_plan(q, CATALOG))
+    advice = plan.where("route = 'investment_advice'").select("qid", F.lit("advice").alias("refused_by")).distinct()
+    subs = plan.where("route = 'answer'").select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("ticker")).alias("sub"), "question", "ticker", "filing_years")
+    planned = retriever.retrieve_plan(search_postings(spark, sf_dir), None, subs, q, 6, filters=_filed(), reranked=True)
+    return _answer_columns(pipelines.answers(_placed(planned), q, table(spark, sf_dir, "documents"), floor=-3.0, quarantined=True, untrusted=True, refusals=advice))
 
 
 # ---- Agent runs ----------------------------------------------------------------------------------------------------

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from docquarry.functions import pii
 from docquarry.functions import text as T
 from docquarry.operators import agent, chunk, pipelines, retriever, sparse, vectors
+from docquarry.operators.planning import rule_plan
 from docquarry.plans import QUERIES
-from docquarry.plans.registry import table
+from docquarry.plans.q_text import CATALOG, QUESTIONS, asked
+from docquarry.plans.registry import search_postings, table
 from tests.oracle import SF
 
 
@@ -173,3 +175,55 @@ def test_config_table_equals_plain_resampling(spark):
     rng = random.Random(0)
     means = sorted(sum(rng.choices(ndcg, k=len(ndcg))) / len(ndcg) for _ in range(500))
     assert np.allclose([got["bm25"].mean, got["bm25"].low, got["bm25"].high], [sum(ndcg) / len(ndcg), means[12], means[487]], atol=1e-9)
+
+
+def test_plans_keep_to_any_of_several_values_and_rerank(spark):
+    """A sub-question with two years finds what the search filtered to both finds; one that is the question itself finds what the question finds."""
+    words = "solar power homes wind grid coal hydro rain steel glass".split()
+    rng = random.Random(5)
+    rows = [(i, [rng.choice(words) for _ in range(rng.randint(3, 30))], 2000 + i % 4) for i in range(60)]
+    index = spark.createDataFrame(rows, "doc_id long, toks array<string>, year int")
+    whole = spark.createDataFrame([(1, "solar power homes"), (2, "")], "qid long, question string")
+    subs = spark.createDataFrame([(1, 1, "wind grid", [2001, 2002, 2001]), (1, 2, "solar power homes", []), (1, 3, "coal", None), (2, 1, "hydro", [1990])], "qid long, sub int, question string, years array<int>")
+    got = retriever.retrieve_plan(index, None, subs, whole, 9, filters={"years": F.col("year")}, reranked=True).collect()
+    lists = {s: [(r.doc_id, r.rerank_score) for r in sorted(got, key=lambda r: r["rank"]) if (r.qid, r["sub"]) == (1, s)] for s in (1, 2, 3)}
+    assert lists[2] == [(r.doc_id, r.rerank_score) for r in sorted(retriever.retrieve(index, None, whole, 3).where("qid = 1").collect(), key=lambda r: r["rank"])]
+    for sub, question, where in ((1, "wind grid", F.col("year").isin(2001, 2002)), (3, "coal", None)):
+        total = {}
+        for text in (question, "solar power homes"):
+            found = retriever.lists(index, None, spark.createDataFrame([(1, text)], "qid long, question string"), where=where)[0]
+            for r in retriever.fused(found).collect():
+                total[r.doc_id] = total.get(r.doc_id, 0) + 1 / (60 + r.fused_rank)
+        pool = sorted(total, key=lambda i: (-round(total[i], 6), i))[:50]
+        score = lambda i: round(8 * len(set(question.split()) & set(rows[i][1])) / len(question.split()) - 4 - math.log(1 + len(rows[i][1])) / 10, 6)  # noqa: B023, E731
+        assert lists[sub] == [(i, score(i)) for i in sorted(pool, key=lambda i: (-score(i), i))[:3]]
+    assert not [r for r in got if r.qid == 2]
+
+
+def test_planned_answers_follow_their_plan(spark):
+    """Passages are of the companies and years that the plan of each question asks for; a question that names none finds what its own search finds."""
+    fixed = [(r.qid + 10_000, r.question) for r in QUESTIONS.df(spark).collect()]
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    told = [(1_000_000_000 + r.qid, r.question) for r in asked(spark, SF).where("qid >= 1000").collect()]
+    q = spark.createDataFrame(fixed + items + told, "qid long, question string")
+    plan = {}
+    for r in rule_plan(q, CATALOG).collect():
+        plan.setdefault(r.qid, []).append(r)
+    place = {r.doc_id: int(r.source[3:]) for r in table(spark, SF, "documents").collect()}
+    names = list(CATALOG)
+    filed = {i: (names[n % 5], CATALOG[names[n % 5]][n // 5 % len(CATALOG[names[n % 5]])]) for i, n in place.items()}
+    got = {r.qid: r for r in QUERIES["planned_answers"](spark, SF).collect()}
+    assert set(got) == set(plan) and got[10_004].refused_by == "advice"
+    for qid, subs in plan.items():
+        found = [int(i) for i in (got[qid].sources or "").split(",") if i]
+        fits = [lambda i, s=s: s.ticker in (None, filed[i][0]) and (not s.filing_years or filed[i][1] in s.filing_years) for s in subs]
+        assert all(any(f(i) for f in fits) for i in found) and len(found) <= len(subs) * max(2, 6 // len(subs))
+    companies = {qid: {filed[int(i)][0] for i in got[qid].sources.split(",")} for qid, _ in told if got[qid].sources}
+    assert all(companies[qid] <= {s.ticker for s in plan[qid]} for qid in companies if plan[qid][0].ticker)
+    assert {1, 2, 3} <= {len(x) for x in companies.values()} and any(s.filing_years for qid in companies for s in plan[qid])
+    own = spark.createDataFrame(items[:5], "qid long, question string")
+    best = {}
+    for r in retriever.retrieve(search_postings(spark, SF), None, own, 6).orderBy("rank").collect():
+        best.setdefault(r.qid, []).append(r.doc_id)
+    assert all(got[i].sources is None or [int(x) for x in got[i].sources.split(",")] == [x for x in best[i] if str(x) in got[i].sources.split(",")] for i, _ in items[:5])
+    assert any(got[i].sources is not None for i, _ in items[:5])
